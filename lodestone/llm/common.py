@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,6 +229,46 @@ def union(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
+# ---------------------------------------------------------------- filters of fixed size
+
+#: Bits of a filter. When it fills up it lets more pass than needed, never less.
+BLOOM = 1 << 23
+_BLOOM_SLICES = 16
+
+
+def bloom_bits(keys: np.ndarray) -> np.ndarray:
+    """(n, 2) keys -> (n, 2) bit positions."""
+    return (mix(keys) % U(BLOOM)).astype(np.int64)
+
+
+def bloom_of(df: DataFrame, keys_of) -> np.ndarray:
+    """Filter over the keys that `keys_of(batch)` gives as an (n, 2) array of 64-bit numbers; BLOOM / 8 bytes."""
+
+    def one(batches):
+        bits, some = np.zeros(BLOOM, bool), False
+        for batch in batches:
+            if batch.num_rows:
+                bits[bloom_bits(keys_of(batch)).ravel()] = True
+                some = True
+        if some:
+            parts = np.packbits(bits).reshape(_BLOOM_SLICES, -1)
+            yield pa.record_batch([pa.array(range(_BLOOM_SLICES), pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in parts], pa.binary())], names=["k", "b"])
+
+    def join(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8)
+                total[k] = part | total[k] if k in total else part
+        for k, part in total.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "b"])
+
+    bits = np.zeros((_BLOOM_SLICES, BLOOM // 8 // _BLOOM_SLICES), np.uint8)
+    for r in df.mapInArrow(one, "k int, b binary").repartition(_BLOOM_SLICES, "k").mapInArrow(join, "k int, b binary").collect():
+        bits[r.k] = np.frombuffer(r.b, np.uint8)
+    return bits.ravel()
+
+
 # ---------------------------------------------------------------- connected components
 
 
