@@ -7,6 +7,7 @@ longest single text), never the size of a partition or of a group of equal rows.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,10 +77,18 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             if size >= limit or at < batch.num_rows:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                trimmed()
     if held:
         yield pa.Table.from_batches(held)
 
 
+def trimmed() -> None:
+    """Gives freed memory back to the system, so that a worker's size follows its chunk and not its history."""
+    with contextlib.suppress(OSError, AttributeError):
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column as one array, and the n+1 row offsets; a null row is empty."""
     arr = pc.fill_null(column.cast(pa.large_string()), "")
@@ -136,7 +145,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """All words of a chunk: starts and ends in bytes, 64-bit hashes, and `first` (n rows + 1 offsets into the words)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE, lower: bool = False, hashes: bool = True, block: int = 1 << 22):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE, lower: bool = False, hashes: bool = True, block: int = 1 << 20):
         starts, ends, hs = [], [], []
         rows = len(offsets) - 1
         at = 0

@@ -18,14 +18,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, U, Words, chunks, gram_hashes, mix, powers, ranges, shuffle_parts, text_bytes
+from .common import _BASE, _INVERSE, U, Words, bloom_bits, bloom_of, chunks, gram_hashes, mix, powers, ranges, shuffle_parts, text_bytes, trimmed, written
 
-CHUNK = 12_000_000
+CHUNK = 4_000_000
+#: A bucket is counted in so many parts, one after the other.
+SUB = 8
 _SPANS = pa.schema([("_sk_a", pa.int64()), ("_sk_b", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 _PACKS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("n", pa.int64()), ("blob", pa.binary())])
 
@@ -60,7 +63,7 @@ def _super_kmers(words: Words, window: int, gram: int):
 
 def _pack(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
     head = np.array([len(arrays)] + [a.nbytes for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays) + tail)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays) + tail)
 
 
 def _unpack(blob: bytes, types) -> tuple[list[np.ndarray], bytes]:
@@ -106,9 +109,9 @@ def _map(window: int, gram: int, parts: int, text: str):
                 start = (first[local] - words.first[row[local]]).astype(np.int32)
                 spans = _merge(row[local], start, start + size[local].astype(np.int32))
                 yield pa.record_batch([pa.array([int(first[local[0]] * 7919 % parts)], pa.int32()), pa.array([0], pa.int8()), pa.array([len(spans[0])], pa.int64()), pa.array([_pack([a[spans[0]], b[spans[0]], spans[1], spans[2]])], pa.binary())], schema=_PACKS)
-            part = (mix(low[sent]) % U(parts)).astype(np.int64)
-            sent = sent[np.argsort(part, kind="stable")]
-            part = np.sort(part)
+            bucket = (mix(low[sent]) % U(parts * SUB)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            sent, part, sub = sent[order], bucket[order] // SUB, (bucket[order] % SUB).astype(np.uint8)
             view = data.tobytes()
             s, e = words.starts[first[sent]], words.ends[first[sent] + size[sent] - 1]
             at = (first[sent] - words.first[row[sent]]).astype(np.int32)
@@ -118,12 +121,15 @@ def _map(window: int, gram: int, parts: int, text: str):
                 text_part = b"\n".join([view[x:y] for x, y in zip(s[lo:hi].tolist(), e[lo:hi].tolist(), strict=True)])
                 pick = sent[lo:hi]
                 docs, doc = np.unique(row[pick], return_inverse=True)
-                out.append((int(part[lo]), hi - lo, _pack([a[docs], b[docs], doc.astype(np.int32), at[lo:hi], count[pick].astype(np.int32), twice[pick].astype(np.uint8)], text_part)))
+                out.append((int(part[lo]), hi - lo, _pack([a[docs], b[docs], doc.astype(np.int32), at[lo:hi], count[pick].astype(np.int32), twice[pick].astype(np.uint8), sub[lo:hi], (e[lo:hi] - s[lo:hi]).astype(np.int32)], text_part)))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([1] * len(out), pa.int8()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], schema=_PACKS)
 
     return run
 
 
+_PACKED = (np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8, np.uint8, np.int32)
+
+
 def _merge(row: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Union of the spans of each row, as (row, start, end), where touching spans join."""
     order = np.lexsort((start, row))
@@ -146,67 +152,91 @@ def _reduce(window: int):
                 else:
                     (a, b, s, e), _ = _unpack(blob.as_py(), (np.int64, np.int64, np.int32, np.int32))
                     yield pa.record_batch([a, b, s, e], schema=_SPANS)
-        if not held:
-            return
-        keys_a, keys_b, docs, ats, counts, twices, hashes, base = [], [], [], [], [], [], [], 0
-        for blob in held:
-            (a, b, doc, at, count, twice), raw = _unpack(blob, (np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8))
-            w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            keys_a.append(a), keys_b.append(b), docs.append(doc + base), ats.append(at), counts.append(count), twices.append(twice), hashes.append(w.hashes)
-            base += len(a)
-        a, b, doc, at, count, twice, h = (np.concatenate(x) for x in (keys_a, keys_b, docs, ats, counts, twices, hashes))
+        opened = [_unpack(blob, _PACKED) for blob in held]
         held.clear()
-        size = count.astype(np.int64) + window - 1
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        where = ranges(first, count.astype(np.int64))
-        owner = np.repeat(np.arange(len(count)), count)
-        key = gram_hashes(h, window, 9)[where]
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        head = np.ones(len(order), bool)
-        head[1:] = sorted_key[1:] != sorted_key[:-1]
-        cut = np.flatnonzero(head)
-        many = np.diff(np.append(cut, len(order)))
-        group = np.repeat(np.arange(len(cut)), many)
-        weight = np.add.reduceat((1 + twice[owner[order]]).astype(np.int64), cut)
-        hit_group = weight > 1
-        checked = np.flatnonzero((many > 1)[group] & ~head)  # equal hashes: compare with the group's first, word by word
-        bad = np.zeros(len(cut), bool)
-        lead = where[order[cut[group[checked]]]]
-        mine = where[order[checked]]
-        differ = np.zeros(len(checked), bool)
-        for j in range(window):
-            differ |= h[lead + j] != h[mine + j]
-        bad[group[checked[differ]]] = True
-        hit = np.zeros(len(order), bool)
-        hit[order] = hit_group[group]
-        for g in np.flatnonzero(bad):  # a clash of window hashes: count by the words themselves
-            members = order[cut[g] : cut[g] + many[g]]
-            seen: dict[bytes, int] = {}
-            names = [h[where[m] : where[m] + window].tobytes() for m in members]
-            for m, name in zip(members, names, strict=True):
-                seen[name] = seen.get(name, 0) + 1 + int(twice[owner[m]])
-            hit[members] = [seen[name] > 1 for name in names]
-        hit &= twice[owner] == 0  # the map side gave the spans of marked ones
-        hit = np.flatnonzero(hit)
-        if len(hit):
-            s = at[owner[hit]] + (where[hit] - first[owner[hit]])
-            row, s, e = _merge(doc[owner[hit]], s, s + window)
-            for lo in range(0, len(row), 1 << 18):
-                cutout = slice(lo, lo + (1 << 18))
-                yield pa.record_batch([a[row[cutout]], b[row[cutout]], s[cutout], e[cutout]], schema=_SPANS)
+        for sub in range(SUB):
+            a, b, docs, ats, counts, twices, hashes, base = [], [], [], [], [], [], [], 0
+            for (ka, kb, doc, at, count, twice, of, length), raw in opened:
+                lo, hi = np.searchsorted(of, [sub, sub + 1])
+                if lo == hi:
+                    continue
+                edge = np.concatenate([[0], np.cumsum(length + 1)])
+                w = Words(np.frombuffer(raw, np.uint8)[edge[lo] : edge[hi] - 1], np.array([0, edge[hi] - 1 - edge[lo]]))
+                a.append(ka), b.append(kb), docs.append(doc[lo:hi] + base), ats.append(at[lo:hi]), counts.append(count[lo:hi]), twices.append(twice[lo:hi]), hashes.append(w.hashes)
+                base += len(ka)
+            trimmed()
+            if docs:
+                yield from _repeats(window, *(np.concatenate(x) for x in (a, b, docs, ats, counts, twices, hashes)))
 
     return run
 
 
+def _repeats(window: int, a, b, doc, at, count, twice, h):
+    """Spans of the windows of one bucket that start more than once."""
+    size = count.astype(np.int64) + window - 1
+    first = np.concatenate([[0], np.cumsum(size)])[:-1]
+    where = ranges(first, count.astype(np.int64))
+    owner = np.repeat(np.arange(len(count)), count)
+    key = gram_hashes(h, window, 9)[where]
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    head = np.ones(len(order), bool)
+    head[1:] = sorted_key[1:] != sorted_key[:-1]
+    cut = np.flatnonzero(head)
+    many = np.diff(np.append(cut, len(order)))
+    group = np.repeat(np.arange(len(cut)), many)
+    weight = np.add.reduceat((1 + twice[owner[order]]).astype(np.int64), cut)
+    hit_group = weight > 1
+    checked = np.flatnonzero((many > 1)[group] & ~head)  # equal hashes: compare with the group's first, word by word
+    bad = np.zeros(len(cut), bool)
+    lead = where[order[cut[group[checked]]]]
+    mine = where[order[checked]]
+    differ = np.zeros(len(checked), bool)
+    for j in range(window):
+        differ |= h[lead + j] != h[mine + j]
+    bad[group[checked[differ]]] = True
+    hit = np.zeros(len(order), bool)
+    hit[order] = hit_group[group]
+    for g in np.flatnonzero(bad):  # a clash of window hashes: count by the words themselves
+        members = order[cut[g] : cut[g] + many[g]]
+        seen: dict[bytes, int] = {}
+        names = [h[where[m] : where[m] + window].tobytes() for m in members]
+        for m, name in zip(members, names, strict=True):
+            seen[name] = seen.get(name, 0) + 1 + int(twice[owner[m]])
+        hit[members] = [seen[name] > 1 for name in names]
+    hit &= twice[owner] == 0  # the map side gave the spans of marked ones
+    hit = np.flatnonzero(hit)
+    if len(hit):
+        s = at[owner[hit]] + (where[hit] - first[owner[hit]])
+        row, s, e = _merge(doc[owner[hit]], s, s + window)
+        for lo in range(0, len(row), 1 << 18):
+            cutout = slice(lo, lo + (1 << 18))
+            yield pa.record_batch([a[row[cutout]], b[row[cutout]], s[cutout], e[cutout]], schema=_SPANS)
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = 35, gram: int = 5) -> DataFrame:
-    """docs with all its columns and `spans`, array<struct<s,e>>: word ranges to remove, not merged across buckets."""
-    parts = shuffle_parts(docs.sparkSession)
+    """docs with all its columns and `spans`, array<struct<s,e>>: word ranges to remove, not merged across buckets.
+
+    Only rows that may have spans (by a filter of fixed size over their keys) are dealt out again to meet them.
+    """
+    spark = docs.sparkSession
+    parts = shuffle_parts(spark, 2)
     keyed = docs.withColumns({n: F.xxhash64(F.lit(k), F.col(id_col), F.col(text)) for k, n in ((17, "_sk_a"), (71, "_sk_b"))})
     packs = keyed.select("_sk_a", "_sk_b", text).mapInArrow(_map(window, gram, parts, text), "part int, kind byte, n long, blob binary")
-    spans = packs.repartition(parts, "part").mapInArrow(_reduce(window), "_sk_a long, _sk_b long, s int, e int")
-    spans = spans.groupBy("_sk_a", "_sk_b").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return keyed.join(spans, ["_sk_a", "_sk_b"], "left").drop("_sk_a", "_sk_b")
+    spans = written(packs.repartition(parts, "part").mapInArrow(_reduce(window), "_sk_a long, _sk_b long, s int, e int"))
+    bloom = spark.sparkContext.broadcast(bloom_of(spans.select("_sk_a", "_sk_b"), lambda x: np.stack([x.column(0).to_numpy(), x.column(1).to_numpy()], 1).view(U)))
+
+    @F.pandas_udf("boolean")
+    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
+        at = bloom_bits(np.stack([a.to_numpy(np.int64), b.to_numpy(np.int64)], 1).view(U))
+        return pd.Series(((bloom.value[at >> 3] >> (7 - (at & 7))) & 1).all(1))
+
+    grouped = spans.groupBy("_sk_a", "_sk_b").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    marked = keyed.withColumn("_sk_maybe", maybe("_sk_a", "_sk_b"))
+    kind = grouped.schema["spans"].dataType
+    met = marked.where("_sk_maybe").join(grouped, ["_sk_a", "_sk_b"], "left")
+    rest = marked.where("not _sk_maybe").withColumn("spans", F.lit(None).cast(kind))
+    return met.unionByName(rest).drop("_sk_a", "_sk_b", "_sk_maybe")
 
 
 def kept_pieces(raw: bytes, spans) -> tuple[int, int, list[bytes]]:
