@@ -18,7 +18,7 @@ from lodestone.llm.sharding import interleaved
 
 SHARDS = 24
 #: Shares of words. The first is kept whole, so these say how much of the others may stand beside it.
-TARGETS = {"good": 0.90, "low": 0.03, "toxic": 0.07}
+TARGETS = {"good": 0.94, "low": 0.02, "toxic": 0.04}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are thinned out to the target mixture: a rate under 1 keeps a share of such documents, and none is repeated,
-    for repeats would undo the second stage. A rate within 0.3 of 1 keeps the document."""
-    out = mixed(docs, _table(spark, sf_dir, "labels"), TARGETS, snap=0.3)
+    for repeats would undo the second stage. A rate within 0.25 of 1 keeps the document."""
+    out = mixed(docs, _table(spark, sf_dir, "labels"), TARGETS, snap=0.25)
     return out.where("copies > 0").select(*docs.columns)
 
 
