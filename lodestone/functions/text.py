@@ -68,7 +68,9 @@ def has_number(c) -> Column:
 
 
 def has_unit(c) -> Column:
-    return _col(c).rlike("(?iuU)" + K.UNIT_PATTERN)
+    """A unit; a lone m has no letter, digit (superscripts too) or underscore beside it."""
+    alone = K.UNIT_PATTERN.replace(r"\bm\b", r"(?<![\p{L}\p{N}_])m(?![\p{L}\p{N}_])")
+    return _col(c).rlike("(?iuU)" + alone)
 
 
 def is_prediction(c) -> Column:
