@@ -1,6 +1,6 @@
 """Quality classifier: subword embeddings (see subword.py) trained on labels.quality.
 
-Bounds that are parameters: `sample_rows` labelled rows and about 24 MB of their text are used for training; every whole text
+Bounds that are parameters: `sample_rows` labelled rows and about 8 MB of their text are used for training; every whole text
 is scored. Labels come only from rows outside the held-out fold; label, language, source and id are never inputs of a score.
 
 Defined cases: null and empty texts get the score of no evidence (the bias). Repeated rows are scored each. Without any

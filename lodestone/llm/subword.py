@@ -38,10 +38,10 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
         counts.append(count)
     total = np.sum(counts, 0)
     first = np.concatenate([[0], np.cumsum(total)])[:-1]
-    out = np.empty(int(total.sum()), np.int64)
+    out = np.empty(int(total.sum()), np.int32)
     at = first
     for part, count in zip(parts, counts, strict=True):
-        out[ranges(at, count)] = (part % U(BUCKETS)).astype(np.int64)
+        out[ranges(at, count)] = (part % U(BUCKETS)).astype(np.int32)
         at = at + count
     return out, total
 
@@ -122,7 +122,7 @@ def train(texts, labels: np.ndarray, classes: int, dims: int = 8, epochs: int =
     return Model((table @ weight).astype(np.float32), bias)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text: str = "text", max_bytes: int = 24_000_000):
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text: str = "text", max_bytes: int = 8_000_000):
     """At most `most` labelled rows (columns id, text, label), those of smallest hash of id; whole texts, in order of hash until
     max_bytes of text. `labels` has id_col and a class number `label`; ids with several labels take the largest one."""
     import pyarrow as pa
