@@ -135,8 +135,8 @@ def _sum_up(batches):
             sums.setdefault((p, k), _Sums()).add(keys, counts)
     for (p, k), s in sums.items():
         keys, counts = s.all()
-        bins = np.bincount(_bin(counts), minlength=_BINS)
-        yield pa.record_batch([pa.array([p], pa.int32()), pa.array([k], pa.int32()), pa.array([_pack([keys, counts])], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([bins.tolist()], pa.list_(pa.int64()))], names=["part", "kind", "blob", "n", "total", "bins"])
+        bins = np.bincount(_bin(counts), minlength=_BINS).astype(np.int64)
+        yield pa.record_batch([pa.array([p], pa.int32()), pa.array([k], pa.int32()), pa.array([_pack([keys, counts])], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([_pack([bins])], pa.binary())], names=["part", "kind", "blob", "n", "total", "bins"])
 
 
 def _bin(counts: np.ndarray) -> np.ndarray:
@@ -150,6 +150,15 @@ def _least_bin(bins: np.ndarray, most: int) -> int:
     return int(np.flatnonzero(np.append(above, 0) <= most)[0])
 
 
+def _add_bins(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, blob in zip(batch.column("kind").to_pylist(), batch.column("bins"), strict=True):
+            total[k] = total.get(k, 0) + _unpack(blob.as_py(), (np.int64,))[0][0]
+    for k, bins in total.items():
+        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([_pack([bins])], pa.binary())], names=["kind", "bins"])
+
+
 def _frequent(kind_bins: dict[int, int]):
     def run(batches):
         for batch in batches:
@@ -356,12 +365,28 @@ def _rare_words(tokens: int, vocabulary: int):
                 count = np.where(hit, counts[where], 0) if len(keys) else np.zeros(len(h))
                 log = np.log10((count + 0.5) / norm)
                 rows, inverse = np.unique(r, return_inverse=True)
-                yield pa.record_batch([pa.array(np.full(len(rows), at[0])), pa.array(rows + at[1]), pa.array(np.bincount(inverse, count > 0).astype(np.int64)), pa.array(np.bincount(inverse, log))], names=["_lm_a", "_lm_b", "more_known", "more_base"])
+                yield pa.record_batch([pa.array([at[0]]), pa.array([at[1]]), pa.array([_pack([rows.astype(np.int32), np.bincount(inverse, count > 0).astype(np.int32), np.bincount(inverse, log)])], pa.binary())], names=["_lm_a", "chunk", "sums"])
 
     return run
 
 
-def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", depth: int = 4, fold: tuple[int, int] = (5, 1), max_contexts: int = 1 << 21, frequent_words: int = 1 << 17) -> DataFrame:
+def _by_row(batches):
+    """Sums of all buckets for each row of a chunk."""
+    total: dict[tuple[int, int], list[np.ndarray]] = {}
+    for batch in batches:
+        for a, b, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            (rows, known, base), _ = _unpack(blob, (np.int32, np.int32, np.float64))
+            have = total.setdefault((a, b), [np.zeros(0, np.int64), np.zeros(0)])
+            size = max(len(have[0]), int(rows.max()) + 1)
+            for i, x in enumerate((known, base)):
+                have[i] = np.pad(have[i], (0, size - len(have[i])))
+                have[i][rows] += x
+    for (a, b), (known, base) in total.items():
+        at = np.flatnonzero(base)
+        yield pa.record_batch([pa.array(np.full(len(at), a)), pa.array(at + b), pa.array(known[at]), pa.array(base[at])], names=["_lm_a", "_lm_b", "more_known", "more_base"])
+
+
+def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", depth: int = 5, fold: tuple[int, int] = (5, 1), max_contexts: int = 1 << 20, frequent_words: int = 1 << 17) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and bits_per_byte of every row of docs.
 
     Rows whose crc32(id as text) mod fold[0] is fold[1] are held out of training.
@@ -373,12 +398,12 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", depth: in
     slim = docs.select(id_col, text, held.alias("held_out"))
     training = slim.where("not held_out")
     counted = training.select(text).mapInArrow(_count(text, depth, parts), _COUNTS)
-    sums = written(counted.repartition(parts, "part").mapInArrow(_sum_up, "part int, kind int, blob binary, n long, total long, bins array<long>"))
+    sums = written(counted.repartition(parts, "part").mapInArrow(_sum_up, "part int, kind int, blob binary, n long, total long, bins binary"))
     facts = {r.kind: r for r in sums.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
     ends = training.count()
     bins = {k: np.zeros(_BINS, np.int64) for k in (0, 1)}
-    for r in sums.select("kind", F.posexplode("bins")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).where("n > 0").collect():
-        bins[r.kind][r.pos] = r.n
+    for r in sums.select("kind", "bins").repartition(2, "kind").mapInArrow(_add_bins, "kind int, bins binary").collect():
+        bins[r.kind] += _unpack(r.bins, (np.int64,))[0][0]
     tokens = (facts[0].total if 0 in facts else 0) + ends
     vocabulary = (facts[0].n if 0 in facts else 0) + int(ends > 0)
     least = {0: _least_bin(bins[0], frequent_words), 1: _least_bin(bins[1], max_contexts)}
@@ -394,8 +419,8 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", depth: in
     model = spark.sparkContext.broadcast((nodes, p_one, word_keys, word_counts, deepest))
     scored = written(slim.mapInArrow(_score(text, id_col, depth, parts, model, tokens, vocabulary), f"`{id_col}` {id_type}, {_SCORED}"))
     asked = scored.where("kind is not null").select("part", "kind", "blob").unionByName(sums.where("kind = 0").select("part", "kind", "blob"))
-    more = asked.repartition(parts, "part").mapInArrow(_rare_words(tokens, vocabulary), "_lm_a long, _lm_b long, more_known long, more_base double")
-    more = more.groupBy("_lm_a", "_lm_b").agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"))
+    more = asked.repartition(parts, "part").mapInArrow(_rare_words(tokens, vocabulary), "_lm_a long, chunk long, sums binary")
+    more = more.repartition(parts, "_lm_a", "chunk").mapInArrow(_by_row, "_lm_a long, _lm_b long, more_known long, more_base double")
     out = scored.where("kind is null").join(more, ["_lm_a", "_lm_b"], "left")
     return out.select(
         id_col, "held_out", "n_tokens",
