@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracles import ORACLES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,10 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
-def _oracles() -> dict[str, str]:
-    from .chat import ORACLE
-
-    return {"op9_chat_formatting": ORACLE}
-
-
-ORACLES: dict[str, str] = _oracles()
+__all__ = ["ORACLES", "queries"]
