@@ -238,8 +238,11 @@ def contamination_digests(docs: DataFrame, items: DataFrame, **options) -> DataF
 
 def without_hits(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with every hit word cut out of its text; texts without a hit are untouched, those with nothing left go."""
-    names = docs.columns
-    found = contamination(docs, items, text, **options)
+    columns, place = docs.columns, docs.columns.index(text)
+    names = [f"_dc{i}" for i in range(len(columns))]
+    shape = docs.toDF(*names).schema
+    found = contamination(docs.toDF(*names), items, names[place], **options)
+    text = names[place]
 
     def run(batches):
         for batch in batches:
@@ -263,4 +266,4 @@ def without_hits(docs: DataFrame, items: DataFrame, text: str = "text", **option
             kept = pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(pa.array(keep, pa.bool_()))
             yield kept.select(names)
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, shape).toDF(*columns)

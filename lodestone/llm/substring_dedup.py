@@ -215,7 +215,7 @@ def _repeats(window: int, a, b, doc, at, count, twice, h):
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = 35, gram: int = 5) -> DataFrame:
-    """docs with all its columns and `spans`, array<struct<s,e>>: word ranges to remove, not merged across buckets.
+    """docs with all its columns and `_sk_spans`, array<struct<s,e>>: word ranges to remove, not merged across buckets.
 
     Only rows that may have spans (by a filter of fixed size over their keys) are dealt out again to meet them.
     """
@@ -231,11 +231,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         at = bloom_bits(np.stack([a.to_numpy(np.int64), b.to_numpy(np.int64)], 1).view(U))
         return pd.Series(((bloom.value[at >> 3] >> (7 - (at & 7))) & 1).all(1))
 
-    grouped = spans.groupBy("_sk_a", "_sk_b").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    grouped = spans.groupBy("_sk_a", "_sk_b").agg(F.collect_list(F.struct("s", "e")).alias("_sk_spans"))
     marked = keyed.withColumn("_sk_maybe", maybe("_sk_a", "_sk_b"))
-    kind = grouped.schema["spans"].dataType
+    kind = grouped.schema["_sk_spans"].dataType
     met = marked.where("_sk_maybe").join(grouped, ["_sk_a", "_sk_b"], "left")
-    rest = marked.where("not _sk_maybe").withColumn("spans", F.lit(None).cast(kind))
+    rest = marked.where("not _sk_maybe").withColumn("_sk_spans", F.lit(None).cast(kind))
     return met.unionByName(rest).drop("_sk_a", "_sk_b", "_sk_maybe")
 
 
@@ -259,7 +259,7 @@ def _digest(text: str, id_col: str, id_type):
     def run(batches):
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for t, spans in zip(batch.column(text), batch.column("spans"), strict=True):
+            for t, spans in zip(batch.column(text), batch.column("_sk_spans"), strict=True):
                 n, removed, keep = kept_pieces((t.as_py() or "").encode(), spans.as_py())
                 out[0].append(n), out[1].append(removed), out[2].append(hashlib.sha256(b" ".join(keep)).hexdigest())
             yield pa.record_batch([batch.column(id_col), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=[id_col, "n_words", "n_removed", "kept_sha256"])
@@ -271,13 +271,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """docs with `text` replaced by its kept words joined by one space, and n_removed."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    docs = docs.drop("n_removed")
     schema = docs.schema
     target = to_arrow_schema(schema).append(pa.field("n_removed", pa.int64()))
 
     def run(batches):
         for batch in batches:
             kept, gone = [], []
-            for t, spans in zip(batch.column(text), batch.column("spans"), strict=True):
+            for t, spans in zip(batch.column(text), batch.column("_sk_spans"), strict=True):
                 n, removed, keep = kept_pieces((t.as_py() or "").encode(), spans.as_py())
                 kept.append(t.as_py() if t.as_py() is None else b" ".join(keep).decode())
                 gone.append(removed)
@@ -296,6 +297,6 @@ def _with(schema, ddl: str):
 
 def repeat_digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = 35, gram: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    spans = repeated_spans(docs.select(id_col, text), text, id_col, window, gram).select(id_col, text, "spans")
+    spans = repeated_spans(docs.select(id_col, text), text, id_col, window, gram).select(id_col, text, "_sk_spans")
     kind = docs.schema[id_col].dataType.simpleString()
     return spans.mapInArrow(_digest(text, id_col, kind), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")

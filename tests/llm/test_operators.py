@@ -67,8 +67,8 @@ def test_substring_dedup(docs, empty):
     assert got == sorted(expected)
     assert sum(x[2] for x in got) > 300
     assert substring_dedup.repeat_digests(empty).collect() == []
-    clean = substring_dedup.remove_repeats(docs.withColumn("spans_", docs.lang))
-    assert clean.columns == [*docs.columns, "spans_", "n_removed"] and clean.count() == docs.count()
+    clean = substring_dedup.remove_repeats(docs.withColumn("spans", docs.lang).withColumn("n_removed", docs.lang))
+    assert clean.columns == [*docs.columns, "spans", "n_removed"] and clean.count() == docs.count()
 
 
 def _components(rows, sets):
@@ -132,8 +132,9 @@ def test_decontamination(spark, docs, empty, texts):
         got = sorted((str(r[0]), *r[1:]) for r in decontamination.contamination_digests(docs, table, block_bytes=block).collect())
         assert got == sorted(expected)
     assert sum(x[2] for x in expected) > 30
-    cut = decontamination.without_hits(docs, table)
-    assert cut.columns == docs.columns
+    cut = decontamination.without_hits(docs.withColumn("hits", docs.lang), table)
+    assert cut.columns == [*docs.columns, "hits"]
+    cut = cut.drop("hits")
     assert not any(r.contaminated for r in decontamination.contamination_digests(spark.createDataFrame(cut.where("doc_id <> 4").collect(), SCHEMA), table.where("item_id = 4 and length(text) > 30")).collect())
     assert decontamination.contamination_digests(empty, table).collect() == []
     assert all(r.n_hit == 0 for r in decontamination.contamination_digests(docs, table.limit(0)).collect())

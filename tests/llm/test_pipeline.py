@@ -13,11 +13,13 @@ def test_stages(spark, tmp_path):
     copy = rows[3][1]
     rows += [(200, copy, "en", "t", 1), (201, copy + " end", "en", None, 1), (202, rows[5][1] + " " + passage, "en", "t", 1), (203, None, None, None, None), (204, "", "en", "s", 0), (204, "", "en", "s", 0)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    extra = corpus_pipeline.F.lit("kept")
+    spark.createDataFrame(rows, schema).withColumns({c: extra for c in ("score", "hits", "copies", "component_id", "text_")}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = [r.doc_id for r in out]
+    assert all(r.score == r.hits == r.copies == r.component_id == r.text_ == "kept" for r in out)
     assert set(range(120)) - {3} <= {*ids} and not {200, 201} & {*ids}
     assert len([i for i in ids if i == 202]) == 1 and not any(passage in (r.text or "") for r in out)
     assert {r.shard for r in out} == set(range(24))
