@@ -25,27 +25,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _apart(docs: DataFrame, work) -> DataFrame:
+    """work(docs) with the columns of docs; further columns pass through under names that no operator uses."""
+    names = [c if c in ("doc_id", "text", "lang", "source", "n_chars") else f"_x{i}" for i, c in enumerate(docs.columns)]
+    out = work(docs.toDF(*names))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality_scores(docs, _table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    return _apart(docs, lambda d: quality_scores(d, _table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return keep_one(docs).select(*docs.columns)
+    return _apart(docs, keep_one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts; n_chars follows."""
-    clean = without_hits(docs, _table(spark, sf_dir, "benchmark"))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return _apart(docs, lambda d: without_hits(d, _table(spark, sf_dir, "benchmark")).withColumn("n_chars", size))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are thinned out to the target mixture: a rate under 1 keeps a share of such documents, and none is repeated,
     for repeats would undo the second stage. A rate within 0.25 of 1 keeps the document."""
-    out = mixed(docs, _table(spark, sf_dir, "labels"), TARGETS, snap=0.25)
-    return out.where("copies > 0").select(*docs.columns)
+    return _apart(docs, lambda d: mixed(d, _table(spark, sf_dir, "labels"), TARGETS, snap=0.25).where("copies > 0"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
