@@ -49,20 +49,24 @@ def paths(nodes: DataFrame) -> DataFrame:
     base = nodes.select(key.alias("c"), "node", "parent")
     known = base.select("c", F.col("node").alias("parent"), F.lit(True).alias("there"))
     base = written(base.join(known, ["c", "parent"], "left").select("c", "node", F.when(F.col("there"), F.col("parent")).alias("up")))
+    # levels[k]: `up` is the ancestor 2^k steps above, `depth` the nodes from it down to here. A node whose root is reached
+    # has no `up`, a final depth, and takes no part in later joins.
     levels = [base.select("c", "node", "up", F.when(F.col("up").isNull(), 1).otherwise(2).cast("long").alias("depth"))]
-    # levels[k]: `up` is the ancestor 2^k steps above, `depth` the nodes counted so far (final once `up` is null)
-    while not levels[-1].where("up is not null").isEmpty():
-        last = levels[-1]
-        above = last.select("c", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        far = last.join(above, ["c", "up"], "left")
-        levels.append(written(far.select("c", "node", F.col("next").alias("up"), F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.col("depth") - 1 + F.col("more")).alias("depth"))))
+    final = levels[0].where("up is null")
+    active = levels[0].where("up is not null")
+    while not active.isEmpty():
+        above = active.unionByName(final).select("c", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        far = written(active.join(above, ["c", "up"]).select("c", "node", F.col("next").alias("up"), (F.col("depth") - 1 + F.col("more")).alias("depth")))
+        levels.append(far)
+        active = far.where("up is not null")
+        final = final.unionByName(far.where("up is null"))
     parents = base.where("up is not null").select("c", F.col("up").alias("node")).distinct()
-    leaves = levels[-1].join(parents, ["c", "node"], "left_anti")
+    leaves = final.join(parents, ["c", "node"], "left_anti")
     # a segment ends at `node`, holds `n` nodes upwards, and its last node has place `at`
     part = leaves.select("c", F.col("node").alias("leaf"), "node", F.col("depth").alias("n"), F.col("depth").alias("at"))
     for k in range(len(levels) - 2, -1, -1):
         half = 1 << k
-        long = part.where(F.col("n") > half).join(levels[k].select("c", "node", "up"), ["c", "node"])
+        long = part.where(F.col("n") > half).join(levels[k].where("up is not null").select("c", "node", "up"), ["c", "node"])
         lower = long.select("c", "leaf", "node", F.lit(half).cast("long").alias("n"), "at")
         upper = long.select("c", "leaf", F.col("up").alias("node"), (F.col("n") - half).alias("n"), (F.col("at") - half).alias("at"))
         part = written(part.where(F.col("n") <= half).unionByName(lower).unionByName(upper))
