@@ -7,7 +7,9 @@ ones first, all but the first x - T + 1 may be set aside as long: a partner must
 * The order comes from a count of all shingles of all documents in a hashed table of fixed size: ordinary shingles by hash,
   frequent ones (a line in a third of all texts) last, by size class. Any order is right; this one keeps the lists short.
 * Short lists meet at the bucket of their shingle, where they are merged and occurrences are counted (`_merge`).
-* Candidates are settled by binary probes of one sorted set into the other (`_probe`).
+* Candidates are first held against a bound: each set has a bitmap of about one bit a shingle, and a bit that is set in one
+  bitmap only is a shingle that isn't shared (`_may_reach`). Those that remain are settled by binary probes of one sorted
+  set into the other (`_probe`).
 * Lists over `small` entries are not turned into all their pairs. A first round links each entry to its neighbour by size;
   a second one takes from such a list only pairs that lie in different components after the first. Links inside a
   component can't change it, so nothing is lost, and a group of n near copies costs about n probes.
@@ -27,13 +29,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, bloom_bits, bloom_of, chunks, components, gram_hashes, ranges, sequence_keys, shuffle_parts, text_bytes, written
+from .common import U, Words, bloom_bits, bloom_of, chunks, components, dropped, gram_hashes, mix, ranges, sequence_keys, shuffle_parts, text_bytes, written
 from .substring_dedup import _pack, _unpack, _with
 
 CHUNK = 8_000_000
-CELLS = 1 << 20
+#: Cells of the table of counts: about one for each CELL_BYTES of text, within these bounds.
+CELL_BYTES, LEAST_CELLS, MOST_CELLS = 256, 1 << 16, 1 << 24
 SLICES = 16
+#: Bits of the smallest bitmap.
+BITS = 2048
 SMALL = 24
+#: Pairs of a long list that are tried to join two components before the rest is looked at.
+TRIES = 8
 
 
 # ---------------------------------------------------------------- sets of a chunk
@@ -97,25 +104,56 @@ def _keys_of(column) -> np.ndarray:
 
 # ---------------------------------------------------------------- pass 1: classes, set sizes, counts of all shingles
 
-_PROFILE = "n_shingles long, _ng_key binary, _ng_slice int, _ng_counts binary"
+_PROFILE = "n_shingles long, _ng_key binary, _ng_bits binary, _ng_slice int, _ng_counts binary"
+_NAMES = ["n_shingles", "_ng_key", "_ng_bits", "_ng_slice", "_ng_counts"]
 
 
-def _profile(text: str, id_col: str, n: int):
+def _bitmap(values: np.ndarray) -> bytes:
+    """2**k bits, at least one a shingle; a longer one folds to a shorter one by OR of its halves."""
+    bits = np.zeros(max(BITS, 1 << (len(values) - 1).bit_length()), bool)
+    bits[(values >> U(8)).astype(np.int64) & (len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_reach(t: tuple[int, int]):
+    """Drops pairs that can't reach the threshold by their sizes and bitmaps."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y, a, b in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ba", "bb")), strict=True):
+                while len(a) > len(b):
+                    a = (int.from_bytes(a[: len(a) // 2], "little") | int.from_bytes(a[len(a) // 2 :], "little")).to_bytes(len(a) // 2, "little")
+                while len(b) > len(a):
+                    b = (int.from_bytes(b[: len(b) // 2], "little") | int.from_bytes(b[len(b) // 2 :], "little")).to_bytes(len(b) // 2, "little")
+                a, b = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+                most = min(x - (a & ~b).bit_count(), y - (b & ~a).bit_count())
+                keep.append(t[1] * most >= t[0] * (x + y - most))
+            yield pa.RecordBatch.from_arrays([batch.column("ka"), batch.column("kb")], ["ka", "kb"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _profile(text: str, id_col: str, n: int, cells: int):
     def run(batches):
-        total = np.zeros(CELLS, np.uint32)
+        total = np.zeros(cells, np.uint32)
         id_type = None
         for table in chunks(batches, text, CHUNK):
             values, first, keys = _sets(table, text, n)
             values, first = _distinct(values, first)
-            mine, _ = _picked(values, first, _firsts(keys, first))
-            total += np.bincount((mine & U(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            heads = _firsts(keys, first)
+            mine, cut = _picked(values, first, heads)
+            bits = [None] * table.num_rows
+            for r, lo, hi in zip(heads.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                bits[r] = _bitmap(mine[lo:hi])
+            total += np.bincount((mine & U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
             rows, id_type = table.num_rows, table[id_col].type
             size = np.diff(first)
             key = pa.array([k if s else None for k, s in zip(_binary(keys.view(np.uint8).ravel(), 16).to_pylist(), size.tolist(), strict=True)], pa.binary())
-            yield pa.record_batch([table[id_col].combine_chunks(), pa.array(size, pa.int64()), key, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=[id_col, "n_shingles", "_ng_key", "_ng_slice", "_ng_counts"])
+            yield pa.record_batch([table[id_col].combine_chunks(), pa.array(size, pa.int64()), key, pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=[id_col, *_NAMES])
         if id_type is not None:
             parts = total.reshape(SLICES, -1)
-            yield pa.record_batch([pa.nulls(SLICES, id_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in parts], pa.binary())], names=[id_col, "n_shingles", "_ng_key", "_ng_slice", "_ng_counts"])
+            yield pa.record_batch([pa.nulls(SLICES, id_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in parts], pa.binary())], names=[id_col, *_NAMES])
 
     return run
 
@@ -130,16 +168,15 @@ def _add_slices(batches):
         yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["_ng_slice", "_ng_counts"])
 
 
-def _order_classes(profile: DataFrame) -> np.ndarray:
-    """Size class 0..15 of each cell of the count table (CELLS bytes, whatever the input)."""
+def _order_classes(profile: DataFrame, cells: int) -> np.ndarray:
+    """Size class 0..15 of each cell of the count table (at most MOST_CELLS bytes)."""
     rows = profile.where("_ng_slice is not null").select("_ng_slice", "_ng_counts").repartition(SLICES, "_ng_slice").mapInArrow(_add_slices, "_ng_slice int, _ng_counts binary").collect()
-    total = np.zeros((SLICES, CELLS // SLICES), np.int64)
+    total = np.zeros((SLICES, cells // SLICES), np.float32)
     for r in rows:
         total[r._ng_slice] = np.frombuffer(r._ng_counts, np.int64)
     total = total.ravel()
-    usual = total.mean() + 2
-    ratio = total / usual
-    return np.where(ratio > 8, np.clip(np.log2(np.maximum(ratio, 1)) - 2, 1, 15), 0).astype(np.uint8)
+    usual = float(total.mean()) + 2 * float(total.mean()) ** 0.5 + 2
+    return np.clip(np.ceil(2 * np.log2(np.maximum(total, 1) / usual)), 0, 15).astype(np.uint8)
 
 
 # ---------------------------------------------------------------- pass 2: short lists
@@ -156,7 +193,7 @@ def _short_lists(text: str, n: int, t: tuple[int, int], parts: int, classes):
             values, first, keys = _sets(table, text, n)
             rows = _firsts(keys, first)
             values, first = _picked(values, first, rows)
-            values |= rank[(values & U(CELLS - 1)).astype(np.int64)].astype(U) << U(60)
+            values |= rank[(values & U(len(rank) - 1)).astype(np.int64)].astype(U) << U(60)
             values, first = _distinct(values, first)
             size = np.diff(first)
             take = _prefix(size, t)
@@ -255,16 +292,20 @@ def _merge(t: tuple[int, int], small: int):
         at = np.flatnonzero(long)
         # equal long lists say the same thing: one of each is enough
         if len(at):
+            # (a list is named by what it holds, so equal ones of other buckets fall together too)
             starts, counts = head[many > small], many[many > small]
             with np.errstate(over="ignore"):
                 weight = (keys[docs, 0] * U(3) + keys[docs, 1])
                 c = np.concatenate([np.zeros(1, U), np.cumsum(weight * weight)])
                 name = c[starts + counts] - c[starts]
-            _, one = np.unique(np.stack([name, counts.astype(U)], 1), axis=0, return_index=True)
+            with np.errstate(over="ignore"):
+                name = mix(name * U(0x9E3779B97F4A7C15) + counts.astype(U))
+            _, one = np.unique(name, return_index=True)
             at = ranges(starts[one], counts[one])
+            named = np.repeat(name[one], counts[one])
             for lo in range(0, len(at), 1 << 17):
                 k = at[lo : lo + (1 << 17)]
-                yield pa.record_batch([_binary(keys[docs[k]].view(np.uint8).ravel(), 16), pa.nulls(len(k), pa.binary()), pa.array(sizes[docs[k]], pa.int32()), pa.nulls(len(k), pa.int32()), pa.array(entries[k].view(np.int64))], names=["ka", "kb", "xa", "xb", "list"])
+                yield pa.record_batch([_binary(keys[docs[k]].view(np.uint8).ravel(), 16), pa.nulls(len(k), pa.binary()), pa.array(sizes[docs[k]], pa.int32()), pa.nulls(len(k), pa.int32()), pa.array(named[lo : lo + (1 << 17)].view(np.int64))], names=["ka", "kb", "xa", "xb", "list"])
 
     return run
 
@@ -316,61 +357,117 @@ def _probe(t: tuple[int, int]):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    a = sets.select(F.col("_ng_key").alias("ka"), F.col("_ng_set").alias("sa"))
-    b = sets.select(F.col("_ng_key").alias("kb"), F.col("_ng_set").alias("sb"))
-    return pairs.join(b, "kb").join(a, "ka").select("ka", "kb", "sa", "sb").mapInArrow(_probe(t), "src binary, dst binary")
-
-
-def _across(t: tuple[int, int]):
-    """From entries sorted by list: pairs of different components that fit by size."""
-
-    def one(keys, sizes, comp):
+def _verified(docs: DataFrame, text: str, n: int, pairs: DataFrame, bits: DataFrame, t: tuple[int, int], have: list[DataFrame]) -> DataFrame:
+    """The pairs (ka, kb) that are links, as (src, dst). Only sets of pairs that pass the bound are dealt out; `have` holds
+    the tables of sets made so far, and gets one more if sets are missing."""
+    a, b = (bits.select(F.col("_ng_key").alias(f"k{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("_ng_bits").alias(f"b{x}")) for x in "ab")
+    left = written(pairs.join(b, "kb").join(a, "ka").select("ka", "kb", "na", "nb", "ba", "bb").mapInArrow(_may_reach(t), "ka binary, kb binary"))
+    wanted = left.select("ka").unionByName(left.select(F.col("kb").alias("ka")))
+    for table in have:
+        wanted = wanted.join(table.select(F.col("_ng_key").alias("ka")), "ka", "left_anti")
+    wanted = written(wanted.distinct())
+    if not wanted.isEmpty():
+        bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted, lambda batch: _keys_of(batch.column(0))))
+        sets = docs.select(text).mapInArrow(_wanted_sets(text, n, bloom), "_ng_key binary, _ng_set binary")
+        sets = sets.join(wanted.withColumnRenamed("ka", "_ng_key"), "_ng_key", "left_semi").groupBy("_ng_key").agg(F.first("_ng_set").alias("_ng_set"))
+        have.append(written(sets))
+    sets = have[0] if have else None
+    for table in have[1:]:
+        sets = sets.unionByName(table)
+    if sets is None:
+        return left.select(F.col("ka").alias("src"), F.col("kb").alias("dst"))
+    a, b = (sets.select(F.col("_ng_key").alias(f"k{x}"), F.col("_ng_set").alias(f"s{x}")) for x in "ab")
+    links = written(left.join(b, "kb").join(a, "ka").select("ka", "kb", "sa", "sb").mapInArrow(_probe(t), "src binary, dst binary"))
+    dropped(left), dropped(wanted)
+    return links
+
+
+def _across(t: tuple[int, int], forest: bool):
+    """From entries sorted by list: pairs of different components that may reach the threshold by size and bitmap; with
+    `forest` only as many as would join all components of a list."""
+
+    def one(keys, sizes, comp, bits):
         order = np.argsort(sizes, kind="stable")
-        keys, sizes, comp = keys[order], sizes[order], comp[order]
-        reach = np.searchsorted(sizes.astype(np.int64) * t[0], sizes.astype(np.int64) * t[1], side="right")
+        keys, sizes, comp, bits = keys[order], sizes[order].astype(np.int64), comp[order], bits[order]
+        reach = np.searchsorted(sizes * t[0], sizes * t[1], side="right")
+        parent: dict[int, int] = {}
+        tried: dict[tuple[int, int], int] = {}
+        label, members = np.unique(comp, return_counts=True)
+        many = dict(zip(label.tolist(), members.tolist(), strict=True))
         for i in range(len(sizes)):
             j = i + 1 + np.flatnonzero(comp[i + 1 : reach[i]] != comp[i])
+            if len(j):
+                most = np.minimum(sizes[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), sizes[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
+                j = j[t[1] * most >= t[0] * (sizes[i] + sizes[j] - most)]
+            if len(j) and forest:
+                j = joins(parent, tried, many, comp, i, j)
             if len(j):
                 yield i, j, keys, sizes
 
+    def joins(parent, tried, many, comp, i, j):
+        """Of the candidates j of i, one for each component that isn't joined to i's yet; TRIES pairs join two components."""
+
+        def find(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        kept, mine = [], int(comp[i])
+        _, first = np.unique(comp[j], return_index=True)
+        for at in j[np.sort(first)].tolist():
+            other = int(comp[at])
+            a, b = find(mine), find(other)
+            if a != b:
+                kept.append(at)
+                pair = (min(mine, other), max(mine, other))
+                tried[pair] = tried.get(pair, 0) + 1
+                if tried[pair] >= min(TRIES, many[mine] * many[other]):
+                    parent[b] = a
+        return np.array(kept, np.int64)
+
+    def folded(blob):
+        x = np.frombuffer(blob, U)
+        return np.bitwise_or.reduce(x.reshape(-1, BITS // 64), 0)
+
     def run(batches):
-        held, name = [], None
+        held, name, found = [], None, []
 
         def flush():
             if not held:
                 return
-            keys, sizes, comp = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, sizes, comp, bits = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             if len(np.unique(comp)) < 2:
                 return
-            a, b, xa, xb, n = [], [], [], [], 0
-            for i, j, k, s in one(keys, sizes, comp):
-                a.append(np.broadcast_to(k[i], (len(j), 2))), b.append(k[j]), xa.append(np.full(len(j), s[i])), xb.append(s[j])
-                n += len(j)
-                if n > 1 << 17:
-                    yield out(a, b, xa, xb)
-                    a, b, xa, xb, n = [], [], [], [], 0
-            if n:
-                yield out(a, b, xa, xb)
-
-        def out(a, b, xa, xb):
-            a, b = np.concatenate(a), np.concatenate(b)
-            swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-            a[swap], b[swap] = b[swap], a[swap]
-            return pa.record_batch([_binary(a.view(np.uint8).ravel(), 16), _binary(b.view(np.uint8).ravel(), 16)], names=["ka", "kb"])
+            for i, j, k, _ in one(keys, sizes, comp, bits):
+                found.append(np.concatenate([np.broadcast_to(k[i], (len(j), 2)), k[j]], 1))
+            if sum(map(len, found)) > 1 << 17:
+                yield from out()
+
+        def out():
+            """The pairs found, smaller key first, each once."""
+            if not found:
+                return
+            x = np.concatenate(found)
+            found.clear()
+            swap = (x[:, 0] > x[:, 2]) | ((x[:, 0] == x[:, 2]) & (x[:, 1] > x[:, 3]))
+            x[swap] = x[swap][:, [2, 3, 0, 1]]
+            x = np.unique(x, axis=0)
+            yield pa.record_batch([_binary(np.ascontiguousarray(x[:, lo : lo + 2]).view(np.uint8).ravel(), 16) for lo in (0, 2)], names=["ka", "kb"])
 
         for batch in batches:
             lists = batch.column("list").to_numpy()
             keys, sizes = _keys_of(batch.column("ka")), batch.column("xa").to_numpy()
-            comp = np.array([hash(x) for x in batch.column("comp").to_pylist()])
+            comp = _keys_of(batch.column("comp"))[:, 0]
+            bits = np.array([folded(x) for x in batch.column("_ng_bits").to_pylist()], U).reshape(-1, BITS // 64)
             cut = np.append(np.flatnonzero(np.append(True, lists[1:] != lists[:-1])), len(lists))
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 if lists[lo] != name:
                     yield from flush()
                     name = lists[lo]
-                held.append((keys[lo:hi], sizes[lo:hi], comp[lo:hi]))
+                held.append((keys[lo:hi], sizes[lo:hi], comp[lo:hi], bits[lo:hi]))
         yield from flush()
+        yield from out()
 
     return run
 
@@ -384,23 +481,35 @@ def _classes(docs: DataFrame, text: str, id_col: str, n: int, t: tuple[int, int]
     parts = shuffle_parts(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(id_col, text)
-    profile = written(slim.mapInArrow(_profile(text, id_col, n), f"`{id_col}` {id_type}, {_PROFILE}"))
-    classes = spark.sparkContext.broadcast(_order_classes(profile))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    cells = 1 << min(MOST_CELLS, max(LEAST_CELLS, size // CELL_BYTES)).bit_length() - 1
+    profile = written(slim.mapInArrow(_profile(text, id_col, n, cells), f"`{id_col}` {id_type}, {_PROFILE}"))
+    classes = spark.sparkContext.broadcast(_order_classes(profile, cells))
     lists = docs.select(text).mapInArrow(_short_lists(text, n, t, parts, classes), "part int, n long, blob binary")
     merged = written(lists.repartition(parts, "part").mapInArrow(_merge(t, small), _PAIR))
     pairs = written(merged.where("list is null").select("ka", "kb").distinct())
-    bloom = spark.sparkContext.broadcast(bloom_of(pairs.select("ka").unionByName(pairs.select(F.col("kb").alias("ka"))), lambda batch: _keys_of(batch.column(0))))
-    sets = written(docs.select(text).mapInArrow(_wanted_sets(text, n, bloom), "_ng_key binary, _ng_set binary").groupBy("_ng_key").agg(F.first("_ng_set").alias("_ng_set")))
-    edges = written(_verified(pairs, sets, t))
+    bits = profile.where("_ng_bits is not null").groupBy("_ng_key").agg(F.first("_ng_bits").alias("_ng_bits"), F.first("n_shingles").alias("n_shingles"))
+    sets: list[DataFrame] = []
+    edges = _verified(docs, text, n, pairs, bits, t, sets)
     comp = components(edges)
-    entries = merged.where("list is not null").select("list", "ka", "xa")
-    labelled = entries.join(comp.withColumnRenamed("node", "ka"), "ka", "left").select("list", "ka", "xa", F.coalesce("component", "ka").alias("comp"))
-    mixed = labelled.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    more = written(labelled.join(mixed, "list", "left_semi").repartition(parts, "list").sortWithinPartitions("list").mapInArrow(_across(t), "ka binary, kb binary").distinct().join(pairs, ["ka", "kb"], "left_anti"))
-    if not more.isEmpty():
-        late = written(_verified(more, sets, t))
+    entries = merged.where("list is not null").select("list", "ka", "xa").dropDuplicates(["list", "ka"])
+    # long lists with several components: first pairs that would join them all, as near copies mostly are links, then what is left
+    for forest in (True, False):
+        labelled = entries.join(comp.withColumnRenamed("node", "ka"), "ka", "left").select("list", "ka", "xa", F.coalesce("component", "ka").alias("comp"))
+        mixed = labelled.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
+        entries = written(labelled.join(mixed, "list", "left_semi"))
+        if entries.isEmpty():
+            break
+        found = entries.join(bits.select(F.col("_ng_key").alias("ka"), "_ng_bits"), "ka").repartition(parts, "list").sortWithinPartitions("list").mapInArrow(_across(t, forest), "ka binary, kb binary")
+        more = written(found.distinct().join(pairs, ["ka", "kb"], "left_anti"))
+        entries = entries.select("list", "ka", "xa")
+        if more.isEmpty():
+            continue
+        late = _verified(docs, text, n, more, bits, t, sets)
         if not late.isEmpty():
-            comp = components(edges.unionByName(late))
+            # the components so far stand for their links
+            comp = components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(late))
+        pairs = pairs.unionByName(more)
     return profile.where("_ng_slice is null").select(id_col, "n_shingles", "_ng_key"), comp
 
 
