@@ -7,8 +7,11 @@ children's (its last byte made longer), so the tree mixes all depths. Counts com
 buckets, and the tree is built from the sums: bottom up for the weights, top down for the prediction in each node. A context
 that was not seen in training predicts with the longest one that was.
 
-The model sent to the executors is bounded: at most `max_contexts` (context, byte) pairs, the most frequent ones; a context
-that is cut keeps its share in its parent's product as one estimate. Below the bound nothing is cut.
+Every context counts, however rare: the tree is never gathered in one place. It is dealt out by the last TOP bytes of the context, so
+a bucket holds whole subtrees. Buckets send up the sums that the nodes above them need (at most 256 * 255 of them, whatever
+the corpus), the driver weights those nodes and hands down each one's share. To score, texts are packed in groups; each
+group asks the buckets once for its distinct (context, byte) pairs, and texts and answers meet again by group. A group closes
+when it has more than `max_contexts` distinct pairs: that bounds a task's memory and changes no score.
 
 `base_score` is the add-half unigram score. Counts of the most frequent words (bounded) go to the map side; all other
 words travel, packed, to the bucket that holds their count.
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, chunks, ranges, shuffle_parts, text_bytes, written
+from .common import U, Words, chunks, ranges, shuffle_parts, text_bytes, trimmed, written
 from .substring_dedup import _pack, _unpack
 
 CHUNK = 4_000_000
@@ -89,7 +92,21 @@ class _Sums:
         return _summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
 
 
-#: kind 0: words; kind 1: (context, byte) pairs of all depths, the depth plus one in the top byte.
+#: The tree is dealt out by this many of the last bytes of a context.
+TOP = 2
+
+
+def _deal(kind: int, keys: np.ndarray, parts: int, depth: int):
+    """(part, sorted positions of its keys): words by their hash, grams by the subtree that they lie in."""
+    by = keys if kind == 0 else (keys >> U(8)) & U((1 << (8 * min(TOP, depth))) - 1)
+    with np.errstate(over="ignore"):
+        part = ((by * U(0x9E3779B97F4A7C15)) >> U(33)) % U(parts)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(p, order[cut[p] : cut[p + 1]]) for p in np.flatnonzero(np.diff(cut)).tolist()]
+
+
+#: kind 0: words; kind 1: (context, byte) pairs of the full depth, whose sums give all others.
 _COUNTS = "part int, kind int, blob binary"
 
 
@@ -102,23 +119,9 @@ def _count(text: str, depth: int, parts: int):
             words_sum.add(*_summed(words.hashes))
             raw, first = stream(data, words, depth)
             gram_sum.add(*_summed(gram_keys(raw, first, depth)))
-        keys, counts = gram_sum.all()
-        out = [(0, *words_sum.all())]
-        for d in range(depth, -1, -1):
-            tag = U((d + 1) << 56)
-            out.append((1, keys | tag, counts))
-            if d:
-                keys, counts = _summed(keys & U((1 << (8 * d)) - 1), counts)
-        for kind in (0, 1):
-            keys, counts = (np.concatenate([x[i] for x in out if x[0] == kind]) for i in (1, 2))
-            with np.errstate(over="ignore"):
-                part = ((keys * U(0x9E3779B97F4A7C15)) >> U(33)) % U(parts)
-            order = np.argsort(part, kind="stable")
-            keys, counts, part = keys[order], counts[order], part[order]
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(cut))
-            for p in full.tolist():
-                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([kind], pa.int32()), pa.array([_pack([keys[cut[p] : cut[p + 1]], counts[cut[p] : cut[p + 1]].astype(np.int64)])], pa.binary())], names=["part", "kind", "blob"])
+        for kind, (keys, counts) in ((0, words_sum.all()), (1, gram_sum.all())):
+            for p, at in _deal(kind, keys, parts, depth):
+                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([kind], pa.int32()), pa.array([_pack([keys[at], counts[at].astype(np.int64)])], pa.binary())], names=["part", "kind", "blob"])
 
     return run
 
@@ -126,17 +129,22 @@ def _count(text: str, depth: int, parts: int):
 _BINS = 4096
 
 
-def _sum_up(batches):
-    """One row for each (part, kind): the summed table and how many of its counts fall in each of _BINS bins."""
-    sums: dict[tuple[int, int], _Sums] = {}
-    for batch in batches:
-        for p, k, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            (keys, counts), _ = _unpack(blob, (U, np.int64))
-            sums.setdefault((p, k), _Sums()).add(keys, counts)
-    for (p, k), s in sums.items():
-        keys, counts = s.all()
-        bins = np.bincount(_bin(counts), minlength=_BINS).astype(np.int64)
-        yield pa.record_batch([pa.array([p], pa.int32()), pa.array([k], pa.int32()), pa.array([_pack([keys, counts])], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([_pack([bins])], pa.binary())], names=["part", "kind", "blob", "n", "total", "bins"])
+def _sum_up(depth: int):
+    """One row for each (part, kind): the summed table, and for words how many of the counts fall in each of _BINS bins, for grams
+    what the nodes above the subtrees need."""
+
+    def run(batches):
+        sums: dict[tuple[int, int], _Sums] = {}
+        for batch in batches:
+            for p, k, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                (keys, counts), _ = _unpack(blob, (U, np.int64))
+                sums.setdefault((p, k), _Sums()).add(keys, counts)
+        for (p, k), s in sums.items():
+            keys, counts = s.all()
+            up = subtree_sums(keys, counts, depth) if k else [np.bincount(_bin(counts), minlength=_BINS).astype(np.int64)]
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([k], pa.int32()), pa.array([_pack([keys, counts])], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([_pack(up)], pa.binary())], names=["part", "kind", "blob", "n", "total", "up"])
+
+    return run
 
 
 def _bin(counts: np.ndarray) -> np.ndarray:
@@ -150,22 +158,27 @@ def _least_bin(bins: np.ndarray, most: int) -> int:
     return int(np.flatnonzero(np.append(above, 0) <= most)[0])
 
 
-def _add_bins(batches):
-    total: dict[int, np.ndarray] = {}
+def _add_up(batches):
+    """Sums of the `up` column for each kind."""
+    total: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for k, blob in zip(batch.column("kind").to_pylist(), batch.column("bins"), strict=True):
-            total[k] = total.get(k, 0) + _unpack(blob.as_py(), (np.int64,))[0][0]
-    for k, bins in total.items():
-        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([_pack([bins])], pa.binary())], names=["kind", "bins"])
+        for k, blob in zip(batch.column("kind").to_pylist(), batch.column("up"), strict=True):
+            if k:
+                more = _unpack(blob.as_py(), _UP)[0]
+                total[k] = _by_node(*(np.concatenate(x) for x in zip(total[k], more, strict=True))) if k in total else more
+            else:
+                total[k] = [total.get(k, [0])[0] + _unpack(blob.as_py(), (np.int64,))[0][0]]
+    for k, up in total.items():
+        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([_pack(up)], pa.binary())], names=["kind", "up"])
 
 
-def _frequent(kind_bins: dict[int, int]):
+def _frequent(least: int):
     def run(batches):
         for batch in batches:
-            for k, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+            for blob in batch.column("blob"):
                 (keys, counts), _ = _unpack(blob.as_py(), (U, np.int64))
-                pick = _bin(counts) >= kind_bins[k]
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([_pack([keys[pick], counts[pick]])], pa.binary())], names=["kind", "blob"])
+                pick = _bin(counts) >= least
+                yield pa.record_batch([pa.array([_pack([keys[pick], counts[pick]])], pa.binary())], names=["blob"])
 
     return run
 
@@ -190,42 +203,137 @@ def _log_kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return _log_gamma(zero + 0.5) + _log_gamma(one + 0.5) - _log_gamma(zero + one + 1.0) - _LOG_PI
 
 
+def _bits(levels, j: int):
+    """Nodes of the j-th bit at each level, with their counts of zeros and ones."""
+    ids, zero, one = [], [], []
+    for g, c in levels:
+        symbol = g & U(255)
+        prefix = (U(1) << U(j)) | (symbol >> U(8 - j))
+        node, inverse = np.unique(((g >> U(8)) << U(8)) | prefix, return_inverse=True)
+        bit = ((symbol >> U(7 - j)) & U(1)).astype(bool)
+        ids.append(node)
+        zero.append(np.bincount(inverse[~bit], c[~bit], len(node)))
+        one.append(np.bincount(inverse[bit], c[bit], len(node)))
+    return ids, zero, one
+
+
+def _parents(ids: np.ndarray, depth: int) -> np.ndarray:
+    """Nodes of depth - 1 above nodes of `depth`."""
+    return ((ids >> U(8)) & U((1 << (8 * (depth - 1))) - 1)) << U(8) | (ids & U(255))
+
+
+def _weigh(zero: np.ndarray, one: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of a node's own estimate, and its weighted log probability; `below` is the sum of its children's."""
+    own = _log_kt(zero, one)
+    return 1 / (1 + np.exp(np.clip(below - own, -700, 700))), np.logaddexp(own, below) - math.log(2)
+
+
+def _bottom_up(ids, zero, one, top: int):
+    """Positions of the parents and shares of own estimates at each level, and weighted log probabilities of the first, which has depth `top`."""
+    last = len(ids) - 1
+    up = [None] + [np.searchsorted(ids[i - 1], _parents(ids[i], top + i)) for i in range(1, last + 1)]
+    weighted, stop = _log_kt(zero[last], one[last]), [None] * last + [np.ones(len(ids[last]))]
+    for i in range(last - 1, -1, -1):
+        stop[i], weighted = _weigh(zero[i], one[i], np.bincount(up[i + 1], weighted, len(ids[i])))
+    return up, stop, weighted
+
+
+def _top_down(zero, one, up, stop, done: np.ndarray, left: np.ndarray):
+    """Probability of a one in the nodes of each level; done and left are what the levels above settled and left over."""
+    for i in range(len(zero)):
+        if i:
+            done, left = (done + left * stop[i - 1] * kt)[up[i]], (left * (1 - stop[i - 1]))[up[i]]
+        kt = (one[i] + 0.5) / (zero[i] + one[i] + 1)
+        yield (done + left * kt).astype(np.float32)
+
+
+def _sorted_nodes(keys: list[np.ndarray], p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, p = np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0, np.float32), *p])
+    order = np.argsort(keys)
+    return keys[order], p[order]
+
+
 def build_tree(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted node keys (depth, context, bits so far) and each node's probability of a one, mixed over all depths."""
+    """Sorted node keys (depth, context, bits so far) and each node's probability of a one, mixed over all depths, from
+    (context, byte) pairs of all depths, the depth plus one in the top byte."""
     by_depth = (keys >> U(56)).astype(np.int64) - 1
     gram = keys & U((1 << 56) - 1)
     levels = [(gram[by_depth == d], counts[by_depth == d].astype(np.float64)) for d in range(depth + 1)]
     out_keys, out_p = [], []
     for j in range(8):
-        ids, zero, one = [], [], []
-        for g, c in levels:
-            symbol = g & U(255)
-            prefix = (U(1) << U(j)) | (symbol >> U(8 - j))
-            node, inverse = np.unique(((g >> U(8)) << U(8)) | prefix, return_inverse=True)
-            bit = ((symbol >> U(7 - j)) & U(1)).astype(bool)
-            ids.append(node)
-            zero.append(np.bincount(inverse[~bit], c[~bit], len(node)))
-            one.append(np.bincount(inverse[bit], c[bit], len(node)))
-        up = [None]
-        for d in range(1, depth + 1):
-            parent = ((ids[d] >> U(8)) & U((1 << (8 * (d - 1))) - 1)) << U(8) | (ids[d] & U(255))
-            up.append(np.searchsorted(ids[d - 1], parent))
-        weighted, stop = _log_kt(zero[depth], one[depth]), [None] * depth + [np.ones(len(ids[depth]))]
-        for d in range(depth - 1, -1, -1):
-            n = len(ids[d])
-            below = np.bincount(up[d + 1], weighted, n) + _log_kt(np.maximum(zero[d] - np.bincount(up[d + 1], zero[d + 1], n), 0), np.maximum(one[d] - np.bincount(up[d + 1], one[d + 1], n), 0))
-            own = _log_kt(zero[d], one[d])
-            stop[d] = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-            weighted = np.logaddexp(own, below) - math.log(2)
+        ids, zero, one = _bits(levels, j)
+        up, stop, _ = _bottom_up(ids, zero, one, 0)
+        out_p += _top_down(zero, one, up, stop, np.zeros(len(ids[0])), np.ones(len(ids[0])))
+        out_keys += [x | U(d << 56) for d, x in enumerate(ids)]
+    return _sorted_nodes(out_keys, out_p)
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Summed pairs of the depths from TOP to `depth`, from those of `depth`."""
+    out = [(keys, counts)]
+    for d in range(depth, min(TOP, depth), -1):
+        out.append(_summed(out[-1][0] & U((1 << (8 * d)) - 1), out[-1][1]))
+    return [(k, c.astype(np.float64)) for k, c in reversed(out)]
+
+
+_UP = (U, np.float64, np.float64, np.float64)
+
+
+def _by_node(ids: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    node, inverse = np.unique(ids, return_inverse=True)
+    return [node, *(np.bincount(inverse, v, len(node)) for v in values)]
+
+
+def subtree_sums(keys: np.ndarray, counts: np.ndarray, depth: int) -> list[np.ndarray]:
+    """For the nodes just above the subtrees: node, sum of its children's weighted log probabilities, zeros and ones."""
+    top = min(TOP, depth)
+    if not top:
+        return [np.zeros(0, t) for t in _UP]
+    out, levels = [], _levels(keys, counts, depth)
+    for j in range(8):
+        ids, zero, one = _bits(levels, j)
+        out.append(_by_node(_parents(ids[0], top), _bottom_up(ids, zero, one, top)[2], zero[0], one[0]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def top_tree(ids: np.ndarray, below: np.ndarray, zero: np.ndarray, one: np.ndarray, depth: int):
+    """((keys, probabilities) of all nodes above the subtrees, (node, done, left) for those just above them), from the sums of all buckets."""
+    top = min(TOP, depth)
+    levels = []
+    ids, below, zero, one = _by_node(ids, below, zero, one)
+    for d in range(top - 1, -1, -1):
+        stop, weighted = _weigh(zero, one, below)
+        levels.insert(0, (ids, zero, one, stop))
+        if d:
+            ids, below, zero, one = _by_node(_parents(ids, d), weighted, zero, one)
+    if not top:
+        return _sorted_nodes([], []), (np.zeros(0, U), np.zeros(0), np.zeros(0))
+    ids, zero, one, stop = (list(x) for x in zip(*levels, strict=True))
+    up = [None] + [np.searchsorted(ids[d - 1], _parents(ids[d], d)) for d in range(1, top)]
+    p = list(_top_down(zero, one, up, stop, np.zeros(len(ids[0])), np.ones(len(ids[0]))))
+    done, left = np.zeros(len(ids[0])), np.ones(len(ids[0]))
+    for d in range(top):
+        if d:
+            done, left = done[up[d]], left[up[d]]
+        done, left = done + left * stop[d] * (one[d] + 0.5) / (zero[d] + one[d] + 1), left * (1 - stop[d])
+    return _sorted_nodes([x | U(d << 56) for d, x in enumerate(ids)], p), (ids[-1], done, left)
+
+
+def subtree_nodes(keys: np.ndarray, counts: np.ndarray, depth: int, above, hand) -> tuple[np.ndarray, np.ndarray]:
+    """Like build_tree, for the subtrees of a bucket and the nodes above all subtrees."""
+    top = min(TOP, depth)
+    levels = _levels(keys, counts, depth)
+    out_keys, out_p = [above[0]], [above[1]]
+    for j in range(8):
+        ids, zero, one = _bits(levels, j)
+        up, stop, _ = _bottom_up(ids, zero, one, top)
         done, left = np.zeros(len(ids[0])), np.ones(len(ids[0]))
-        for d in range(depth + 1):
-            if d:
-                done, left = (done + left * stop[d - 1] * kt)[up[d]], (left * (1 - stop[d - 1]))[up[d]]
-            kt = (one[d] + 0.5) / (zero[d] + one[d] + 1)
-            out_keys.append(ids[d] | U(d << 56))
-            out_p.append((done + left * kt).astype(np.float32))
-    order = np.argsort(np.concatenate(out_keys))
-    return np.concatenate(out_keys)[order], np.concatenate(out_p)[order]
+        if top:
+            at = np.searchsorted(hand[0], _parents(ids[0], top))
+            done, left = hand[1][at], hand[2][at]
+        out_p += _top_down(zero, one, up, stop, done, left)
+        out_keys += [x | U((top + i) << 56) for i, x in enumerate(ids)]
+    return _sorted_nodes(out_keys, out_p)
 
 
 def _look(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,32 +402,35 @@ def byte_scores(nodes: np.ndarray, p_one: np.ndarray, want: np.ndarray, depth: i
 
 # ---------------------------------------------------------------- scoring
 
-_SCORED = "held_out boolean, n_tokens long, n_known long, base double, score double, _lm_a long, _lm_b long, part int, kind int, blob binary"
+_SCORED = "held_out boolean, n_tokens long, n_known long, base double, _lm_a long, _lm_b long, part int, kind int, blob binary"
+#: Kinds of packed rows: requests for rare words and for grams, packed texts; for a group, its answers, sums of rare words and texts, read in this order.
+_ASK_WORDS, _ASK_GRAMS, _ANSWER, _RARE, _TEXT = 2, 3, 4, 5, 6
 
 
-def _score(text: str, id_col: str, depth: int, parts: int, model, tokens: int, vocabulary: int):
+def _score(text: str, id_col: str, depth: int, parts: int, model, tokens: int, vocabulary: int, group_pairs: int):
     norm = tokens + 0.5 * (vocabulary + 1)
-    names = [id_col, "held_out", "n_tokens", "n_known", "base", "score", "_lm_a", "_lm_b", "part", "kind", "blob"]
+    names = [id_col, "held_out", "n_tokens", "n_known", "base", "_lm_a", "_lm_b", "part", "kind", "blob"]
 
     def run(batches):
-        known = table_of = None
-        task, n_before = secrets.randbits(63), 0
+        known = id_type = None
+        task, n_before, asked = secrets.randbits(63), 0, np.zeros(0, U)
+
+        def packed(kind: int, blobs: list[tuple[int, bytes]]):
+            k = len(blobs)
+            return pa.record_batch([pa.nulls(k, id_type), pa.nulls(k, pa.bool_()), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64())], pa.array([task] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([p for p, _ in blobs], pa.int32()), pa.array([kind] * k, pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=names)
+
+        def requests():
+            return packed(_ASK_GRAMS, [(p, _pack([asked[at]])) for p, at in _deal(1, asked, parts, depth)])
+
         for table in chunks(batches, text, CHUNK):
             if known is None:
-                nodes, p_one, word_keys, word_counts, grams = model.value
-                known = HashTable(word_keys, word_counts)
-                table_of = HashTable(grams, byte_scores(nodes, p_one, grams, depth).astype(np.float32))
+                word_keys, word_counts = model.value
+                known, id_type = HashTable(word_keys, word_counts), table[id_col].type
             rows = table.num_rows
             data, off = text_bytes(table[text])
             words = Words(data, off, lower=True)
             raw, first = stream(data, words, depth)
-            keys = gram_keys(raw, first, depth)
-            value, found = table_of.get(keys, 0)
-            value = value.astype(np.float64)
-            miss = np.flatnonzero(~found)
-            value[miss] = byte_scores(nodes, p_one, keys[miss], depth)
-            cut = np.concatenate([[0], np.cumsum(np.diff(first) - depth)])
-            total = np.add.reduceat(value, cut[:-1])
+            asked = np.union1d(asked, _summed(gram_keys(raw, first, depth))[0])
             row = np.repeat(np.arange(rows), words.counts)
             count, seen = known.get(words.hashes, 0)
             # the end's own count is the number of training rows, kept under key 0
@@ -328,20 +439,47 @@ def _score(text: str, id_col: str, depth: int, parts: int, model, tokens: int, v
             log[~seen] = 0
             base = np.bincount(row, log, rows) + math.log10((end_count + 0.5) / norm)
             n_known = np.bincount(row, seen, rows).astype(np.int64) + int(end_count > 0)
-            yield pa.record_batch([table[id_col].combine_chunks(), table["held_out"].combine_chunks(), pa.array(words.counts + 1), pa.array(n_known), pa.array(base), pa.array(total), pa.array(np.full(rows, task)), pa.array(np.arange(n_before, n_before + rows)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+            yield pa.record_batch([table[id_col].combine_chunks(), table["held_out"].combine_chunks(), pa.array(words.counts + 1), pa.array(n_known), pa.array(base), pa.array(np.full(rows, task)), pa.array(np.arange(n_before, n_before + rows)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+            yield packed(_TEXT, [(0, _pack([raw, first, np.array([n_before], np.int64)]))])
             rare = np.flatnonzero(~seen)
             if len(rare):
                 h, r = words.hashes[rare], row[rare]
-                with np.errstate(over="ignore"):
-                    part = ((h * U(0x9E3779B97F4A7C15)) >> U(33)) % U(parts)
-                order = np.argsort(part, kind="stable")
-                h, r, part = h[order], r[order], part[order]
-                edge = np.searchsorted(part, np.arange(parts + 1))
-                full = np.flatnonzero(np.diff(edge)).tolist()
-                blobs = [_pack([h[edge[p] : edge[p + 1]], r[edge[p] : edge[p + 1]].astype(np.int32), np.array([task, n_before], np.int64)]) for p in full]
-                k = len(full)
-                yield pa.record_batch([pa.nulls(k, table[id_col].type), pa.nulls(k, pa.bool_()), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())], pa.array(full, pa.int32()), pa.array([2] * k, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+                yield packed(_ASK_WORDS, [(p, _pack([h[at], r[at].astype(np.int32), np.array([task, n_before], np.int64)])) for p, at in _deal(0, h, parts, depth)])
             n_before += rows
+            if len(asked) > group_pairs:
+                yield requests()
+                task, n_before, asked = secrets.randbits(63), 0, np.zeros(0, U)
+        if len(asked):
+            yield requests()
+
+    return run
+
+
+def _answer(depth: int, model):
+    """Meets requests for (context, byte) pairs with the subtrees of the same bucket."""
+
+    def run(batches):
+        tables, asked = {}, {}
+        for batch in batches:
+            for p, k, a, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if k == 1:
+                    tables[p] = blob
+                else:
+                    asked.setdefault(p, []).append((a, blob))
+        for p, blobs in asked.items():
+            keys, counts = _unpack(tables[p], (U, np.int64))[0] if p in tables else (np.zeros(0, U), np.zeros(0, np.int64))
+            nodes, p_one = subtree_nodes(keys, counts, depth, *model.value)
+            want, held, size = np.zeros(0, U), [], 0
+            for i, (_, blob) in enumerate(blobs):
+                held.append(_unpack(blob, (U,))[0][0])
+                size += len(held[-1])
+                if size > 3_000_000 or i == len(blobs) - 1:
+                    want, held, size = np.unique(np.concatenate([want, *held])), [], 0
+            value = np.concatenate([np.zeros(0), *(byte_scores(nodes, p_one, want[lo : lo + (1 << 18)], depth) for lo in range(0, len(want), 1 << 18))])
+            for a, blob in blobs:
+                mine = _unpack(blob, (U,))[0][0]
+                yield pa.record_batch([pa.array([a], pa.int64()), pa.array([_ANSWER], pa.int32()), pa.array([_pack([mine, value[np.searchsorted(want, mine)]])], pa.binary())], names=["_lm_a", "kind", "blob"])
+            trimmed()
 
     return run
 
@@ -365,25 +503,45 @@ def _rare_words(tokens: int, vocabulary: int):
                 count = np.where(hit, counts[where], 0) if len(keys) else np.zeros(len(h))
                 log = np.log10((count + 0.5) / norm)
                 rows, inverse = np.unique(r, return_inverse=True)
-                yield pa.record_batch([pa.array([at[0]]), pa.array([at[1]]), pa.array([_pack([rows.astype(np.int32), np.bincount(inverse, count > 0).astype(np.int32), np.bincount(inverse, log)])], pa.binary())], names=["_lm_a", "chunk", "sums"])
+                yield pa.record_batch([pa.array([at[0]]), pa.array([_RARE], pa.int32()), pa.array([_pack([rows.astype(np.int32), np.bincount(inverse, count > 0).astype(np.int32), np.bincount(inverse, log), at[1:]])], pa.binary())], names=["_lm_a", "kind", "blob"])
 
     return run
 
 
-def _by_row(batches):
-    """Sums of all buckets for each row of a chunk."""
-    total: dict[tuple[int, int], list[np.ndarray]] = {}
-    for batch in batches:
-        for a, b, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            (rows, known, base), _ = _unpack(blob, (np.int32, np.int32, np.float64))
-            have = total.setdefault((a, b), [np.zeros(0, np.int64), np.zeros(0)])
-            size = max(len(have[0]), int(rows.max()) + 1)
-            for i, x in enumerate((known, base)):
-                have[i] = np.pad(have[i], (0, size - len(have[i])))
-                have[i][rows] += x
-    for (a, b), (known, base) in total.items():
-        at = np.flatnonzero(base)
-        yield pa.record_batch([pa.array(np.full(len(at), a)), pa.array(at + b), pa.array(known[at]), pa.array(base[at])], names=["_lm_a", "_lm_b", "more_known", "more_base"])
+def _by_row(depth: int):
+    """Scores of the rows of each group, whose answers and sums of rare words come before its texts."""
+
+    def run(batches):
+        group, answers, table, rare = None, [], None, {}
+        for batch in batches:
+            for a, kind, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if a != group:
+                    group, answers, table, rare = a, [], None, {}
+                blob = item.as_py()
+                if kind == _ANSWER:
+                    answers.append(_unpack(blob, (U, np.float64))[0])
+                elif kind == _RARE:
+                    (rows, known, base, at), _ = _unpack(blob, (np.int32, np.int32, np.float64, np.int64))
+                    have = rare.setdefault(int(at[0]), [np.zeros(0, np.int64), np.zeros(0)])
+                    size = max(len(have[0]), int(rows.max()) + 1)
+                    for i, x in enumerate((known, base)):
+                        have[i] = np.pad(have[i], (0, size - len(have[i])))
+                        have[i][rows] += x
+                else:
+                    if table is None:
+                        table = HashTable(*(np.concatenate(x) for x in zip(*answers, strict=True)))
+                        answers = []
+                    (raw, first, at), _ = _unpack(blob, (np.uint8, np.int64, np.int64))
+                    value, found = table.get(gram_keys(raw, first, depth), 0)
+                    if not found.all():
+                        raise RuntimeError("a group of texts misses answers")
+                    n = len(first) - 1
+                    total = np.add.reduceat(value, np.concatenate([[0], np.cumsum(np.diff(first) - depth)])[:-1])
+                    known, base = (np.pad(x, (0, n - len(x))) for x in rare.pop(int(at[0]), [np.zeros(0, np.int64), np.zeros(0)]))
+                    yield pa.record_batch([pa.array(np.full(n, a)), pa.array(np.arange(n) + at[0]), pa.array(known), pa.array(base), pa.array(total)], names=["_lm_a", "_lm_b", "more_known", "more_base", "score"])
+                    trimmed()
+
+    return run
 
 
 def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", depth: int = 5, fold: tuple[int, int] = (5, 1), max_contexts: int = 1 << 20, frequent_words: int = 1 << 17) -> DataFrame:
@@ -398,29 +556,27 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", depth: in
     slim = docs.select(id_col, text, held.alias("held_out"))
     training = slim.where("not held_out")
     counted = training.select(text).mapInArrow(_count(text, depth, parts), _COUNTS)
-    sums = written(counted.repartition(parts, "part").mapInArrow(_sum_up, "part int, kind int, blob binary, n long, total long, bins binary"))
+    sums = written(counted.repartition(parts, "part").mapInArrow(_sum_up(depth), "part int, kind int, blob binary, n long, total long, up binary"))
     facts = {r.kind: r for r in sums.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
     ends = training.count()
-    bins = {k: np.zeros(_BINS, np.int64) for k in (0, 1)}
-    for r in sums.select("kind", "bins").repartition(2, "kind").mapInArrow(_add_bins, "kind int, bins binary").collect():
-        bins[r.kind] += _unpack(r.bins, (np.int64,))[0][0]
+    bins, up = np.zeros(_BINS, np.int64), [np.zeros(0, t) for t in _UP]
+    for r in sums.select("kind", "up").repartition(2, "kind").mapInArrow(_add_up, "kind int, up binary").collect():
+        if r.kind:
+            up = _unpack(r.up, _UP)[0]
+        else:
+            bins = _unpack(r.up, (np.int64,))[0][0]
     tokens = (facts[0].total if 0 in facts else 0) + ends
     vocabulary = (facts[0].n if 0 in facts else 0) + int(ends > 0)
-    least = {0: _least_bin(bins[0], frequent_words), 1: _least_bin(bins[1], max_contexts)}
-    got: dict[int, list] = {0: [], 1: []}
-    for r in sums.select("kind", "blob").mapInArrow(_frequent(least), "kind int, blob binary").toLocalIterator():
-        got[r.kind].append(_unpack(r.blob, (U, np.int64))[0])
-    word_keys, word_counts = (np.concatenate([x[i] for x in got[0]] + [np.array([v], t)]) for i, v, t in ((0, 0, U), (1, ends, np.int64)))
-    keys, counts = (np.concatenate([x[i] for x in got[1]] + [np.zeros(0, t)]) for i, t in ((0, U), (1, np.int64)))
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    nodes, p_one = build_tree(keys, counts, depth)
-    deepest = keys[(keys >> U(56)) == U(depth + 1)] & U((1 << 56) - 1)
-    model = spark.sparkContext.broadcast((nodes, p_one, word_keys, word_counts, deepest))
-    scored = written(slim.mapInArrow(_score(text, id_col, depth, parts, model, tokens, vocabulary), f"`{id_col}` {id_type}, {_SCORED}"))
-    asked = scored.where("kind is not null").select("part", "kind", "blob").unionByName(sums.where("kind = 0").select("part", "kind", "blob"))
-    more = asked.repartition(parts, "part").mapInArrow(_rare_words(tokens, vocabulary), "_lm_a long, chunk long, sums binary")
-    more = more.repartition(parts, "_lm_a", "chunk").mapInArrow(_by_row, "_lm_a long, _lm_b long, more_known long, more_base double")
+    got = [_unpack(r.blob, (U, np.int64))[0] for r in sums.where("kind = 0").select("blob").mapInArrow(_frequent(_least_bin(bins, frequent_words)), "blob binary").toLocalIterator()]
+    word_keys, word_counts = (np.concatenate([x[i] for x in got] + [np.array([v], t)]) for i, v, t in ((0, 0, U), (1, ends, np.int64)))
+    words, tree = (spark.sparkContext.broadcast(x) for x in ((word_keys, word_counts), top_tree(*up, depth)))
+    scored = written(slim.mapInArrow(_score(text, id_col, depth, parts, words, tokens, vocabulary, max_contexts), f"`{id_col}` {id_type}, {_SCORED}"))
+    asked = scored.where(F.col("kind") == _ASK_WORDS).select("part", "kind", "blob").unionByName(sums.where("kind = 0").select("part", "kind", "blob"))
+    more = asked.repartition(parts, "part").mapInArrow(_rare_words(tokens, vocabulary), "_lm_a long, kind int, blob binary")
+    asked = scored.where(F.col("kind") == _ASK_GRAMS).select("part", "kind", "_lm_a", "blob").unionByName(sums.where("kind = 1").select("part", "kind", F.lit(None).cast("long").alias("_lm_a"), "blob"))
+    more = more.unionByName(asked.repartition(parts, "part").mapInArrow(_answer(depth, tree), "_lm_a long, kind int, blob binary"))
+    more = more.unionByName(scored.where(F.col("kind") == _TEXT).select("_lm_a", "kind", "blob"))
+    more = more.repartition(parts, "_lm_a").sortWithinPartitions("_lm_a", "kind").mapInArrow(_by_row(depth), "_lm_a long, _lm_b long, more_known long, more_base double, score double")
     out = scored.where("kind is null").join(more, ["_lm_a", "_lm_b"], "left")
     return out.select(
         id_col, "held_out", "n_tokens",

@@ -264,6 +264,27 @@ def test_context_tree_is_a_distribution():
     assert p[at] == pytest.approx(0.5 / (len(text) + 1), rel=1e-5) and 0 < stop < 1
 
 
+def test_lm_scores_use_every_context(docs, empty):
+    """Scores are those of the whole tree of all training rows, in one piece, whatever the bound of a group."""
+    depth = 5
+    byte_text = lambda t: b"\n" * depth + b"".join(w + b" " for w in (t or "").encode().lower().split()) + b"\n"
+    rows = [("" if r.doc_id is None else str(r.doc_id), byte_text(r.text)) for r in docs.collect()]
+    pairs = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(i.encode()) % 5 != 1:
+            pairs.update(((d + 1) << 56) | int.from_bytes(t[j - d : j + 1], "big") for j in range(depth, len(t)) for d in range(depth + 1))
+    keys = np.array(sorted(pairs), np.uint64)
+    nodes, p = lm_scoring.build_tree(keys, np.array([pairs[int(x)] for x in keys]), depth)
+    expected = []
+    for i, t in rows:
+        want = np.array([int.from_bytes(t[j - depth : j + 1], "big") for j in range(depth, len(t))], np.uint64)
+        expected.append((i, lm_scoring.byte_scores(nodes, p, want, depth).sum()))
+    for bound in (50, 1 << 20):
+        got = sorted(("" if r.doc_id is None else str(r.doc_id), r.score) for r in lm_scoring.score(docs, max_contexts=bound).collect())
+        assert [i for i, _ in got] == [i for i, _ in sorted(expected)]
+        assert [x for _, x in got] == pytest.approx([x for _, x in sorted(expected)], rel=1e-6)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     rows, centres = [], rng.normal(size=(12, 8))
