@@ -1,10 +1,12 @@
 """Mixing to target weights with soft membership.
 
 A classifier trained on the labelled table gives each document a posterior over domains. Document i with t_i words and
-posterior p_i adds r_i t_i p_i to the expected words of the domains. Nonnegative rates r are fitted so that these
-totals match the targets: least squares by accelerated projected gradient, from r = 1. A gradient step needs only the
-residual of the K totals, so an iteration is one distributed sum; r_i is a function of p_i and of the K residuals a step so
-far, so no rate is stored and none is collected: each task replays the steps for its rows.
+posterior p_i adds r_i t_i p_i to the expected words of the domains. Of the nonnegative rates r whose totals match the targets,
+those nearest to one are fitted (squares weighted by words): r_i = max(0, 1 + p_i u) for K multipliers u, the minimum of a convex
+function. Newton steps with the K x K moment matrix of the rows with r_i > 0 find u, so an iteration is one distributed sum of
+a few times K x K numbers, and no rate is stored or collected: each task takes its rows' rates from u. Iterations end when the
+totals are within the tolerance, or when no step gets nearer: then no rates reach the targets, and of the fits as near as the
+nearest (to the tolerance) the one with rates nearest to one is taken; a warning gives the miss.
 
 The default total keeps the words of the first domain as they are. A rate within `snap` of a whole number counts as that
 number; other rates are rounded up or down by a hash of the row, so expected copies equal the rate.
@@ -16,6 +18,8 @@ columns are kept; input columns named like an output are replaced.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,43 +60,70 @@ def replay(p: np.ndarray, steps: list[np.ndarray], momentum: list[float]) -> tup
     return r, y
 
 
-def _totals(steps, momentum):
+#: Lengths of a Newton step that one pass tries.
+_TRIES = (1.0, 0.5, 0.25, 0.0625, 0.0078125)
+
+
+def _totals(points: np.ndarray):
+    """For each u in points: sums of t r^2 / 2, of t r p and of t p p over rows with r > 0."""
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 n = batch.column("n").to_numpy().astype(float)
                 p = batch.column("p").flatten().to_numpy().reshape(batch.num_rows, -1)
-                r, y = replay(p, steps, momentum)
-                yield pa.record_batch([pa.array([((r * n) @ p).tolist()], pa.list_(pa.float64())), pa.array([((y * n) @ p).tolist()], pa.list_(pa.float64())), pa.array([((p * n[:, None]).T @ p).ravel().tolist()], pa.list_(pa.float64()))], names=["r", "y", "h"])
+                out = []
+                for u in points:
+                    r, _ = replay(p, [-u], [0.0])
+                    q = p[r > 0]
+                    out += [[(n * r * r).sum() / 2], (r * n) @ p, ((q * n[r > 0, None]).T @ q).ravel()]
+                yield pa.record_batch([pa.array([np.concatenate(out).tolist()], pa.list_(pa.float64()))], names=["s"])
 
     return run
 
 
-def _summed(table: DataFrame, steps, momentum, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = table.mapInArrow(_totals(steps, momentum), "r array<double>, y array<double>, h array<double>")
-    sums = [F.sum(F.col(c)[i]) for c, n in (("r", k), ("y", k), ("h", k * k)) for i in range(n)]
-    got = np.array([x or 0.0 for x in rows.agg(*sums).first()])
-    return got[:k], got[k : 2 * k], got[2 * k :].reshape(k, k)
+def _summed(table: DataFrame, points: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    k = points.shape[1]
+    size = 1 + k + k * k
+    rows = table.mapInArrow(_totals(points), "s array<double>")
+    got = np.array([x or 0.0 for x in rows.agg(*[F.sum(F.col("s")[i]) for i in range(size * len(points))]).first()]).reshape(len(points), size)
+    return [(g[0], g[1 : 1 + k], g[1 + k :].reshape(k, k)) for g in got]
 
 
-def fit_rates(posteriors: DataFrame, weights: np.ndarray, total: float | None = None, most_steps: int = 60, tolerance: float = 2e-3):
+def fit_rates(posteriors: DataFrame, weights: np.ndarray, total: float | None = None, tolerance: float = 2e-3):
     """(steps, momentum, target totals, fitted totals) for a table of n (words) and p (posterior)."""
-    k, steps, momentum = len(weights), [], []
-    now, ahead, h = _summed(posteriors, steps, momentum, k)
+    k = len(weights)
+    value, now, h = _summed(posteriors, np.zeros((1, k)))[0]
     target = weights * (total if total is not None else (now[0] / weights[0] if weights[0] > 0 else now.sum()))
-    rate = np.linalg.eigvalsh(h)[-1]
-    if rate <= 0:
-        return steps, momentum, target, now
-    a = 1.0
-    for _ in range(most_steps):
-        if np.abs(now - target).sum() <= tolerance * target.sum():
-            break
-        b = (1 + (1 + 4 * a * a) ** 0.5) / 2
-        steps.append((ahead - target) / rate)
-        momentum.append((a - 1) / b)
-        a = b
-        now, ahead, _ = _summed(posteriors, steps, momentum, k)
-    return steps, momentum, target, now
+    if np.linalg.eigvalsh(h)[-1] <= 0:
+        return [], [], target, now
+    enough = tolerance * target.sum()
+    start = np.zeros(k), value, now, h
+
+    def fitted(ridge: float):
+        """u and its sums where sum t r^2 / 2 - u target + ridge u^2 / 2 is least, or the first within the tolerance."""
+        u, value, now, h = start
+        while np.abs(now - target).sum() > enough and np.abs(now - target + ridge * u).sum() > enough / 1000:
+            step = np.linalg.solve(h + ridge * np.eye(k), target - now - ridge * u)
+            points = np.array([u + a * step for a in _TRIES])
+            tried = _summed(posteriors, points)
+            heights = [v - target @ x + ridge / 2 * x @ x for x, (v, _, _) in zip(points, tried, strict=True)]
+            best, height = int(np.argmin(heights)), value - target @ u + ridge / 2 * u @ u
+            if not heights[best] < height - 1e-13 * abs(height):
+                break
+            u, (value, now, h) = points[best], tried[best]
+        return u, now, np.abs(now - target).sum()
+
+    u, now, miss = fitted(1e-9 * np.trace(h))
+    if miss > enough:  # out of reach: of the fits that come as near, the one whose rates are nearest to one
+        for power in range(1, 9):
+            other = fitted(10.0**-power * np.trace(h))
+            if other[2] <= miss + enough:
+                u, now, miss = other
+                break
+    if miss > tolerance * target.sum():
+        warnings.warn(f"no rates reach the target mixture: totals {now.round(1).tolist()} for targets {target.round(1).tolist()}, {miss / target.sum():.1%} off", RuntimeWarning, stacklevel=2)
+    return [-u], [0.0], target, now
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", id_col: str = "doc_id", sample_rows: int = 6000, snap: float = 0.05) -> DataFrame:

@@ -371,6 +371,27 @@ def test_fit_matches_a_plain_solver(spark):
     assert np.allclose((r * n) @ p, got)
 
 
+@pytest.mark.parametrize("alpha", [(0.926, 0.069, 0.005), (30, 0.6, 0.1)])
+def test_fit_reaches_the_target_of_a_rare_domain(spark, alpha):
+    rng = np.random.default_rng(3)
+    p, n = 0.7 * rng.dirichlet(alpha, 20_000) + 0.3 * np.array(alpha) / sum(alpha), rng.integers(1, 400, 20_000)
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n long, p array<double>")
+    w = np.array([0.92, 0.05, 0.03])
+    steps, momentum, target, got = mixing.fit_rates(table, w)
+    r, _ = mixing.replay(p, steps, momentum)
+    assert (r >= 0).all() and np.allclose((r * n) @ p, got)
+    assert np.abs(got - target).sum() <= 2e-3 * target.sum() and np.abs(got / got.sum() - w).max() < 2e-3
+
+
+def test_fit_tells_of_targets_out_of_reach(spark):
+    p = np.array([[0.9, 0.08, 0.02], [0.8, 0.19, 0.01]] * 50)
+    table = spark.createDataFrame([(10, b.tolist()) for b in p], "n long, p array<double>")
+    with pytest.warns(RuntimeWarning, match="no rates reach"):
+        steps, momentum, target, got = mixing.fit_rates(table, np.array([0.3, 0.1, 0.6]))
+    r, _ = mixing.replay(p, steps, momentum)
+    assert (r >= 0).all() and np.allclose((10 * r) @ p, got)
+
+
 def test_subword_features():
     import pyarrow as pa
 
