@@ -244,11 +244,11 @@ def _top_down(zero, one, up, stop, done: np.ndarray, left: np.ndarray):
         if i:
             done, left = (done + left * stop[i - 1] * kt)[up[i]], (left * (1 - stop[i - 1]))[up[i]]
         kt = (one[i] + 0.5) / (zero[i] + one[i] + 1)
-        yield (done + left * kt).astype(np.float32)
+        yield done + left * kt
 
 
 def _sorted_nodes(keys: list[np.ndarray], p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, p = np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0, np.float32), *p])
+    keys, p = np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0), *p])
     order = np.argsort(keys)
     return keys[order], p[order]
 

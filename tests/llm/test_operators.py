@@ -264,6 +264,12 @@ def test_context_tree_is_a_distribution():
     assert p[at] == pytest.approx(0.5 / (len(text) + 1), rel=1e-5) and 0 < stop < 1
 
 
+def test_a_bit_seen_very_often_leaves_room_for_the_other():
+    pairs = np.array([(1 << 56) | 0xE1], np.uint64)
+    nodes, p = lm_scoring.build_tree(pairs, np.array([10**9]), 0)
+    assert -80 < lm_scoring.byte_scores(nodes, p, np.array([0x1E], np.uint64), 0)[0] < -9
+
+
 def test_lm_scores_use_every_context(docs, empty):
     """Scores are those of the whole tree of all training rows, in one piece, whatever the bound of a group."""
     depth = 5
