@@ -31,9 +31,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of an Arrow batch. Spark's own bound of 64 MB is held several times over on both sides of a worker's pipe.
+BATCH_BYTES = 2_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on this session hands Python workers batches of at most BATCH_BYTES, however long single texts are; a setting that isn't Spark's default stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{scratch_root(spark)}/t-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)

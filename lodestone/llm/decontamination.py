@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import NOT_ALNUM, U, Words, chunks, ranges, text_bytes
+from .common import NOT_ALNUM, U, Words, bounded_batches, chunks, ranges, text_bytes
 
 CHUNK = 6_000_000
 OUT = "n_words long, hits array<struct<s:int,e:int>>, items array<bigint>"
@@ -214,6 +214,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     `items` is read through in order of id, `block_bytes` of text to a block; each block is a pass of its own over the
     chunk, so the broadcast data don't grow with the number of items.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("n_words", "hits", "items")
     sc = docs.sparkSession.sparkContext
     blocks, ids, texts, held = [], [], [], 0

@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 from .common import Words, chunks, dropped, text_bytes, written
 from .subword import labelled_sample, train
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.92, "low": 0.05, "toxic": 0.03}
 

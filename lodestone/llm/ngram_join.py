@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import U, Words, bloom_bits, bloom_of, chunks, components, dropped, gram_hashes, mix, ranges, sequence_keys, shuffle_parts, text_bytes, written
 from .substring_dedup import _pack, _unpack, _with
 
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 #: Cells of the table of counts: about one for each CELL_BYTES of text, within these bounds.
 CELL_BYTES, LEAST_CELLS, MOST_CELLS = 256, 1 << 16, 1 << 24
 SLICES = 16

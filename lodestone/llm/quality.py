@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import chunks
+from .common import bounded_batches, chunks
 from .subword import labelled_sample, train
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 OUT = "held_out boolean, score double, predicted int"
 
 
@@ -27,6 +27,7 @@ def held_out(id_col: str = "doc_id", fold: tuple[int, int] = (4, 2)):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", fold: tuple[int, int] = (4, 2), cut: float = 0.7, sample_rows: int = 6000) -> DataFrame:
     """docs with held_out, score (probability of quality 1) and predicted (1 if score >= cut)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     usable = labels.where(~held_out(id_col, fold)).select(id_col, F.col("quality").cast("int").alias("label"))
     model = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, usable, sample_rows, id_col, text), 2))

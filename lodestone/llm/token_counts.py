@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import bounded_batches
+
 _BAR = "▁"
 _PRE = re.compile(f"{_BAR}*[^{_BAR}\n]+|{_BAR}+|\n")
 CACHE = 150_000
@@ -104,6 +106,7 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: in
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
     proto = Path(model_path).read_bytes()
     spark = docs.sparkSession
+    bounded_batches(spark)
     model = spark.sparkContext.broadcast((proto, frequent_table(docs, proto, text, most, sample_rows)))
 
     def run(batches):
