@@ -22,6 +22,7 @@ CAPTION_PATTERN = r"^(?:fig(?:ure)?\.?\s*\w+|图\s*\d+|table\s*\w+|表\s*\d+)"
 TABLE_CAPTION_PATTERN = r"^(?:table|表)"
 SECTION_TRIM = " ·•—–-"
 SECTION_MAX = 100
+LANGUAGE_CHARS = 20_000
 FRONT = "front_matter"
 
 # fixed values: screening patterns
@@ -88,7 +89,30 @@ REASON_USABLE = "存在明确目标数据，且必须上下文字段均有证据
 REASON_RELATIVE = "存在目标数据，但缺少必须字段："
 REASON_NODATA = "未发现满足当前规则的可提取目标数值证据。"
 
-# fixed values: cache key and encoder identity
+# fixed values: cache key and encoder identity; the cache key follows from them
 CACHE_KEY_VERSION = "embedding-cache-key-v1"
-E5_MODEL, E5_DIMENSIONS = "intfloat/multilingual-e5-small", 384
+CACHE_KEY_PARTS = ("cache_key_version", "document_sha256", "block_id", "normalized_text_sha256", "backend", "backend_version", "model", "model_version", "dimensions", "parameters_sha256")
+HASHING_IDENTITY = {"backend": "hashing", "backend_version": "v1", "model": "blake2b-character-ngram", "model_version": "2-4gram-v1"}
+DISABLED_IDENTITY = {"backend": "disabled", "backend_version": "v1", "model": "none", "model_version": "v1", "dimensions": 1, "is_neural": False}
+VECTOR_DIMENSIONS, NGRAM_WIDTHS = 384, (2, 3, 4)
+E5_MODEL, E5_REVISION = "intfloat/multilingual-e5-small", "614241f622f53c4eeff9890bdc4f31cfecc418b3"
+E5_VERSIONS = {"sentence-transformers": "5.5.1", "transformers": "5.15.0", "torch": "2.13.0"}
+E5_IDENTITY = {"backend": "sentence-transformers", "backend_version": "multilingual-e5-v1", "model": E5_MODEL, "model_version": E5_REVISION, "dimensions": VECTOR_DIMENSIONS, "is_neural": True}
+E5_QUERY, E5_PASSAGE, E5_TOKENS = "query: ", "passage: ", 512
+
+# fixed values: defaults of runs from before these were kept
+RUN_DEFAULTS = {
+    "backend": ("string", "unknown"), "backend_version": ("string", "unknown"), "model": ("string", "unknown"), "model_version": ("string", "unknown"),
+    "parameters_json": ("string", "{}"), "query_count": ("int", 1), "total_blocks": ("long", 0), "elapsed_ms": ("double", 0.0),
+    "cache_enabled": ("boolean", False), "cache_hits": ("long", 0), "cache_misses": ("long", 0), "cache_writes": ("long", 0),
+}
+
+# fixed values: shown texts
 STATUS_LABELS = {"usable": "可用", "relative": "部分相关", "nodata": "无可提取数据", "failed": "解析失败"}
+SUMMARY_FAILED = "共 %d 页，未读取到可靠文本层；需要 OCR 或人工处理后才能判断数据覆盖。"
+SUMMARY_OK, SUMMARY_NO_FIELDS = "全文 %d 页、%d 个证据块；已定位 %s；识别到 %d 个图题、%d 个表题。", "暂无需求字段"
+DELTA_OUTSIDE, DELTA_UP, DELTA_DOWN, DELTA_SAME = "BM25 Top K 外", "较 BM25 ↑", "较 BM25 ↓", "与 BM25 同位"
+STRATEGY_LABELS = {"bm25-only": "BM25 only", "hashing-hybrid": "Hashing hybrid", "e5-hybrid": "E5 hybrid"}
+
+# fixed values: words of a boolean setting
+BOOLEAN_WORDS = {"1": True, "true": True, "yes": True, "on": True, "0": False, "false": False, "no": False, "off": False}

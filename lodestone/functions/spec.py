@@ -45,6 +45,18 @@ class Spec:
         return " ".join(dict.fromkeys(self.terms_for(name)))
 
 
+def looked_up(names: DataFrame, spec: Spec, name: str = "field_name") -> DataFrame:
+    """names with role (target, context, hint or name), terms and query of each field: the first role that knows it counts."""
+    roles = (("target", {f.name: spec.terms_for(f.name) for f in spec.targets}), ("context", {f.name: spec.terms_for(f.name) for f in (*spec.required, *spec.optional)}), ("hint", {k: list(v) for k, v in K.FIELD_HINTS.items()}))
+    key = F.col(name)
+    role, terms = F.lit("name"), F.array(F.replace(key, F.lit("_"), F.lit(" ")))
+    for label, known in reversed(roles):
+        for field_name, said in known.items():
+            role = F.when(key == field_name, label).otherwise(role)
+            terms = F.when(key == field_name, F.array(*[F.lit(t) for t in said])).otherwise(terms)
+    return names.withColumns({"role": role, "terms": terms}).withColumn("query", F.array_join(F.array_distinct("terms"), " "))
+
+
 def expected_sections(name: str) -> tuple[str, ...]:
     return K.EXPECTED_SECTIONS.get(name, K.EXPECTED_DEFAULT)
 
@@ -118,4 +130,4 @@ def interpret(spark, brief: str) -> Spec:
     return Spec(tuple(targets), pick(r.required), pick(r.optional), tuple(r.sources), tuple(r.exclusions), tuple(r.warnings), r.brief)
 
 
-__all__ = ["CONTEXTS", "TARGETS", "Field", "Spec", "brief_text", "custom_target", "expected_sections", "interpret", "interpreted", "sentences"]
+__all__ = ["CONTEXTS", "TARGETS", "Field", "Spec", "brief_text", "custom_target", "expected_sections", "interpret", "interpreted", "looked_up", "sentences"]

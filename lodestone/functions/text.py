@@ -84,7 +84,7 @@ def stable_id(prefix: str, *parts) -> Column:
 
 def language(c) -> Column:
     """zh if there are Chinese characters, more than 0.12 for each Latin letter; en if any Latin; by the first 20,000 characters."""
-    head = F.substring(_col(c), 1, 20_000)
+    head = F.substring(_col(c), 1, K.LANGUAGE_CHARS)
     chinese, latin = F.regexp_count(head, F.lit(K.CJK_PATTERN)), F.regexp_count(head, F.lit("[A-Za-z]"))
     return F.when((chinese > 0) & (chinese > latin * 0.12), "zh").when(latin > 0, "en").otherwise("unknown")
 
@@ -99,6 +99,16 @@ def status_label(c) -> Column:
     return F.create_map(*pairs)[_col(c)]
 
 
+def utc_iso(c) -> Column:
+    """A time as ISO text in UTC, to the second."""
+    return F.concat(F.date_format(F.date_trunc("SECOND", _col(c)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def prefixed(prefix: str, c) -> Column:
+    """A prefix and the text with white space collapsed, as neural encoders take it."""
+    return F.concat(F.lit(prefix), F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " ")))
+
+
 def canonical_json(fields: dict[str, Column]) -> Column:
     """Compact JSON with sorted keys."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))

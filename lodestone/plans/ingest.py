@@ -74,17 +74,29 @@ def sectioned(blocks: DataFrame) -> DataFrame:
 def document_facts(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """document_id, text_char_count (blocks joined by line feeds), page_count, low_text_pages, language and parser_status.
 
-    pages (document_id, page) lists all pages; without it, pages with blocks are all there are.
+    pages (document_id, page) lists all pages; without it, pages with blocks are all there are. Of the texts only what lies in the
+    first LANGUAGE_CHARS characters is gathered; the rest is counted.
     """
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n")
-    agg = blocks.groupBy("document_id").agg(F.countDistinct("page").alias("_full"), F.count("*").alias("_n"), ordered.alias("_text"))
+    size = F.length("text")
+    before = F.coalesce(F.sum(size + 1).over(Window.partitionBy("document_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select("document_id", "page", size.alias("_size"), "ordinal", before.alias("_at"), F.substring("text", 1, K.LANGUAGE_CHARS).alias("_text"))
+    head = F.when(F.col("_at") < K.LANGUAGE_CHARS, F.struct("ordinal", "_text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(head)), lambda x: x["_text"]), "\n")
+    agg = placed.groupBy("document_id").agg(F.countDistinct("page").alias("_full"), F.count("*").alias("_n"), F.sum("_size").alias("_chars"), joined.alias("_head"))
     if pages is not None:
-        agg = pages.groupBy("document_id").agg(F.countDistinct("page").alias("page_count")).join(agg, "document_id", "left").fillna({"_full": 0, "_n": 0, "_text": ""})
+        agg = pages.groupBy("document_id").agg(F.countDistinct("page").alias("page_count")).join(agg, "document_id", "left").fillna({"_full": 0, "_n": 0, "_chars": 0, "_head": ""})
     else:
         agg = agg.withColumn("page_count", F.col("_full"))
-    chars, low = F.length("_text"), F.col("page_count") - F.col("_full")
+    chars, low = (F.col("_chars") + F.greatest(F.col("_n") - 1, F.lit(0))).cast("int"), F.col("page_count") - F.col("_full")
     status = F.when((chars < 100) | (F.col("_n") == 0), "failed").when((F.col("page_count") > 0) & (low / F.greatest(F.col("page_count"), F.lit(1)) >= 0.2), "warning").otherwise("ok")
-    return agg.select("document_id", chars.alias("text_char_count"), "page_count", low.alias("low_text_pages"), language("_text").alias("language"), status.alias("parser_status"))
+    return agg.select("document_id", chars.alias("text_char_count"), "page_count", low.alias("low_text_pages"), language("_head").alias("language"), status.alias("parser_status"))
+
+
+def sync_counts(states: DataFrame) -> DataFrame:
+    """One row of parsed, reused and failed from files with `reused` and `parser_status`."""
+    fresh = ~F.col("reused")
+    bad = F.coalesce(F.col("parser_status") == "failed", F.lit(False))
+    return states.agg(F.count_if(fresh & ~bad).alias("parsed"), F.count_if("reused").alias("reused"), F.count_if(fresh & bad).alias("failed"))
 
 
 def titles(blocks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -108,7 +120,7 @@ def overview(documents: DataFrame, blocks: DataFrame, covered: DataFrame) -> Dat
         F.array_sort(F.collect_set(F.when(F.col("section") != K.FRONT, F.col("section")))).alias("sections"),
     )
     out = documents.join(agg, "document_id", "left").join(covered, "document_id", "left").fillna(0, ["block_count", "figure_caption_count", "table_caption_count"])
-    names = F.when(F.size("covered") > 0, F.array_join("covered", "、")).otherwise("暂无需求字段")
-    failed = F.format_string("共 %d 页，未读取到可靠文本层；需要 OCR 或人工处理后才能判断数据覆盖。", "page_count")
-    good = F.format_string("全文 %d 页、%d 个证据块；已定位 %s；识别到 %d 个图题、%d 个表题。", "page_count", "block_count", names, "figure_caption_count", "table_caption_count")
+    names = F.when(F.size("covered") > 0, F.array_join("covered", "、")).otherwise(K.SUMMARY_NO_FIELDS)
+    failed = F.format_string(K.SUMMARY_FAILED, "page_count")
+    good = F.format_string(K.SUMMARY_OK, "page_count", "block_count", names, "figure_caption_count", "table_caption_count")
     return out.withColumn("summary", F.when(F.col("parser_status") == "failed", failed).otherwise(good)).withColumnRenamed("covered", "covered_fields")

@@ -1,8 +1,9 @@
 """Ranking of every (document, field) pair in one plan.
 
-The plan scans the blocks once and shuffles once, by document: term frequencies of all query terms are columns computed before
-the shuffle, document frequency, length and extremes are windows over the document, and the rank is a window over
-(document, field). Branches of weight zero are left out of the plan.
+Blocks are scanned and tokenised once: term frequencies of all query terms, lengths and matches are written as narrow rows without
+texts. Document frequency, length and extremes are sums and extremes by document with partial aggregation, joined back with
+hot documents by broadcast, so a document with a third of all blocks is scored by many tasks. The rank is a window over (document,
+field), and a top-k is cut in each task before the shuffle. Branches of weight zero are left out of the plan.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.spec import Spec, expected_sections
 from ..functions.text import normalize, tokenize
+from ..scratch import met, written
 
 
 @dataclass(frozen=True)
@@ -85,9 +87,7 @@ def scored(blocks: DataFrame, spec: Spec, names: list[str], weights: Weights | N
     spark = blocks.sparkSession
     tokens = query_tokens(spark, {f: spec.query_for(f) for f in names})
     terms = sorted({t for q in tokens.values() for t in q})
-    doc = Window.partitionBy("document_id")
-    low = normalize("text")
-    base = blocks.select("document_id", "block_id", "ordinal", "section", "kind", *keep, low.alias("_low"), tokenize("text").alias("_tok"))
+    base = blocks.select("document_id", "block_id", "ordinal", "section", "kind", *keep, normalize("text").alias("_low"), tokenize("text").alias("_tok"))
     tf = {t: f"_tf{i}" for i, t in enumerate(terms)}
     base = base.withColumns({"_len": F.size("_tok").cast("double"), **{c: F.size(F.filter("_tok", _equals(t))).cast("double") for t, c in tf.items()}})
     parts = {}
@@ -95,19 +95,22 @@ def scored(blocks: DataFrame, spec: Spec, names: list[str], weights: Weights | N
         if weights.term_coverage:
             parts[f"_cov{i}"] = coverage(spec.terms_for(f), F.col("_low"))
         parts[f"_hit{i}"] = matched_terms(spec.terms_for(f), F.col("_low"))
-    base = base.withColumns(parts).drop("_tok", "_low")
-    stats = base.withColumns({"_n": F.count("*").over(doc).cast("double"), "_avg": F.avg("_len").over(doc), **{f"_df{c}": F.sum((F.col(c) > 0).cast("double")).over(doc) for c in tf.values()}})
+    base = written(base.withColumns(parts).drop("_tok", "_low"))
+    total = max(1, base.count())
+    facts = base.groupBy("document_id").agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(c) > 0).cast("double")).alias(f"_df{c}") for c in tf.values()])
+    stats = met(base, facts, "document_id", "_n", total)
     raw = {}
     for i, f in enumerate(names):
-        total = F.lit(0.0)
+        sums = F.lit(0.0)
         for t in tokens[f]:
-            total = total + bm25(F.col(tf[t]), F.col(f"_df{tf[t]}"), F.col("_n"), F.col("_len"), F.col("_avg"))
-        raw[f"_raw{i}"] = total
-    stats = stats.withColumns(raw)
+            sums = sums + bm25(F.col(tf[t]), F.col(f"_df{tf[t]}"), F.col("_n").cast("double"), F.col("_len"), F.col("_avg"))
+        raw[f"_raw{i}"] = sums
+    stats = stats.withColumns(raw).drop("_n")
+    ends = [f(f"_raw{i}").alias(f"_{n}{i}") for i in range(len(names)) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    stats = met(stats, stats.groupBy("document_id").agg(F.count("*").alias("_n"), *ends), "document_id", "_n", total)
     per_field = [
         F.struct(
-            F.lit(f).alias("field_name"), F.col(f"_raw{i}").alias("bm25_raw"),
-            minmax(F.col(f"_raw{i}"), F.min(f"_raw{i}").over(doc), F.max(f"_raw{i}").over(doc)).alias("bm25"),
+            F.lit(f).alias("field_name"), F.col(f"_raw{i}").alias("bm25_raw"), minmax(F.col(f"_raw{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")).alias("bm25"),
             (F.col(f"_cov{i}") if weights.term_coverage else F.lit(0.0)).alias("term_coverage"),
             section_prior(f).alias("section_prior"), F.col(f"_hit{i}").alias("matched_terms"),
         )
@@ -125,6 +128,13 @@ def scored(blocks: DataFrame, spec: Spec, names: list[str], weights: Weights | N
     return out.withColumn("score", F.round(score, 6))
 
 
+def semantic(vectors: DataFrame, queries: dict[str, list[float]]) -> DataFrame:
+    """block_id, field_name and semantic (the cosine) for each row of vectors (block_id, vector) and each field's query vector. The query
+    vectors are literals of the plan: as many as there are fields."""
+    each = [F.struct(F.lit(f).alias("field_name"), cosine("vector", F.array(*[F.lit(float(x)) for x in q])).alias("semantic")) for f, q in queries.items()]
+    return vectors.select("block_id", F.inline(F.array(*each)))
+
+
 def ranked(rows: DataFrame, k: int | None = None) -> DataFrame:
     """Rank within document and field by rounded score, then ordinal; with k, only the first k."""
     if k is not None and not 1 <= k <= 30:
@@ -135,8 +145,10 @@ def ranked(rows: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def cosine(a, b) -> Column:
-    """Dot product in double precision of vectors that are unit already."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """Dot product in double precision of vectors that are unit already; different lengths are an error, null gives null."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors have different lengths")).cast("double")).when(a.isNotNull() & b.isNotNull(), dot)
 
 
 def compared(strategies: dict[str, DataFrame | None]) -> DataFrame:
@@ -152,6 +164,8 @@ def compared(strategies: dict[str, DataFrame | None]) -> DataFrame:
 
 
 def rank_delta(hits: DataFrame, baseline: DataFrame) -> DataFrame:
-    """hits with baseline rank and delta (positive: moved up); null outside the baseline's rows."""
+    """hits with baseline rank, delta (positive: moved up; null outside the baseline's rows) and shown (delta as a text)."""
     b = baseline.select("document_id", "field_name", "block_id", F.col("rank").alias("baseline_rank"))
-    return hits.join(b, ["document_id", "field_name", "block_id"], "left").withColumn("delta", F.col("baseline_rank") - F.col("rank"))
+    out = hits.join(b, ["document_id", "field_name", "block_id"], "left").withColumn("delta", F.col("baseline_rank") - F.col("rank"))
+    moved = F.concat(F.when(F.col("delta") > 0, K.DELTA_UP).otherwise(K.DELTA_DOWN), F.abs("delta").cast("string"))
+    return out.withColumn("shown", F.when(F.col("delta").isNull(), K.DELTA_OUTSIDE).when(F.col("delta") == 0, K.DELTA_SAME).otherwise(moved))
