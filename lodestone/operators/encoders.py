@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import importlib.util
-import math
+import importlib.metadata
 import re
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -37,14 +36,18 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Signed hashes of character n-grams, scaled to unit length. Not a neural model."""
+    """Signed hashes of character n-grams, scaled to unit length. Not a neural model.
 
-    def __init__(self, dimensions: int = 384, widths: tuple[int, ...] = (2, 3, 4)):
-        self.dimensions, self.widths = dimensions, widths
+    `digest` md5 is for comparisons with engines that lack blake2b; it has an identity of its own.
+    """
+
+    def __init__(self, dimensions: int = K.VECTOR_DIMENSIONS, widths: tuple[int, ...] = K.NGRAM_WIDTHS, digest: str = "blake2b"):
+        self.dimensions, self.widths, self.digest = dimensions, widths, digest
 
     @property
     def metadata(self):
-        return {"backend": "hashing", "backend_version": "v1", "model": "blake2b-character-ngram", "model_version": "2-4gram-v1", "dimensions": self.dimensions, "is_neural": False}
+        named = {} if self.digest == "blake2b" else {"model": f"{self.digest}-character-ngram"}
+        return K.HASHING_IDENTITY | named | {"dimensions": self.dimensions, "is_neural": False}
 
     @property
     def parameters(self):
@@ -55,79 +58,118 @@ class HashingEncoder:
         return {"ready": True, "dependency": "python-standard-library", "dependency_version": "builtin"}
 
     def query(self, text: str) -> list[float]:
-        compact = re.sub(r"\s+", " ", text.lower()).strip()
-        grams: dict[str, int] = {}
-        for w in self.widths:
-            for i in range(len(compact) - w + 1):
-                grams[compact[i : i + w]] = grams.get(compact[i : i + w], 0) + 1
-        out = np.zeros(self.dimensions)
-        for gram, times in grams.items():
-            bucket, sign = _place(gram, self.dimensions)
-            out[bucket] += sign * times
-        norm = math.sqrt(float((out**2).sum()))
-        return (out / norm if norm else out).tolist()
+        return self._encoded([text])[0].tolist()
 
     def passages(self, text: Column) -> Column:
         encoder = self
 
         @F.pandas_udf("array<double>")
         def encode(batch: pd.Series) -> pd.Series:
-            return batch.map(lambda t: encoder.query(t or ""))
+            texts = [t or "" for t in batch]
+            return pd.Series([v for lo in range(0, len(texts), 256) for v in encoder._encoded(texts[lo : lo + 256])])
 
         return encode(text)
 
-
-def _place(gram: str, dimensions: int) -> tuple[int, float]:
-    digest = hashlib.blake2b(gram.encode(), digest_size=8).digest()
-    return int.from_bytes(digest, "big") % dimensions, 1.0 if digest[0] & 1 else -1.0
+    def _encoded(self, texts: list[str]) -> np.ndarray:
+        """One row a text. Each distinct n-gram of the texts is hashed once."""
+        compact = [re.sub(r"\s+", " ", t.lower()).strip() for t in texts]
+        points = np.frombuffer("".join(compact).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in compact])
+        sums = np.zeros(len(texts) * self.dimensions)
+        for width in self.widths:
+            if len(points) < width:
+                continue
+            at = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
+            gram = points[at]  # a number for each distinct n-gram, one character more at a time
+            for j in range(1, width):
+                _, gram = np.unique(gram << np.uint64(32) | points[at + j], return_inverse=True)
+                gram = gram.astype(np.uint64)
+            _, first, gram = np.unique(gram, return_index=True, return_inverse=True)
+            names = [points[i : i + width].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass") for i in at[first].tolist()]
+            bucket, sign = (np.array(x) for x in zip(*(_place(n, self.dimensions, self.digest) for n in names), strict=True)) if names else (np.zeros(0, int), np.zeros(0))
+            sums += np.bincount(row[at] * self.dimensions + bucket[gram], sign[gram], len(sums)) if len(at) else 0
+        out = sums.reshape(len(texts), self.dimensions)
+        norm = np.sqrt((out**2).sum(1, keepdims=True))
+        return out / np.where(norm > 0, norm, 1)
+
+
+def _place(gram: str, dimensions: int, digest: str = "blake2b") -> tuple[int, float]:
+    if digest == "md5":
+        found = hashlib.md5(gram.encode("utf-8", "surrogatepass")).digest()
+        return int.from_bytes(found[:4], "big") % dimensions, 1.0 if found[0] & 1 else -1.0
+    found = hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(found, "big") % dimensions, 1.0 if found[0] & 1 else -1.0
+
+
+def _version(package: str) -> str:
+    try:
+        return importlib.metadata.version(package)
+    except importlib.metadata.PackageNotFoundError:
+        return "not-installed"
 
 
 class E5Encoder:
-    """Neural encoder with query and passage prefixes. Loaded once in each worker; reports unavailable without its library."""
+    """Neural encoder with query and passage prefixes, at a pinned revision and pinned versions of its libraries. Loaded once in each
+    worker, when first used; raises EncoderUnavailable without them. `factory` takes the place of the library's model class."""
 
-    def __init__(self, factory=None, batch_size: int = 32, device: str = "cpu", local_files_only: bool = True):
-        self.factory, self.batch_size, self.device, self.local = factory, batch_size, device, local_files_only
+    def __init__(self, factory=None, batch_size: int = 32, device: str = "cpu", local_files_only: bool = False, cache_folder: str = ""):
+        if batch_size < 1:
+            raise ValueError("batch_size must be at least 1")
+        self.factory, self.batch_size, self.device, self.local, self.cache_folder = factory, batch_size, device, local_files_only, cache_folder
 
     @property
     def metadata(self):
-        return {"backend": "multilingual-e5-small", "backend_version": "v1", "model": K.E5_MODEL, "model_version": "pinned", "dimensions": K.E5_DIMENSIONS, "is_neural": True}
+        return dict(K.E5_IDENTITY)
 
     @property
     def parameters(self):
-        return {"batch_size": self.batch_size, "device": self.device, "local_files_only": self.local, "normalization": "l2", "query_prefix": "query: ", "passage_prefix": "passage: "}
+        versions = {"runtime_version": "sentence-transformers", "transformers_version": "transformers", "torch_version": "torch"}
+        return {"runtime": "sentence-transformers", **{k: K.E5_VERSIONS[v] for k, v in versions.items()}} | {
+            "query_prefix": K.E5_QUERY, "passage_prefix": K.E5_PASSAGE, "normalization": "l2", "batch_size": self.batch_size, "device": self.device,
+            "local_files_only": self.local, "trust_remote_code": False, "max_sequence_tokens": K.E5_TOKENS,
+        }
 
     @property
     def runtime_status(self):
-        ready = self.factory is not None or importlib.util.find_spec("sentence_transformers") is not None
-        return {"ready": ready, "dependency": "sentence-transformers"}
+        found = {p: "test-double" if self.factory is not None else _version(p) for p in K.E5_VERSIONS}
+        ready = self.factory is not None or found == K.E5_VERSIONS
+        return {"ready": ready, "dependencies": found, "required_versions": dict(K.E5_VERSIONS), "model_load": "lazy", "local_files_only": self.local}
 
     def _load(self):
-        if not self.runtime_status["ready"]:
-            raise EncoderUnavailable("sentence-transformers isn't installed")
-        if self.factory is not None:
-            return self.factory()
-        from sentence_transformers import SentenceTransformer
-
-        return SentenceTransformer(K.E5_MODEL, device=self.device, local_files_only=self.local)
+        status = self.runtime_status
+        if not status["ready"]:
+            pins = lambda versions: ", ".join(f"{p}=={v}" for p, v in versions.items())
+            raise EncoderUnavailable(f"the E5 encoder needs {pins(K.E5_VERSIONS)}; found {pins(status['dependencies'])}")
+        factory = self.factory
+        if factory is None:
+            from sentence_transformers import SentenceTransformer as factory  # noqa: N813
+        options = {"revision": K.E5_REVISION, "device": self.device, "trust_remote_code": False, "local_files_only": self.local}
+        try:
+            return factory(K.E5_MODEL, **options, **({"cache_folder": self.cache_folder} if self.cache_folder else {}))
+        except Exception as e:
+            raise EncoderUnavailable(f"{K.E5_MODEL} at revision {K.E5_REVISION} couldn't be loaded: {e}") from e
 
     @staticmethod
     def prepared(prefix: str, text: str) -> str:
         return prefix + " ".join(text.split())
 
+    def _encoded(self, model, prefix: str, texts: list[str]) -> list[list[float]]:
+        vectors = model.encode([self.prepared(prefix, t) for t in texts], batch_size=self.batch_size, show_progress_bar=False, convert_to_numpy=True, normalize_embeddings=True)
+        return [[float(x) for x in v] for v in vectors]
+
     def query(self, text: str) -> list[float]:
-        return [float(x) for x in self._load().encode([self.prepared("query: ", text)], normalize_embeddings=True)[0]]
+        return self._encoded(self._load(), K.E5_QUERY, [text])[0]
 
     def passages(self, text: Column) -> Column:
         if not self.runtime_status["ready"]:
-            raise EncoderUnavailable("sentence-transformers isn't installed")
+            self._load()
         encoder = self
 
         @F.pandas_udf("array<double>")
         def encode(batches):
             model = encoder._load()
             for batch in batches:
-                texts = [encoder.prepared("passage: ", t or "") for t in batch]
-                yield pd.Series([[float(x) for x in v] for v in model.encode(texts, batch_size=encoder.batch_size, normalize_embeddings=True)])
+                yield pd.Series(encoder._encoded(model, K.E5_PASSAGE, [t or "" for t in batch]) if len(batch) else [], dtype=object)
 
         encode.__annotations__ = {}
         return encode(text)
@@ -136,7 +178,7 @@ class E5Encoder:
 class DisabledEncoder:
     """For rankings without a vector part; raises if it is used."""
 
-    metadata = {"backend": "disabled", "backend_version": "v1", "model": "none", "model_version": "v1", "dimensions": 1, "is_neural": False}
+    metadata = dict(K.DISABLED_IDENTITY)
     parameters: dict[str, Any] = {}
     runtime_status = {"ready": True, "dependency": "none"}
 
@@ -154,17 +196,15 @@ def encoder(name: str, **options) -> Encoder:
     return made(**options)
 
 
-def _grams(text: Column, width: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - width + 1, F.lit(1)))
-    return F.filter(F.transform(starts, lambda i: F.substring(text, i, F.lit(width))), lambda x: F.length(x) == width)
-
-
-def md5_buckets(rows: DataFrame, key: str, text: str = "text", widths: tuple[int, ...] = (2, 3, 4), dimensions: int = 384) -> DataFrame:
+def md5_buckets(rows: DataFrame, key: str, text: str = "text", widths: tuple[int, ...] = K.NGRAM_WIDTHS, dimensions: int = K.VECTOR_DIMENSIONS) -> DataFrame:
     """key, bucket and the signed sum of n-grams in it: the encoder's sum with a hash that SQL has, without Python."""
-    low = normalize(text)
-    fits = [_grams(F.col("_t"), w) for w in widths]
-    grams = rows.select(F.col(key), low.alias("_t")).select(key, F.explode(F.concat(*fits)).alias("gram"))
-    counted = grams.groupBy(key, "gram").agg(F.count("*").alias("n")).withColumn("h", F.md5(F.col("gram").cast("binary")))
+    points = rows.select(key, F.posexplode(F.regexp_extract_all(normalize(text), F.lit("(?s)."), F.lit(0))).alias("i", "c"))
+    after = Window.partitionBy(key).orderBy("i")
+    lines = points.select(key, *[F.lead("c", j).over(after).alias(f"c{j}") for j in range(max(widths))])
+    # a width whose last character lies beyond the end gives null
+    each = F.explode(F.array(*[F.concat(*[F.col(f"c{j}") for j in range(w)]) for w in widths])).alias("gram")
+    counted = lines.select(key, each).where("gram IS NOT NULL").groupBy(key, "gram").agg(F.count("*").alias("n"))
+    hashed = counted.withColumn("h", F.md5(F.col("gram").cast("binary")))
     bucket = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dimensions
     sign = F.when(F.conv(F.substring("h", 2, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    return counted.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign * F.col("n")).alias("value")).where("value <> 0")
+    return hashed.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign * F.col("n")).alias("value")).where("value <> 0")

@@ -43,9 +43,22 @@ def page_lines(docs: DataFrame, per_page: int = 40) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """Files of a folder (not below it) with path, name and SHA-256 of the content; none is an error."""
+    """Files of a folder (not below it) with path, name, content and its SHA-256; none is an error. What isn't used isn't read."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    out = raw.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+    out = raw.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"), "content")
     if out.select("path").isEmpty():
         raise FileNotFoundError(f"no {pattern} in {folder}")
     return out
+
+
+def text_lines(found: DataFrame, per_page: int = 60) -> DataFrame:
+    """Lines of plain text files (filename, sha256, document_id, content): white space collapsed, empty lines dropped, laid out in rows
+    of equal height."""
+    lines = found.select("document_id", "sha256", "filename", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("p", "line"))
+    text = F.trim(F.regexp_replace("line", r"(?U)\s+", " "))
+    on_page = (F.col("p") % per_page) * 14.0
+    out = lines.select(
+        "document_id", "sha256", "filename", (F.floor(F.col("p") / per_page) + 1).cast("int").alias("page"), (F.col("p") + 1).alias("line_no"), text.alias("text"),
+        F.lit(40.0).alias("x0"), on_page.alias("top"), F.lit(555.0).alias("x1"), (on_page + 10.0).alias("bottom"),
+    )
+    return out.where(F.length("text") > 0)
