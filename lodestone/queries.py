@@ -69,12 +69,37 @@ def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
+def _grams_sql(c: str) -> str:
+    """All n-grams of a normalised text."""
+    return "list_concat(" + ", ".join(f"list_transform(range(1, length({c}) - {w - 2}), lambda i: substr({c}, i, {w}))" for w in K.NGRAM_WIDTHS) + ")"
+
+
+def _buckets_sql(name: str, key: str, source: str, text: str) -> str:
+    """CTE: the signed sums of the md5 encoder."""
+    return f"""{name} AS (SELECT {key}, bucket, sum(sign * n) AS value FROM (
+  SELECT {key}, CAST(('0x' || substr(md5(gram), 1, 8)) AS BIGINT) % {K.VECTOR_DIMENSIONS} AS bucket, CASE WHEN CAST(('0x' || substr(md5(gram), 2, 1)) AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END AS sign, n
+  FROM (SELECT {key}, gram, count(*) AS n FROM (SELECT {key}, unnest({_grams_sql('t')}) AS gram FROM (SELECT {key}, {_norm(text)} AS t FROM {source})) GROUP BY ALL)) GROUP BY ALL HAVING value <> 0)"""
+
+
+def _semantic_sql() -> str:
+    """CTEs up to `sem`: the cosine of every block with every field's query, where it isn't zero."""
+    said = " UNION ALL ".join(f"SELECT '{f}' AS field_name, '{SPEC.query_for(f)}' AS query" for f in NAMES)
+    return f"""said AS ({said}),
+{_buckets_sql('bv', 'block_id', 'blocks', 'text')},
+{_buckets_sql('qv', 'field_name', 'said', 'query')},
+bn AS (SELECT block_id, sqrt(sum(value * value)) AS norm FROM bv GROUP BY ALL),
+qn AS (SELECT field_name, sqrt(sum(value * value)) AS norm FROM qv GROUP BY ALL),
+sem AS (SELECT block_id, field_name, dot / bn.norm / qn.norm AS semantic FROM (SELECT block_id, field_name, sum(bv.value * qv.value) AS dot FROM bv JOIN qv USING (bucket) GROUP BY ALL) JOIN bn USING (block_id) JOIN qn USING (field_name))"""
+
+
 def _scored(weights: retrieve.Weights, blocks: str = _BLOCKS) -> str:
     """CTEs up to `scored`: components and score of every (block, field)."""
+    vectors = f"{_semantic_sql()},\n" if weights.vector_similarity else ""
+    semantic, sem = ("greatest(0.0, coalesce(sem.semantic, 0.0))", "LEFT JOIN sem USING (block_id, field_name)") if vectors else ("0.0", "")
     fields = " UNION ALL ".join(f"SELECT '{f}' AS field_name, {[*t]} AS terms" for f, t in FIELDS.items())
     expected = " ".join(f"WHEN field_name = '{f}' THEN {[*S_EXPECTED[f]]}" for f in FIELDS)
     return f"""{blocks},
-fields AS ({fields}),
+{vectors}fields AS ({fields}),
 toks AS (SELECT document_id, block_id, ordinal, section, kind, {_norm('text')} AS low, {_tok('text')} AS tok FROM blocks),
 pairs AS (SELECT t.*, field_name, terms, list_distinct(terms) AS q FROM toks t CROSS JOIN fields),
 terms AS (SELECT document_id, block_id, field_name, term, len(list_filter(tok, lambda x: x = term)) AS tf, len(tok) AS dl
@@ -90,7 +115,7 @@ parts AS (SELECT p.document_id, p.block_id, p.ordinal, p.field_name, p.section,
   len(list_filter(list_distinct(p.terms), lambda t: contains(p.low, t))) / CAST(len(list_distinct(p.terms)) AS DOUBLE) AS term_coverage,
   CASE WHEN list_contains(CASE {expected} END, p.section) THEN {K.PRIOR_SECTION} WHEN p.kind IN {_in(K.CAPTION_KINDS)} THEN {K.PRIOR_CAPTION} ELSE {K.PRIOR_OTHER} END AS section_prior
   FROM pairs p JOIN ext e USING (document_id, block_id, field_name)),
-scored AS (SELECT *, round(CAST({weights.bm25} * bm25 + {weights.term_coverage} * term_coverage + {weights.section_prior} * section_prior AS DOUBLE), 6) AS score FROM parts),
+scored AS (SELECT parts.*, {semantic} AS semantic, round(CAST({weights.bm25} * bm25 + {weights.vector_similarity} * {semantic} + {weights.term_coverage} * term_coverage + {weights.section_prior} * section_prior AS DOUBLE), 6) AS score FROM parts {sem}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id, field_name ORDER BY score DESC, ordinal) AS rank FROM scored)"""
 
 
@@ -116,8 +141,18 @@ def _gold(spark, d):
     return S.source_gold(docs(spark, d), S.table(spark, d, "labels")).select("document_id", "block_id", fields)
 
 
+#: The encoder with a hash that SQL has; its vectors stand for those of the default one in comparisons.
+ENCODER = encoders.HashingEncoder(digest="md5")
+HYBRID = retrieve.Weights()
+
+
+def _semantic(spark, d):
+    vectors = _blocks(spark, d).select("block_id", ENCODER.passages(F.col("text")).alias("vector"))
+    return retrieve.semantic(vectors, {f: ENCODER.query(SPEC.query_for(f)) for f in NAMES})
+
+
 def _scores(spark, d, weights=retrieve.LEXICAL):
-    return retrieve.scored(_blocks(spark, d), SPEC, NAMES, weights)
+    return retrieve.scored(_blocks(spark, d), SPEC, NAMES, weights, _semantic(spark, d) if weights.vector_similarity else None)
 
 
 def _ranked(spark, d, weights=retrieve.LEXICAL, k=None):
@@ -178,10 +213,22 @@ def bm25_topk(spark, d):
 
 
 @query(f"WITH {_scored(retrieve.LEXICAL)} SELECT document_id, field_name, rank, block_id, score FROM ranked WHERE rank <= 8")
-def hybrid_topk(spark, d):
+def lexical_topk(spark, d):
+    """Without vectors: their weight goes to the other branches."""
     return _ranked(spark, d, k=8).select("document_id", "field_name", "rank", "block_id", "score")
 
 
+@query(f"WITH {_scored(HYBRID)} SELECT document_id, field_name, rank, block_id, round(semantic, 6) AS semantic, score FROM ranked WHERE rank <= 8")
+def hybrid_topk(spark, d):
+    """All four branches at the default weights."""
+    return _ranked(spark, d, HYBRID, 8).select("document_id", "field_name", "rank", "block_id", r6("semantic"), "score")
+
+
+@query(f"WITH {_BLOCKS}, {_semantic_sql()} SELECT b.block_id, s.field_name, round(coalesce(semantic, 0.0), 6) AS semantic FROM blocks b CROSS JOIN said s LEFT JOIN sem USING (block_id, field_name)")
+def semantic_score(spark, d):
+    return _semantic(spark, d).select("block_id", "field_name", r6("semantic"))
+
+
 # ---------------------------------------------------------------- vectors
 
 
@@ -198,25 +245,22 @@ def vector_topk(spark, d):
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 8")
 
 
-_MD5 = f"""WITH t AS (SELECT item_id, {_norm('text')} AS t FROM benchmark),
-g AS (SELECT item_id, unnest(list_concat(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)))) AS gram FROM t),
-h AS (SELECT item_id, md5(gram) AS h FROM g),
-b AS (SELECT item_id, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 384 AS bucket, CAST(sum(CASE WHEN CAST(('0x' || substr(h, 2, 1)) AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS value FROM h GROUP BY ALL HAVING value <> 0)"""
+_MD5 = "WITH " + _buckets_sql("b", "doc_id", "documents", "text")
 
 
-@query(_MD5 + " SELECT item_id, bucket, value FROM b")
+@query(_MD5 + " SELECT doc_id, bucket, CAST(value AS BIGINT) AS value FROM b")
 def ngram_buckets_md5(spark, d):
-    return encoders.md5_buckets(S.table(spark, d, "benchmark"), "item_id")
+    return encoders.md5_buckets(docs(spark, d), "doc_id")
 
 
-@query(_MD5 + " SELECT item_id, round(sqrt(sum(value * value)), 6) AS norm FROM b GROUP BY ALL")
+@query(_MD5 + " SELECT doc_id, round(sqrt(sum(value * value)), 6) AS norm FROM b GROUP BY ALL")
 def ngram_vector_norm(spark, d):
-    return ngram_buckets_md5(spark, d).groupBy("item_id").agg(F.round(F.sqrt(F.sum((F.col("value") * F.col("value")).cast("double"))), 6).alias("norm"))
+    return ngram_buckets_md5(spark, d).groupBy("doc_id").agg(F.round(F.sqrt(F.sum((F.col("value") * F.col("value")).cast("double"))), 6).alias("norm"))
 
 
 @query()
 def blake2b_embed(spark, d):
-    return S.table(spark, d, "benchmark").select("item_id", encoders.HashingEncoder().passages(F.col("text")).alias("vector"))
+    return docs(spark, d).select("doc_id", encoders.HashingEncoder().passages(F.col("text")).alias("vector"))
 
 
 # ---------------------------------------------------------------- gold and metrics
@@ -267,22 +311,82 @@ def per_field_metrics(spark, d):
 
 @query(_METRICS + "SELECT (SELECT count(DISTINCT (document_id, field_name)) FROM gold) AS annotated_queries, (SELECT count(*) FROM gold) AS gold_blocks, (SELECT count(DISTINCT document_id) FROM gold) AS documents, (SELECT count(DISTINCT field_name) FROM gold) AS fields, (SELECT count(*) FROM q) AS evaluated_queries, (SELECT count(*) FROM f) AS blocks_scored")
 def evaluation_coverage(spark, d):
-    return evaluate.coverage(_gold(spark, d), _queries(spark, d), _ranked(spark, d))
+    return evaluate.coverage(_gold(spark, d), _queries(spark, d))
+
+
+@query(_METRICS + ", t AS (SELECT r.document_id, r.field_name, string_agg(CAST(block_id AS VARCHAR), ',' ORDER BY rank) AS top_blocks FROM ranked r WHERE rank <= 10 GROUP BY ALL), g AS (SELECT document_id, field_name, string_agg(CAST(block_id AS VARCHAR), ',' ORDER BY block_id) AS gold_blocks FROM (SELECT DISTINCT * FROM gold) GROUP BY ALL) SELECT document_id, field_name, top_blocks, gold_blocks FROM q JOIN t USING (document_id, field_name) JOIN g USING (document_id, field_name)")
+def top_block_ids(spark, d):
+    rows = evaluate.per_query(_ranked(spark, d), _gold(spark, d), K_VALUES, ids=True)
+    return rows.select("document_id", "field_name", F.array_join("top_block_ids", ",").alias("top_blocks"), F.array_join("gold_block_ids", ",").alias("gold_blocks"))
+
+
+#: Fields without gold in a third of the documents, so that comparisons have some of both.
+_SOME_GOLD = f"{_GOLD}, sg AS (SELECT * FROM gold WHERE field_name <> 'treatment')"
+
+
+@query(_METRICS.replace(_GOLD, _SOME_GOLD).replace("SEMI JOIN gold ON r.document_id = gold.document_id LEFT JOIN gold g", "LEFT JOIN sg g") + ", ko AS (SELECT document_id, field_name, gold_count, first_gold_rank, hit, recall, rr FROM m WHERE k = 5) SELECT document_id, field_name, gold_count, first_gold_rank, CAST(CASE WHEN gold_count > 0 THEN hit END AS DOUBLE) AS hit_at_k, CASE WHEN gold_count > 0 THEN round(recall, 6) END AS recall_at_k, CASE WHEN gold_count > 0 THEN round(CAST(rr AS DOUBLE), 6) END AS reciprocal_rank FROM ko")
+def comparison_metrics(spark, d):
+    """For every document and field, null where there is no gold."""
+    gold = _gold(spark, d).where("field_name <> 'treatment'")
+    return evaluate.compared_with_gold(_ranked(spark, d), gold, 5).withColumns({c: F.round(c, 6) for c in ("recall_at_k", "reciprocal_rank")})
 
 
-_TWO = f"WITH a AS (WITH {_scored(retrieve.BM25_ONLY)} SELECT * FROM ranked WHERE rank <= 8), b AS (WITH {_scored(retrieve.LEXICAL)} SELECT * FROM ranked WHERE rank <= 8) "
+_TWO = f"WITH a AS (WITH {_scored(retrieve.BM25_ONLY)} SELECT * FROM ranked WHERE rank <= 8), b AS (WITH {_scored(HYBRID)} SELECT * FROM ranked WHERE rank <= 8) "
 
 
-@query(_TWO + "SELECT 'bm25-only' AS strategy, document_id, field_name, rank, block_id, score FROM a UNION ALL SELECT 'lexical-hybrid', document_id, field_name, rank, block_id, score FROM b")
+@query(_TWO + "SELECT 'bm25-only' AS strategy, document_id, field_name, rank, block_id, score FROM a UNION ALL SELECT 'hashing-hybrid', document_id, field_name, rank, block_id, score FROM b")
 def strategy_compare(spark, d):
-    both = retrieve.compared({"bm25-only": _ranked(spark, d, retrieve.BM25_ONLY, 8), "lexical-hybrid": _ranked(spark, d, k=8), "e5-hybrid": None})
+    both = retrieve.compared({"bm25-only": _ranked(spark, d, retrieve.BM25_ONLY, 8), "hashing-hybrid": _ranked(spark, d, HYBRID, 8), "e5-hybrid": None})
     return both.select("strategy", "document_id", "field_name", "rank", "block_id", "score")
 
 
-@query(_TWO + "SELECT b.document_id, b.field_name, b.block_id, b.rank, a.rank AS baseline_rank, a.rank - b.rank AS delta FROM b LEFT JOIN a USING (document_id, field_name, block_id)")
+_SHOWN = f"CASE WHEN a.rank IS NULL THEN '{K.DELTA_OUTSIDE}' WHEN a.rank = b.rank THEN '{K.DELTA_SAME}' WHEN a.rank > b.rank THEN '{K.DELTA_UP}' || (a.rank - b.rank) ELSE '{K.DELTA_DOWN}' || (b.rank - a.rank) END AS shown"
+
+
+@query(_TWO + f"SELECT b.document_id, b.field_name, b.block_id, b.rank, a.rank AS baseline_rank, a.rank - b.rank AS delta, {_SHOWN} FROM b LEFT JOIN a USING (document_id, field_name, block_id)")
 def rank_delta(spark, d):
-    out = retrieve.rank_delta(_ranked(spark, d, k=8), _ranked(spark, d, retrieve.BM25_ONLY, 8))
-    return out.select("document_id", "field_name", "block_id", "rank", "baseline_rank", "delta")
+    out = retrieve.rank_delta(_ranked(spark, d, HYBRID, 8), _ranked(spark, d, retrieve.BM25_ONLY, 8))
+    return out.select("document_id", "field_name", "block_id", "rank", "baseline_rank", "delta", "shown")
+
+
+_RUN = f"WITH {_scored(HYBRID)}, h AS (SELECT * FROM ranked WHERE rank <= 3) "
+
+
+@query(_RUN + "SELECT document_id, field_name, count(*) AS n_hits, max(score) AS best_score, string_agg(CAST(block_id AS VARCHAR), ',' ORDER BY rank) AS blocks, arg_min(array_to_string(matched_terms, '|'), rank) AS matched FROM h GROUP BY ALL")
+def run_records(spark, d):
+    """Runs kept as JSON, and read back."""
+    hit = F.struct("rank", "block_id", "score", "matched_terms")
+    runs = _ranked(spark, d, HYBRID, 3).groupBy("document_id", "field_name").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    kept = runs.select("document_id", "field_name", F.to_json(F.struct("hits")).alias("result_json"))
+    hits = F.from_json("result_json", "hits array<struct<rank:int,block_id:long,score:double,matched_terms:array<string>>>")["hits"]
+    back = kept.withColumn("hits", hits)
+    return back.select("document_id", "field_name", F.size("hits").cast("long").alias("n_hits"), F.array_max(F.transform("hits", lambda x: x["score"])).alias("best_score"), F.array_join(F.transform("hits", lambda x: x["block_id"].cast("string")), ",").alias("blocks"), F.array_join(F.col("hits")[0]["matched_terms"], "|").alias("matched"))
+
+
+_NAMED = "n AS (SELECT unnest(['species', 'site_name', 'treatment', 'sample_size', 'latitude', 'leaf_area_index', 'unknown']) AS field_name)"
+
+
+def _known_sql() -> str:
+    out = ""
+    for role, found in (("target", {f.name: SPEC.terms_for(f.name) for f in SPEC.targets}), ("context", {f.name: SPEC.terms_for(f.name) for f in (*SPEC.required, *SPEC.optional)}), ("hint", K.FIELD_HINTS)):
+        out += "".join(f" WHEN '{f}' THEN {{'role': '{role}', 'terms': {[*t]}}}" for f, t in found.items() if role != "hint" or f not in FIELDS)
+    return f"CASE field_name{out} ELSE {{'role': 'name', 'terms': [replace(field_name, '_', ' ')]}} END"
+
+
+@query(f"WITH {_NAMED}, k AS (SELECT field_name, {_known_sql()} AS x FROM n) SELECT field_name, x.role AS role, array_to_string(x.terms, '|') AS terms, array_to_string(x.terms, ' ') AS query FROM k")
+def query_expansion(spark, d):
+    """Terms and query of fields of the specification, of hints, and of neither."""
+    from .functions.spec import looked_up
+
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in (*NAMES, "sample_size", "latitude", "leaf_area_index", "unknown")])).alias("field_name"))
+    return looked_up(names, SPEC).withColumn("terms", F.array_join("terms", "|"))
+
+
+@query("SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_transform(list(l_quantity), lambda x: CAST(least(30, greatest(1, x)) AS INTEGER)))), ',') AS ks FROM lineitem GROUP BY ALL")
+def k_cutoffs(spark, d):
+    """Lists of k, clamped, distinct and sorted."""
+    lists = S.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("ks"))
+    return lists.select("l_orderkey", F.array_join(evaluate.cutoffs_of("ks"), ",").alias("ks"))
 
 
 # ---------------------------------------------------------------- store
@@ -307,6 +411,11 @@ def gold_filter(spark, d):
     return store.filtered_gold(_gold_table(spark, d), document_id="src0", status="verified").select("gold_id", "document_id", "block_id", "status")
 
 
+@query("SELECT source AS document_id, min(doc_id) AS position, arg_max(lang, doc_id) AS lang, arg_max(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
+def last_value_first_position(spark, d):
+    return store.last_values(docs(spark, d).select(F.col("source").alias("document_id"), F.col("doc_id").alias("position"), "lang", "n_chars"), ["document_id"], "position")
+
+
 @query("SELECT source AS document_id, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source")
 def latest_by_key(spark, d):
     return store.latest_by(docs(spark, d).select(F.col("source").alias("document_id"), "doc_id", "lang"), ["document_id"], "doc_id", "doc_id")
@@ -356,6 +465,44 @@ def cache_keys(spark, d):
     return _keys(spark, d).select("doc_id", "cache_key")
 
 
+#: A cache that holds the vectors of English and French documents; that of French ones under another block's parts.
+_CACHED = "c AS (SELECT cache_key, lang, doc_id FROM keys WHERE lang IN ('en', 'fr'))"
+
+
+def _cached(spark, d):
+    e = encoders.HashingEncoder()
+    parts = store.cache_parts(F.sha2("source", 256), F.col("doc_id").cast("string"), F.col("text"), e.metadata, e.parameters)
+    wanted = docs(spark, d).select("doc_id", "lang", store.cache_key(F.sha2("source", 256), F.col("doc_id").cast("string"), F.col("text"), e.metadata, e.parameters).alias("cache_key"), *[c.alias(k) for k, c in parts.items()])
+    moved = F.when(F.col("lang") == "fr", F.lit("elsewhere")).otherwise(F.col("block_id"))
+    return wanted, wanted.where("lang IN ('en', 'fr')").withColumns({"block_id": moved, "vector": F.array(F.col("doc_id").cast("double"))}).drop("doc_id", "lang")
+
+
+@query(f"WITH {_KEYS}, {_CACHED} SELECT k.doc_id, c.cache_key IS NOT NULL AS hit, coalesce(c.lang = 'fr', false) AS mismatch, CAST(c.doc_id AS DOUBLE) AS first_value FROM keys k LEFT JOIN c USING (cache_key)")
+def cache_identity(spark, d):
+    """Cached vectors met by key, with those that belong to other parts told apart."""
+    out = store.cache_joined(*_cached(spark, d))
+    return out.select("doc_id", F.col("vector").isNotNull().alias("hit"), "mismatch", F.col("vector")[0].alias("first_value"))
+
+
+@query(f"WITH {_KEYS}, {_CACHED} SELECT doc_id, cache_key FROM keys ANTI JOIN c USING (cache_key)")
+def cache_missing(spark, d):
+    wanted, cache = _cached(spark, d)
+    return store.cache_missing(wanted, cache).select("doc_id", "cache_key")
+
+
+@query(f"WITH {_KEYS}, {_CACHED}, a AS (SELECT cache_key, CAST(doc_id AS DOUBLE) AS first_value FROM c UNION ALL SELECT cache_key, -1.0 FROM keys ANTI JOIN c USING (cache_key)) SELECT cache_key, first_value FROM a")
+def cache_write(spark, d):
+    """A write of all vectors leaves those that are there."""
+    wanted, cache = _cached(spark, d)
+    new = store.cache_new(cache, wanted.withColumns({"dimensions": F.lit(1), "vector": F.array(F.lit(-1.0))}))
+    return cache.select("cache_key", F.col("vector")[0].alias("first_value")).unionByName(new.select("cache_key", F.col("vector")[0].alias("first_value")))
+
+
+@query(f"WITH {_KEYS}, {_CACHED} SELECT count(*) AS vectors FROM c")
+def cache_count(spark, d):
+    return _cached(spark, d)[1].agg(F.count("*").alias("vectors"))
+
+
 @query(f"WITH {_KEYS} SELECT true AS enabled, count(CASE WHEN lang IN ('en', 'fr') THEN 1 END) AS hits, count(CASE WHEN lang NOT IN ('en', 'fr') THEN 1 END) AS misses, count(DISTINCT CASE WHEN lang NOT IN ('en', 'fr') THEN cache_key END) AS writes FROM keys")
 def cache_hits_misses(spark, d):
     keys = _keys(spark, d)
@@ -369,6 +516,83 @@ def incremental_new(spark, d):
     return store.new_files(files, known, "v1").select("doc_id", "sha256")
 
 
+_HEAD = "h AS (SELECT sha256(text) AS sha256 FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents))"
+
+
+@query(f"WITH {_HEAD} SELECT 'id' AS looked_up, doc_id, lang FROM documents WHERE doc_id = 7 UNION ALL SELECT 'hash', doc_id, lang FROM documents WHERE sha256(text) IN (SELECT sha256 FROM h)")
+def point_lookups(spark, d):
+    """A document by its id, and those of a hash."""
+    rows = docs(spark, d).withColumn("sha256", F.sha2("text", 256))
+    last = rows.agg(F.max_by("sha256", "doc_id")).first()[0]
+    by = lambda name, c: rows.where(c).select(F.lit(name).alias("looked_up"), "doc_id", "lang")
+    return by("id", F.col("doc_id") == 7).unionByName(by("hash", F.col("sha256") == last))
+
+
+@query(f"WITH {_BLOCKS} SELECT document_id, block_id, row_number() OVER (ORDER BY ordinal) AS place FROM (SELECT * FROM blocks WHERE document_id = 'src0' ORDER BY ordinal LIMIT 80)")
+def blocks_in_order(spark, d):
+    """The first 80 blocks of a document by ordinal."""
+    top = _blocks(spark, d).where("document_id = 'src0'").orderBy("ordinal").limit(80)
+    return top.select("document_id", "block_id", F.row_number().over(Window.orderBy("ordinal")).alias("place"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, len([event_type, CAST(json_extract(props, '$.k') AS VARCHAR)]) AS parts FROM events")
+def record_decode(spark, d):
+    """Columns that hold JSON, as values and lists."""
+    rows = S.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.to_json(F.array("event_type", F.get_json_object("props", "$.k"))).alias("listed"))
+    return rows.select("event_id", "k", F.size(F.from_json("listed", "array<string>")).alias("parts"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS said FROM events")
+def utc_seconds(spark, d):
+    return S.table(spark, d, "events").select("event_id", T.utc_iso("ts").alias("said"))
+
+
+@query(rf"SELECT doc_id, '{K.E5_PASSAGE}' || trim(regexp_replace(text, '\s+', ' ', 'g')) AS prepared FROM documents")
+def e5_text(spark, d):
+    return docs(spark, d).select("doc_id", T.prefixed(K.E5_PASSAGE, "text").alias("prepared"))
+
+
+@query(f"WITH {_GOLD_TABLE} SELECT gold_id, block_id FROM gt WHERE gold_id <> 'g12'")
+def gold_delete(spark, d):
+    """A row taken away by its id, and one by an id that isn't there."""
+    return store.without(store.without(_gold_table(spark, d), "gold_id", "g12"), "gold_id", "none").select("gold_id", "block_id")
+
+
+@query(f"WITH {_GOLD_TABLE}, b AS (SELECT source AS document_id, doc_id AS block_id FROM documents WHERE lang <> 'fr') SELECT gold_id, gt.block_id FROM gt ANTI JOIN b ON gt.document_id = b.document_id AND gt.block_id = b.block_id")
+def gold_rejected(spark, d):
+    """Gold whose block isn't one of its document's (blocks in French are left out here)."""
+    return store.unknown_blocks(_gold_table(spark, d), _blocks(spark, d).where("section <> 'results'")).select("gold_id", "block_id")
+
+
+@query(f"WITH {_GOLD_TABLE} SELECT document_id, field_name, count(*) AS gold_count FROM gt GROUP BY ALL")
+def gold_counts(spark, d):
+    return _gold_table(spark, d).groupBy("document_id", "field_name").agg(F.count("*").alias("gold_count"))
+
+
+#: A log in which all labelled blocks are marked, French ones are marked again, Spanish ones are taken back, and some of those are marked anew.
+_LOGGED = "l AS (SELECT source AS document_id, doc_id AS block_id, lang, doc_id % 2 = 0 AS even FROM documents JOIN labels USING (doc_id))"
+
+
+@query(f"WITH {_LOGGED} SELECT block_id, CASE WHEN lang = 'es' THEN 'late' || block_id ELSE 'g' || block_id END AS gold_id, CASE WHEN lang IN ('es', 'fr') THEN 'draft' ELSE 'verified' END AS status, CASE WHEN lang = 'fr' THEN 'again' WHEN lang = 'es' THEN 'anew' ELSE '' END AS note FROM l WHERE lang <> 'es' OR even")
+def gold_log(spark, d):
+    rows = docs(spark, d).join(S.table(spark, d, "labels").select("doc_id"), "doc_id").select(F.col("source").alias("document_id"), F.lit("species").alias("field_name"), F.col("doc_id").alias("block_id"), "lang")
+    name = lambda prefix: F.concat(F.lit(prefix), "block_id")
+    step = lambda part, at, kind, prefix, status, note: part.withColumns({"gold_id": name(prefix), "status": F.lit(status), "note": F.lit(note), "created_at": F.lit(f"t{at}"), "kind": F.lit(kind), "at": F.lit(at)})
+    spanish = rows.where("lang = 'es'")
+    log = step(rows, 1, "put", "g", "verified", "").unionByName(step(rows.where("lang = 'fr'"), 2, "put", "x", "draft", "again")).unionByName(step(spanish, 3, "drop", "g", "", "")).unionByName(step(spanish.where("block_id % 2 = 0"), 4, "put", "late", "draft", "anew"))
+    return store.gold_of(log).select("block_id", "gold_id", "status", "note")
+
+
+@query("SELECT count(*) FILTER (NOT known AND length(text) >= 100) AS parsed, count(*) FILTER (known) AS reused, count(*) FILTER (NOT known AND length(text) < 100) AS failed FROM (SELECT text, sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'en') AS known FROM documents)")
+def sync_counters(spark, d):
+    """Files whose hash is stored count as reused; the others are parsed, or fail with too little text."""
+    files = docs(spark, d).select("doc_id", "lang", "text", F.sha2("text", 256).alias("sha256"))
+    known = files.where("lang = 'en'").select("sha256", F.lit("v1").alias("parser_version"))
+    fresh = store.new_files(files, known, "v1").select("doc_id", F.when(F.length("text") < 100, "failed").otherwise("ok").alias("parser_status"))
+    states = files.select("doc_id").join(fresh, "doc_id", "left").withColumn("reused", F.col("parser_status").isNull())
+    return ingest.sync_counts(states)
+
+
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def content_sha256(spark, d):
     return docs(spark, d).select("doc_id", F.sha2("text", 256).alias("sha256"))
@@ -376,7 +600,7 @@ def content_sha256(spark, d):
 
 @query("SELECT doc_id, 'unknown' AS backend, 0 AS cache_hits FROM documents")
 def additive_migration(spark, d):
-    return store.migrated(docs(spark, d).select("doc_id", F.lit(None).cast("string").alias("backend")), {k: store.RUN_DEFAULTS[k] for k in ("backend", "cache_hits")})
+    return store.migrated(docs(spark, d).select("doc_id", F.lit(None).cast("string").alias("backend")), {k: K.RUN_DEFAULTS[k] for k in ("backend", "cache_hits")})
 
 
 @query(f"WITH {_LINES} SELECT document_id, ordinal, 'block-' || substr(sha256(document_id || '|1|' || ordinal || '|' || text), 1, 14) AS block_id FROM lines")
@@ -479,11 +703,17 @@ def parser_status(spark, d):
 
 @query(f"""WITH {_LINES}, c AS (SELECT document_id, ordinal, text, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS r FROM lines WHERE ordinal <= 80 AND length(text) BETWEEN 12 AND 300),
 b AS (SELECT document_id, arg_min(text, ordinal) AS line FROM c WHERE r <= 20 AND NOT regexp_matches(text, '^(?:{K.YEAR_PATTERN})$') AND NOT regexp_matches(text, '(?i){K.DOI_PATTERN}') AND NOT contains(lower(text), 'journal') GROUP BY ALL)
-SELECT doc_id AS document_id, coalesce(line, 'paper-2019-' || doc_id) AS title, 2019 AS publication_year FROM documents LEFT JOIN b ON doc_id = document_id""")
+SELECT doc_id AS document_id, CASE WHEN lang = 'de' AND length(trim(substr(replace(text, chr(10), ' '), 1, 600))) >= 8 THEN substr(trim(substr(replace(text, chr(10), ' '), 1, 600)), 1, 500) ELSE coalesce(line, CASE WHEN doc_id % 2 = 0 THEN 'paper-' || (1990 + doc_id % 30) || '-' ELSE 'paper-' END || doc_id) END AS title,
+ CASE WHEN doc_id % 2 = 0 THEN CAST(1990 + doc_id % 30 AS INTEGER) WHEN doc_id % 3 = 0 THEN CAST(2000 + doc_id % 20 AS INTEGER) END AS publication_year FROM documents LEFT JOIN b ON doc_id = document_id""")
 def title_candidate(spark, d):
     rows = docs(spark, d)
     blocks = S.line_blocks(rows).withColumn("page", (F.floor((F.col("ordinal") - 1) / 40) + 1))
-    meta = rows.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("paper-2019-"), "doc_id", F.lit(".pdf")).alias("filename"), F.lit("untitled").alias("title"), F.lit("").alias("created"))
+    # half of the names hold a year, some of the others have a time of creation, and German documents a title of their own
+    number = lambda low, span: (low + F.col("doc_id") % span).cast("string")
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("paper-"), number(1990, 30), F.lit("-"))).otherwise(F.lit("paper-")), "doc_id", F.lit(".pdf"))
+    given = F.when(F.col("lang") == "de", F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 600)).otherwise(F.lit("Untitled"))
+    created = F.when(F.col("doc_id") % 3 == 0, F.concat(number(2000, 20), F.lit("-03-01"))).otherwise(F.lit("none"))
+    meta = rows.select(F.col("doc_id").alias("document_id"), name.alias("filename"), given.alias("title"), created.alias("created"))
     return ingest.titles(blocks, meta).select("document_id", "title", "publication_year")
 
 
@@ -531,6 +761,24 @@ def status_histogram(spark, d):
     return screen.screened(_blocks(spark, d), SPEC).groupBy("screening_status").agg(F.count("*").alias("documents"))
 
 
+@query(_SCREEN + f"SELECT document_id, '{K.REASON_TARGET}' || target_blocks || '|{K.REASON_NUMERIC}' || numeric_blocks || CASE WHEN excluded_blocks > 0 THEN '|{K.REASON_EXCLUDED}' || excluded_blocks ELSE '' END || '|' || CASE WHEN numeric_blocks > 0 AND has_required THEN '{K.REASON_USABLE}' WHEN numeric_blocks > 0 THEN '{K.REASON_RELATIVE}site_name' ELSE '{K.REASON_NODATA}' END AS reasons FROM v".replace("FROM v", "FROM v JOIN (SELECT document_id, CAST(sum(CAST(excluded AS INTEGER)) AS BIGINT) AS excluded_blocks FROM x GROUP BY ALL) USING (document_id)"))
+def screen_reasons(spark, d):
+    return screen.screened(_blocks(spark, d), SPEC).select("document_id", F.array_join("screening_reasons", "|").alias("reasons"))
+
+
+_OTHER = Spec(targets=(Field("treatment", "les", ("des", "une")),))
+_RESCREEN = f"""WITH {_WINDOW.replace(_has(_TERMS['species']), _has(_OTHER.targets[0].screening_terms)).replace(f"numeric AND regexp_matches(text, '(?i){K.PREDICTION_PATTERN}')", 'false')}
+SELECT document_id, CASE WHEN sum(CAST(numeric AS INTEGER)) > 0 THEN 'usable' ELSE 'nodata' END AS screening_status FROM x GROUP BY ALL"""
+
+
+@query(_RESCREEN)
+def rescreened(spark, d):
+    """Statuses after a change of the specification take the place of those before."""
+    blocks = _blocks(spark, d)
+    state = lambda spec: screen.screened(blocks, spec).select("document_id", "screening_status")
+    return store.replaced(state(SPEC), state(_OTHER), ["document_id"])
+
+
 _COVERED = f"""{_LINES}, cv AS (SELECT document_id, {', '.join(f"bool_or({_has(t)}) AS c{i}" for i, t in enumerate(_TERMS.values()))} FROM lines GROUP BY ALL)"""
 _COVERED_LIST = "list_filter([" + ", ".join(f"CASE WHEN c{i} THEN '{t[0]}' END" for i, t in enumerate(_TERMS.values())) + "], lambda x: x IS NOT NULL)"
 
@@ -574,6 +822,14 @@ def spec_targets(spark, d):
     return interpreted(_briefs(spark, d)).select("conv_id", "turn", *[F.array_join(c, ",").alias(c) for c in ("targets", "sources", "exclusions")])
 
 
+@query(f"WITH b AS (SELECT conv_id, turn, {_norm('text').replace('lower(text)', 'text')} AS brief FROM conversations), t AS (SELECT conv_id, turn, brief, CASE WHEN {' OR '.join(_any('brief', s) for _, _, s, _ in K.TARGET_FIELDS)} THEN '' ELSE '{K.WARN_TARGET}' END AS a FROM b) SELECT conv_id, turn, a || '{K.WARN_REQUIRED}' AS warnings FROM t WHERE NOT {_any('brief', K.REQUIRED_MARKERS)}")
+def spec_warnings(spark, d):
+    """Warnings of briefs that name no required field."""
+    turns = S.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("brief"))
+    said = interpreted(turns).where(~T.contains_any(F.regexp_replace("brief", r"(?U)\s+", " "), list(K.REQUIRED_MARKERS)))
+    return said.select("conv_id", "turn", F.array_join("warnings", "").alias("warnings"))
+
+
 _SENT = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(brief, '([。！？!?；;])', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 
 

@@ -124,10 +124,17 @@ def test_metrics(spark):
     assert set(rows) == {"d", "e"} and rows["d"].gold_count == 2 and rows["d"].first_gold_rank == 2 and rows["e"].reciprocal_rank == 0
     assert [(x.k, x.hit, x.recall, x.precision) for x in rows["d"].at_k] == [(1, 0.0, 0.0, 0.0), (3, 1.0, 0.5, pytest.approx(1 / 3)), (30, 1.0, 1.0, 0.5)]
     assert evaluate.per_query(ranked, gold, []).first().at_k == []
-    cover = evaluate.coverage(gold, evaluate.per_query(ranked, gold, [3]), ranked).first()
+    cover = evaluate.coverage(gold, evaluate.per_query(ranked, gold, [3])).first()
     assert (cover.annotated_queries, cover.evaluated_queries, cover.blocks_scored) == (3, 2, 5)
     macro = {(r.field_name, r.k): r.recall for r in evaluate.macro(evaluate.per_query(ranked, gold, [3])).collect()}
     assert macro == {("f", 3): 0.25, (None, 3): 0.25}
+    ids = {r.document_id: (r.top_block_ids, r.gold_block_ids) for r in evaluate.per_query(ranked, gold, [2, 3], ids=True).collect()}
+    assert ids == {"d": (["b1", "b2", "b3"], ["b2", "b4"]), "e": (["x"], ["y"])}
+    assert evaluate.per_query(ranked, gold, [], ids=True).where("document_id = 'd'").first().top_block_ids == []
+    pairs = {r.document_id: (r.gold_count, r.hit_at_k, r.reciprocal_rank) for r in evaluate.compared_with_gold(ranked, gold.where("document_id = 'd'"), 1).collect()}
+    assert pairs == {"d": (2, 0.0, 0.5), "e": (0, None, None)}
+    none = evaluate.coverage(gold.limit(0), evaluate.per_query(ranked, gold.limit(0), [3])).first()
+    assert (none.annotated_queries, none.evaluated_queries, none.blocks_scored) == (0, 0, 0)
 
 
 def test_screening(spark):
@@ -166,6 +173,9 @@ def test_document_facts(spark):
     pages = spark.createDataFrame([("d", i) for i in range(1, 6)] + [("s", 1), ("none", 1)], "document_id string, page int")
     got = {r.document_id: (r.parser_status, r.page_count, r.low_text_pages) for r in ingest.document_facts(b, pages).collect()}
     assert got == {"d": ("warning", 5, 4), "s": ("failed", 1, 0), "none": ("failed", 1, 1)}
+    rows = [("z", 2, 1, "stem " * 1000), ("z", 1, 1, "x" * 14_990), ("z", 3, 1, "树" * 9000), ("y", 1, 1, "树" * 200), ("y", 2, 1, "ab")]
+    long = {r.document_id: (r.text_char_count, r.language) for r in ingest.document_facts(spark.createDataFrame(rows, "document_id string, ordinal int, page int, text string")).collect()}
+    assert long == {"z": (14_990 + 5000 + 9000 + 2, "en"), "y": (203, "zh")}  # what lies beyond 20,000 characters doesn't count for the language
 
 
 def test_hashing_encoder(spark):
@@ -179,6 +189,18 @@ def test_hashing_encoder(spark):
         expected[int.from_bytes(digest, "big") % 384] += 1.0 if digest[0] % 2 else -1.0
     norm = math.sqrt(sum(x * x for x in expected))
     assert e.query("ABC") == pytest.approx([x / norm for x in expected])
+    odd = ["ab", "", "ünïcode 树干 \U0001f642 x", "a", "ab ab " * 50, "\ud800b lone"]
+    for digest in ("blake2b", "md5"):
+        coder = encoders.HashingEncoder(16, digest=digest)
+        for text, vector in zip(odd, coder._encoded(odd), strict=True):
+            plain, low = [0.0] * 16, " ".join(text.lower().split())
+            for w in (2, 3, 4):
+                for i in range(len(low) - w + 1):
+                    bucket, sign = encoders._place(low[i : i + w], 16, digest)
+                    plain[bucket] += sign
+            size = math.sqrt(sum(x * x for x in plain)) or 1
+            assert vector.tolist() == pytest.approx([x / size for x in plain])
+    assert encoders.HashingEncoder(digest="md5").metadata["model"] != e.metadata["model"]
 
 
 def test_registry():
@@ -188,11 +210,43 @@ def test_registry():
     with pytest.raises(RuntimeError):
         encoders.DisabledEncoder().query("x")
     made = []
-    fake = encoders.E5Encoder(factory=lambda: type("M", (), {"encode": lambda self, texts, **k: made.extend(texts) or [[1.0] * 384 for _ in texts]})())
+    asked = {}
+    fake = encoders.E5Encoder(factory=lambda model, **k: asked.update(k, model=model) or type("M", (), {"encode": lambda self, texts, **k: made.extend(texts) or [[1.0] * 384 for _ in texts]})())
     assert not made and fake.query(" a \n b") == [1.0] * 384 and made == ["query: a b"]
+    assert asked["revision"] == fake.metadata["model_version"] and len(asked["revision"]) == 40 and asked["trust_remote_code"] is False and asked["model"] == fake.metadata["model"]
+    assert fake.runtime_status["ready"] and encoders.E5Encoder(batch_size=8).parameters != encoders.E5Encoder().parameters
     if not encoders.E5Encoder().runtime_status["ready"]:
-        with pytest.raises(encoders.EncoderUnavailable):
-            encoders.E5Encoder().query("x")
+        for use in (lambda: encoders.E5Encoder().query("x"), lambda: encoders.E5Encoder().passages(F.lit("x"))):
+            with pytest.raises(encoders.EncoderUnavailable, match="5.5.1.*not-installed"):
+                use()
+
+    def broken(model, **options):
+        raise OSError("no such model")
+
+    with pytest.raises(encoders.EncoderUnavailable, match="at revision"):
+        encoders.E5Encoder(factory=broken).query("x")
+    with pytest.raises(ValueError):
+        encoders.E5Encoder(batch_size=0)
+
+
+def test_cosine_wants_equal_lengths(spark):
+    rows = spark.createDataFrame([([1.0, 0.0], [0.6, 0.8]), (None, [1.0, 0.0])], "a array<double>, b array<double>")
+    assert [r.c for r in rows.select(retrieve.cosine("a", "b").alias("c")).collect()] == [0.6, None]
+    with pytest.raises(Exception, match="different lengths"):
+        spark.createDataFrame([([1.0], [0.6, 0.8])], "a array<double>, b array<double>").select(retrieve.cosine("a", "b")).collect()
+
+
+def test_hybrid_weights(spark):
+    """The four branches at their default weights, with a cosine that is cut at zero."""
+    texts = ["stem respiration of trees", "soil", "stem"]
+    spec = Spec(targets=(Field("rate", "stem respiration", ("stem",)),))
+    b = blocks(spark, [(i + 1, "results", "text", t) for i, t in enumerate(texts)])
+    e = encoders.HashingEncoder()
+    cosines = retrieve.semantic(b.select("block_id", e.passages(F.col("text")).alias("vector")), {"rate": e.query(spec.query_for("rate"))})
+    rows = retrieve.scored(b, spec, ["rate"], vectors=cosines).orderBy("ordinal").collect()
+    plain = [max(0.0, sum(x * y for x, y in zip(e.query(t), e.query("stem respiration stem"), strict=True))) for t in texts]
+    assert [r.semantic for r in rows] == pytest.approx(plain) and min(plain) >= 0
+    assert [r.score for r in rows] == [round(0.45 * r.bm25 + 0.35 * r.semantic + 0.15 * r.term_coverage + 0.05 * r.section_prior, 6) for r in rows]
 
 
 def test_cache_key(spark):
@@ -212,16 +266,21 @@ def test_store(spark, tmp_path):
     assert [r.gold_id for r in store.filtered_gold(gold).collect()] == ["g2", "g1"]
     assert store.cascaded_gold(gold, gold.where("document_id = 'd'")).count() == 1
     assert store.migrated(spark.createDataFrame([(1, None)], "i int, backend string"), {"backend": ("string", "unknown"), "cache_hits": ("int", 0)}).first() == (1, "unknown", 0)
-    path = f"{tmp_path}/gold"
-    store.swap(gold, path)
-    store.swap(spark.read.parquet(path).where("gold_id = 'g1'"), path)
-    assert spark.read.parquet(path).count() == 1
     wanted = spark.createDataFrame([("k1",), ("k2",), ("k2",)], "cache_key string")
     cache = spark.createDataFrame([("k1", [1.0, 2.0])], "cache_key string, vector array<double>")
     stats = store.cache_stats(wanted, cache).first()
     assert (stats.hits, stats.misses, stats.writes) == (1, 2, 1)
+    e = encoders.HashingEncoder(2)
+    parts = store.cache_parts(F.lit("s"), F.col("b"), F.col("t"), e.metadata, e.parameters)
+    rows = spark.createDataFrame([("b1", "x"), ("b2", "y")], "b string, t string").select(store.cache_key(F.lit("s"), F.col("b"), F.col("t"), e.metadata, e.parameters).alias("cache_key"), *[c.alias(k) for k, c in parts.items()])
+    held = store.cache_new(rows.limit(0).withColumn("vector", F.array(F.lit(0.0))), rows.where("block_id = 'b1'").withColumn("vector", F.array(F.lit(3.0), F.lit(4.0))))
+    assert [(r.block_id, r.vector) for r in store.cache_read(rows, held).orderBy("block_id").collect()] == [("b1", [3.0, 4.0]), ("b2", None)]
+    assert [r.block_id for r in store.cache_new(held, rows.withColumn("vector", F.array(F.lit(5.0), F.lit(6.0)))).collect()] == ["b2"]
+    for broken, message in ((held.withColumn("vector", F.array(F.lit(1.0))), "another length"), (held.withColumn("model", F.lit("other")), "other parts")):
+        with pytest.raises(Exception, match=message):
+            store.cache_read(rows, broken).collect()
     with pytest.raises(Exception, match="another length"):
-        store.cache_split(wanted, cache, 3)[0].collect()
+        store.cache_new(held, rows.withColumn("vector", F.array(F.lit(5.0)))).collect()
 
 
 @settings(max_examples=6, deadline=None)
