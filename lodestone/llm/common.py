@@ -1,4 +1,4 @@
-"""Shared parts of the training-data operators: scratch tables, Arrow chunks, a vectorised tokeniser and connected components.
+"""Shared parts of the training-data operators: sizes, Arrow chunks, a vectorised tokeniser and connected components.
 
 Everything that runs on executors works on bounded chunks of Arrow batches, so memory follows the chunk size (and the
 longest single text), never the size of a partition or of a group of equal rows.
@@ -8,64 +8,32 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------- scratch tables
+from ..scratch import bounded_batches, dropped, met, written
 
+# ---------------------------------------------------------------- sizes
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or (only where that is unset) one of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("lodestone.scratch.dir", "")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("lodestone.scratch.dir", root)
-    return root.rstrip("/")
+#: Bytes of input text for one partition of a shuffle.
+PART_BYTES = 8_000_000
 
 
-#: Bytes of an Arrow batch. Spark's own bound of 64 MB is held several times over on both sides of a worker's pipe.
-BATCH_BYTES = 2_000_000
+def text_total(docs: DataFrame, text: str) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """From now on this session hands Python workers batches of at most BATCH_BYTES, however long single texts are; a setting that isn't Spark's default stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    path = f"{scratch_root(spark)}/t-{uuid.uuid4().hex}"
-    w = df.write.option("compression", "zstd")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that no later plan reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        with contextlib.suppress(Exception):
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
-def shuffle_parts(spark: SparkSession, times: int = 1) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * times)
+def shuffle_parts(spark: SparkSession, size: int = 0, each: int = PART_BYTES) -> int:
+    """Partitions for `size` bytes of text, so that a task's share stays the same whatever the input; at least the session's number."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 # ---------------------------------------------------------------- Arrow chunks
@@ -254,7 +222,7 @@ def union(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 #: Bits of a filter. When it fills up it lets more pass than needed, never less.
 BLOOM = 1 << 23
-_BLOOM_SLICES = 16
+_BLOOM_SLICES, BLOOM_TASKS = 16, 128
 
 
 def bloom_bits(keys: np.ndarray) -> np.ndarray:
@@ -263,7 +231,8 @@ def bloom_bits(keys: np.ndarray) -> np.ndarray:
 
 
 def bloom_of(df: DataFrame, keys_of) -> np.ndarray:
-    """Filter over the keys that `keys_of(batch)` gives as an (n, 2) array of 64-bit numbers; BLOOM / 8 bytes."""
+    """Filter over the keys that `keys_of(batch)` gives as an (n, 2) array of 64-bit numbers; BLOOM / 8 bytes. `df` is a written table;
+    at most BLOOM_TASKS tasks read it, so what they send doesn't grow with its files."""
 
     def one(batches):
         bits, some = np.zeros(BLOOM, bool), False
@@ -285,29 +254,102 @@ def bloom_of(df: DataFrame, keys_of) -> np.ndarray:
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "b"])
 
     bits = np.zeros((_BLOOM_SLICES, BLOOM // 8 // _BLOOM_SLICES), np.uint8)
-    for r in df.mapInArrow(one, "k int, b binary").repartition(_BLOOM_SLICES, "k").mapInArrow(join, "k int, b binary").collect():
+    for r in df.coalesce(BLOOM_TASKS).mapInArrow(one, "k int, b binary").repartition(_BLOOM_SLICES, "k").mapInArrow(join, "k int, b binary").collect():
         bits[r.k] = np.frombuffer(r.b, np.uint8)
     return bits.ravel()
 
 
+def maybe_in(bloom, a: str, b: str):
+    """Column: whether the two 64-bit columns a and b may be a key of a broadcast filter. Python sees nothing but them."""
+
+    @F.pandas_udf("boolean")
+    def maybe(x: pd.Series, y: pd.Series) -> pd.Series:
+        at = bloom_bits(np.stack([x.to_numpy(np.int64), y.to_numpy(np.int64)], 1).view(U))
+        return pd.Series(((bloom.value[at >> 3] >> (7 - (at & 7))) & 1).all(1))
+
+    return maybe(a, b)
+
+
+# ---------------------------------------------------------------- counts in a hashed table of fixed size
+
+#: Cells of the table: about one for each CELL_BYTES of text, within these bounds; it is sent in slices of SLICE cells.
+CELL_BYTES, LEAST_CELLS, MOST_CELLS, SLICE = 256, 1 << 16, 1 << 24, 1 << 16
+
+
+def cells_for(size: int) -> int:
+    return 1 << min(MOST_CELLS, max(LEAST_CELLS, size // CELL_BYTES)).bit_length() - 1
+
+
+def cell_slices(counts: np.ndarray) -> list[bytes]:
+    """A task's table of 32-bit counts in packed slices."""
+    return [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in counts.reshape(-1, SLICE)]
+
+
+def _add_slices(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint32)
+            total[k] = total.get(k, 0) + part.astype(np.int64)
+    for k, part in total.items():
+        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "b"])
+
+
+def size_classes(slices: DataFrame, cells: int) -> np.ndarray:
+    """From (slice number, packed counts) of all tasks: a class from 0 (usual) to 15 (most frequent) of each cell, at most MOST_CELLS bytes."""
+    total = np.zeros((cells // SLICE, SLICE), np.float32)
+    for r in slices.toDF("k", "b").repartition(len(total), "k").mapInArrow(_add_slices, "k int, b binary").collect():
+        total[r.k] = np.frombuffer(r.b, np.int64)
+    total = total.ravel()
+    usual = float(total.mean()) + 2 * float(total.mean()) ** 0.5 + 2
+    return np.clip(np.ceil(2 * np.log2(np.maximum(total, 1) / usual)), 0, 15).astype(np.uint8)
+
+
+def ranked_by_class(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A number for each hash that puts frequent ones behind: its class in the top four bits, then its own bits."""
+    return (hashes >> U(4)) | classes[(hashes & U(len(classes) - 1)).astype(np.int64)].astype(U) << U(60)
+
+
 # ---------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """(node, component): component is the smallest node reachable. `edges` has src and dst of one orderable type.
+#: Edges that one task joins by itself (about 10 MB).
+ALONE = 1 << 18
+
+
+def _joined_alone(batches):
+    """(node, component) of all edges of a small graph."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        edges = pa.Table.from_batches(held)
+        ends = pa.chunked_array([*edges["u"].chunks, *edges["v"].chunks])
+        names = pc.unique(ends)
+        names = names.take(pc.sort_indices(names))
+        at = pc.index_in(ends, names).to_numpy()
+        root = union(at[: edges.num_rows], at[edges.num_rows :], len(names))
+        yield pa.record_batch([names, names.take(pa.array(root))], names=["node", "component"]).filter(pa.array(root != np.arange(len(root))))
 
-    Alternating large-star and small-star steps; a step is one partial aggregation and one join, so a node with very
-    many neighbours is neither gathered in a task nor paired with itself. Each round is written to the shared folder.
+
+def components(edges: DataFrame, limit: int = 60, alone: int = ALONE) -> DataFrame:
+    """(node, component): component is the smallest node reachable; that node itself has no row. `edges` has src and dst of one orderable type.
+
+    Up to `alone` distinct edges are joined by one task. More take alternating large-star and small-star steps: a step is one partial
+    aggregation and one join, and a node with very many neighbours is neither gathered in a task (see met) nor paired with itself.
+    Each round is written to the shared folder.
     """
     now = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     mark = _mark(now)
+    if mark[0] <= alone:
+        kind = now.schema["u"].dataType.simpleString()
+        out = written(now.coalesce(1).mapInArrow(_joined_alone, f"node {kind}, component {kind}"))
+        dropped(now)
+        return out
     for _ in range(limit):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = written(large)
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = written(met(both, low, "u", "n", 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = met(large, least, "u", "n", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = written(small)
         dropped(large)
         new = _mark(after)
