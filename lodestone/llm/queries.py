@@ -23,7 +23,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mixed(docs, table(spark, sf_dir, "labels")).drop("text")
+    return mixed(docs, table(spark, sf_dir, "labels"), keep_text=False)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,13 @@ A text without words has the bias alone. Whole texts are scored, in chunks.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import U, WHITE, Words, mix, ranges, text_bytes
 
@@ -122,18 +126,33 @@ def train(texts, labels: np.ndarray, classes: int, dims: int = 8, epochs: int =
     return Model((table @ weight).astype(np.float32), bias)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text: str = "text", max_bytes: int = 8_000_000):
-    """At most `most` labelled rows (columns id, text, label), those of smallest hash of id; whole texts, in order of hash until
-    max_bytes of text. `labels` has id_col and a class number `label`; ids with several labels take the largest one."""
-    import pyarrow as pa
-
-    marks = labels.where(F.col(id_col).isNotNull() & F.col("label").isNotNull()).groupBy(id_col).agg(F.max("label").alias("label"))
-    marks = marks.orderBy(F.xxhash64(id_col, F.lit(11)), id_col).limit(most)
-    rows = docs.select(id_col, text).where(F.col(text).isNotNull()).join(F.broadcast(marks), id_col).select(F.xxhash64(id_col, F.lit(11)).alias("h"), text, "label").orderBy("h", text)
-    texts, y, held = [], [], 0
-    for r in rows.toLocalIterator():
-        held += len(r[1].encode())
-        if held > max_bytes and texts:
-            break
-        texts.append(r[1]), y.append(r[2])
-    return pa.chunked_array([pa.array(texts, pa.string())]), np.array(y, np.int64)
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text: str = "text", max_bytes: int = 8_000_000, least: int = 100, classes: int = 8):
+    """At most `most` labelled rows of docs and about `max_bytes` of their whole texts, in order of a hash of id: (texts, class numbers).
+
+    A row that doesn't fit any more is passed over, not the end of the sample; a class with fewer than `least` rows in the sample
+    gets its next ones. `labels` has id_col and a class number `label` below `classes` (others count as none); ids with several
+    labels take the largest one. What the driver holds is bounded by these numbers, whatever the tables.
+    """
+    marks = labels.where(F.col(id_col).isNotNull() & F.col("label").between(0, classes - 1)).groupBy(F.col(id_col).alias("i")).agg(F.max("label").alias("label"))
+    a = F.xxhash64(F.lit(19), F.col(text))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("i"), a.alias("a"), F.octet_length(text).alias("size"))
+    rows = rows.join(marks, "i").select("i", "a", "size", "label", F.xxhash64("i", F.lit(11)).alias("h")).distinct()
+    by_class = Window.partitionBy("label").orderBy("h", "i", "a")
+    found = rows.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= most).orderBy("h", "i", "a").limit(2 * most).collect()
+    chosen, held, n = [], 0, Counter()
+    for r in found:
+        if len(chosen) < most and held + r.size <= max_bytes:
+            chosen.append(r)
+            held += r.size
+            n[r.label] += 1
+    taken = {(r.i, r.a) for r in chosen}
+    for r in found:
+        if (r.i, r.a) not in taken and n[r.label] < least and r.size <= max_bytes // least:
+            chosen.append(r)
+            n[r.label] += 1
+    if not chosen:
+        return pa.chunked_array([pa.array([], pa.string())]), np.zeros(0, np.int64)
+    pick = docs.sparkSession.createDataFrame([(r.i, r.a, r.label, r.h) for r in chosen], StructType([StructField("i", docs.schema[id_col].dataType), *StructType.fromDDL("a long, label long, h long").fields]))
+    texts = docs.select(F.col(id_col).alias("i"), a.alias("a"), F.col(text).alias("t")).join(F.broadcast(pick), ["i", "a"]).dropDuplicates(["i", "a"])
+    got = sorted(texts.select("h", "i", "a", "t", "label").collect(), key=lambda r: (r.h, r.i, r.a))
+    return pa.chunked_array([pa.array([r.t for r in got], pa.string())]), np.array([r.label for r in got], np.int64)
