@@ -1,44 +1,54 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
 A document is the set of its distinct word shingles. Two sets of sizes x and y have Jaccard similarity t or more only if
-they share T = ceil(t x) shingles (and ceil(t y)). With the inverted lists of a document's shingles in a global order, short
-ones first, all but the first x - T + 1 may be set aside as long: a partner must occur in at least one short list.
-
-* The order comes from a count of all shingles of all documents in a hashed table of fixed size: ordinary shingles by hash,
-  frequent ones (a line in a third of all texts) last, by size class. Any order is right; this one keeps the lists short.
-* Short lists meet at the bucket of their shingle, where they are merged and occurrences are counted (`_merge`).
-* Candidates are first held against a bound: each set has a bitmap of about one bit a shingle, and a bit that is set in one
-  bitmap only is a shingle that isn't shared (`_may_reach`). Those that remain are settled by binary probes of one sorted
-  set into the other (`_probe`).
-* Lists over `small` entries are not turned into all their pairs. A first round links each entry to its neighbour by size;
-  a second one takes from such a list only pairs that lie in different components after the first. Links inside a
-  component can't change it, so nothing is lost, and a group of n near copies costs about n probes.
-
-Equal word sequences are one class from the start, named by 128 bits of hash.
+they share T = ceil(t x) shingles (and ceil(t y)): each occurs in T inverted lists of the other. DivideSkip sets the T - tau
+longest lists aside; a partner then still occurs tau times in the short ones. Short lists are merged and occurrences counted,
+long ones are only probed for documents that are left, and those that reach the overlap are kept.
+
+* Which lists are short follows from a count of all shingles of all documents in a hashed table of fixed size: ordinary
+  shingles by hash, frequent ones (a line in a third of all texts) last, by size class. As the order is the same for all documents, the
+  tau occurrences lie in the short lists of both (`_short_lists`: the first x - T + tau of a document in that order).
+* Short lists meet at the bucket of their shingle, where they are merged by sorting and each pair's occurrences are counted
+  (`_merge`). Counts of all buckets are summed; pairs below tau go. Pairs are held against a bound as well: each set has a
+  bitmap of about one bit a shingle, and a bit that is set in one bitmap only is a shingle that isn't shared (`_may_reach`).
+* Long lists are built for the documents of a block of pairs, and each partner is searched in them by binary probes; pairs
+  that reach T in all are links (`_probe`).
+* A list of over `small` entries isn't turned into all its pairs: it gives no counts, so what a pair needs is lowered by the
+  number of such lists that both lie in. A first round tries to link each entry to one document of its sizes; a second one takes some pairs of
+  different components from each stripe of such a list, as near copies mostly are links; a third one all pairs of it that still lie in
+  different components. Links inside a component can't change it, so nothing is lost, and a group of n near copies costs about n
+  probes. Stripes, and for the third round a grid of blocks of two stripes, spread a hot list over many tasks.
+
+Equal word sequences are one class from the start, named by 128 bits of hash. Shingles are told apart by 64 bits.
 
 Defined cases: text without words (or null): n_shingles 0, links with nothing, component is its own id. Fewer words than a
 shingle: the whole sequence is the one shingle. Repeated rows fall into one class. A null id never names a component that
-has another id. Extra columns are kept by `keep_one` (internal names start with `_ng_`). An empty table gives none.
+has another id. Rows, not ids, are kept or removed by `keep_one`. Extra columns are kept by it (internal names start with
+`_ng_`). An empty table gives none.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, bloom_bits, bloom_of, chunks, components, dropped, gram_hashes, mix, ranges, sequence_keys, shuffle_parts, text_bytes, written
+from .common import (
+    U, Words, bloom_bits, bloom_of, cell_slices, cells_for, chunks, components, dropped, gram_hashes, maybe_in, met, mix, ranges, ranked_by_class, sequence_keys, shuffle_parts,
+    size_classes, text_bytes, text_total, written,
+)
 from .substring_dedup import _pack, _unpack, _with
 
 CHUNK = 2_000_000
-#: Cells of the table of counts: about one for each CELL_BYTES of text, within these bounds.
-CELL_BYTES, LEAST_CELLS, MOST_CELLS = 256, 1 << 16, 1 << 24
-SLICES = 16
 #: Bits of the smallest bitmap.
 BITS = 2048
+#: Occurrences in short lists that a pair needs (fewer if T is smaller).
+TAU = 3
+#: Lists up to this length are turned into their pairs.
 SMALL = 24
+#: Entries of a long list in one block of its grid.
+BLOCK = 512
 #: Pairs of a long list that are tried to join two components before the rest is looked at.
 TRIES = 8
 
@@ -47,7 +57,7 @@ TRIES = 8
 
 
 def _sets(table: pa.Table, text: str, n: int):
-    """Sorted distinct shingle hashes (60 bits) of each row, back to back, with n_rows + 1 offsets, and two keys a row."""
+    """Shingle hashes of each row, back to back, with n_rows + 1 offsets, and two keys a row."""
     data, off = text_bytes(table[text])
     words = Words(data, off, lower=True)
     keys = np.stack([sequence_keys(words.hashes, words.first, 101), sequence_keys(words.hashes, words.first, 202)], 1)
@@ -63,14 +73,19 @@ def _sets(table: pa.Table, text: str, n: int):
     body[first[short]] = False
     out[body] = values
     out[first[short]] = sequence_keys(words.hashes, words.first, 303)[short]
-    return out >> U(4), first, keys
+    return out, first, keys
 
 
-def _distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts each row's values in place and drops repeats."""
+def _sort(values: np.ndarray, first: np.ndarray) -> None:
+    """Sorts each row's values in place."""
     for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if e - s > 1:
             values[s:e].sort()
+
+
+def _distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts each row's values in place and drops repeats."""
+    _sort(values, first)
     keep = np.ones(len(values), bool)
     if len(values):
         keep[1:] = values[1:] != values[:-1]
@@ -104,8 +119,8 @@ def _keys_of(column) -> np.ndarray:
 
 # ---------------------------------------------------------------- pass 1: classes, set sizes, counts of all shingles
 
-_PROFILE = "n_shingles long, _ng_key binary, _ng_bits binary, _ng_slice int, _ng_counts binary"
-_NAMES = ["n_shingles", "_ng_key", "_ng_bits", "_ng_slice", "_ng_counts"]
+_PROFILE = "_ng_a long, _ng_b long, n_shingles long, _ng_key binary, _ng_bits binary, _ng_slice int, _ng_counts binary"
+_NAMES = ["_ng_a", "_ng_b", "n_shingles", "_ng_key", "_ng_bits", "_ng_slice", "_ng_counts"]
 
 
 def _bitmap(values: np.ndarray) -> bytes:
@@ -115,13 +130,22 @@ def _bitmap(values: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _least(size: int, t: tuple[int, int]) -> int:
+    """Occurrences that a document of `size` shingles needs in short lists."""
+    return min(TAU, -(-t[0] * size // t[1]))
+
+
 def _may_reach(t: tuple[int, int]):
-    """Drops pairs that can't reach the threshold by their sizes and bitmaps."""
+    """Drops pairs that occur too seldom in short lists (ha, hb: lists of a and b that weren't counted), or that can't reach the
+    threshold by their sizes and bitmaps."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y, a, b in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ba", "bb")), strict=True):
+            for n, ha, hb, x, y, a, b in zip(*(batch.column(c).to_pylist() for c in ("n", "ha", "hb", "na", "nb", "ba", "bb")), strict=True):
+                if n + min(ha, hb) < min(_least(x, t), _least(y, t)):
+                    keep.append(False)
+                    continue
                 while len(a) > len(b):
                     a = (int.from_bytes(a[: len(a) // 2], "little") | int.from_bytes(a[len(a) // 2 :], "little")).to_bytes(len(a) // 2, "little")
                 while len(b) > len(a):
@@ -150,40 +174,22 @@ def _profile(text: str, id_col: str, n: int, cells: int):
             rows, id_type = table.num_rows, table[id_col].type
             size = np.diff(first)
             key = pa.array([k if s else None for k, s in zip(_binary(keys.view(np.uint8).ravel(), 16).to_pylist(), size.tolist(), strict=True)], pa.binary())
-            yield pa.record_batch([table[id_col].combine_chunks(), pa.array(size, pa.int64()), key, pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=[id_col, *_NAMES])
+            yield pa.record_batch([*(table[c].combine_chunks() for c in (id_col, "_ng_a", "_ng_b")), pa.array(size, pa.int64()), key, pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=[id_col, *_NAMES])
         if id_type is not None:
-            parts = total.reshape(SLICES, -1)
-            yield pa.record_batch([pa.nulls(SLICES, id_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in parts], pa.binary())], names=[id_col, *_NAMES])
+            parts = cell_slices(total)
+            k = len(parts)
+            yield pa.record_batch([pa.nulls(k, id_type), *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=[id_col, *_NAMES])
 
     return run
 
 
-def _add_slices(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint32)
-            total[k] = total.get(k, 0) + part.astype(np.int64)
-    for k, part in total.items():
-        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["_ng_slice", "_ng_counts"])
-
-
-def _order_classes(profile: DataFrame, cells: int) -> np.ndarray:
-    """Size class 0..15 of each cell of the count table (at most MOST_CELLS bytes)."""
-    rows = profile.where("_ng_slice is not null").select("_ng_slice", "_ng_counts").repartition(SLICES, "_ng_slice").mapInArrow(_add_slices, "_ng_slice int, _ng_counts binary").collect()
-    total = np.zeros((SLICES, cells // SLICES), np.float32)
-    for r in rows:
-        total[r._ng_slice] = np.frombuffer(r._ng_counts, np.int64)
-    total = total.ravel()
-    usual = float(total.mean()) + 2 * float(total.mean()) ** 0.5 + 2
-    return np.clip(np.ceil(2 * np.log2(np.maximum(total, 1) / usual)), 0, 15).astype(np.uint8)
-
-
 # ---------------------------------------------------------------- pass 2: short lists
 
 
 def _prefix(size: np.ndarray, t: tuple[int, int]) -> np.ndarray:
-    return size - (t[0] * size + t[1] - 1) // t[1] + 1
+    """Number of short lists of documents of `size` shingles."""
+    need = (t[0] * size + t[1] - 1) // t[1]
+    return size - need + np.minimum(need, TAU)
 
 
 def _short_lists(text: str, n: int, t: tuple[int, int], parts: int, classes):
@@ -193,9 +199,10 @@ def _short_lists(text: str, n: int, t: tuple[int, int], parts: int, classes):
             values, first, keys = _sets(table, text, n)
             rows = _firsts(keys, first)
             values, first = _picked(values, first, rows)
-            values |= rank[(values & U(len(rank) - 1)).astype(np.int64)].astype(U) << U(60)
             values, first = _distinct(values, first)
             size = np.diff(first)
+            values = ranked_by_class(values, rank)
+            _sort(values, first)  # by size class, then hash
             take = _prefix(size, t)
             doc = np.repeat(np.arange(len(rows)), take)
             entry = values[ranges(first[:-1], take)]
@@ -217,21 +224,61 @@ def _short_lists(text: str, n: int, t: tuple[int, int], parts: int, classes):
     return run
 
 
-_PAIR = "ka binary, kb binary, xa int, xb int, list long"
+#: Candidate pairs with their occurrences `n` in the lists of a bucket, or (kb null) entries of a long list that occurs `n` times.
+_PAIR = "ka binary, kb binary, xa int, n int, list long"
+#: Occurrences of a pair that is to be looked at in any case.
+_ALWAYS = 1 << 20
 
 
 def _fits(x: np.ndarray, y: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     return np.minimum(x, y).astype(np.int64) * t[1] >= np.maximum(x, y).astype(np.int64) * t[0]
 
 
-def _pairs_out(ids: np.ndarray, keys: np.ndarray, size: np.ndarray):
+def _pairs_out(ids: np.ndarray, n: np.ndarray, keys: np.ndarray):
     for lo in range(0, len(ids), 1 << 17):
         i, j = (ids[lo : lo + (1 << 17)] >> 32), ids[lo : lo + (1 << 17)] & 0xFFFFFFFF
-        yield pa.record_batch([_binary(keys[i].view(np.uint8).ravel(), 16), _binary(keys[j].view(np.uint8).ravel(), 16), pa.array(size[i], pa.int32()), pa.array(size[j], pa.int32()), pa.nulls(len(i), pa.int64())], names=["ka", "kb", "xa", "xb", "list"])
+        yield pa.record_batch([_binary(keys[i].view(np.uint8).ravel(), 16), _binary(keys[j].view(np.uint8).ravel(), 16), pa.nulls(len(i), pa.int32()), pa.array(n[lo : lo + (1 << 17)], pa.int32()), pa.nulls(len(i), pa.int64())], names=["ka", "kb", "xa", "n", "list"])
+
+
+class _Occurrences:
+    """Sum of the occurrences of each pair of documents over the lists seen so far."""
+
+    def __init__(self, sizes: np.ndarray, t: tuple[int, int]):
+        self.sizes, self.t, self.parts, self.held = sizes, t, [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, times: int = 1) -> None:
+        fit = _fits(self.sizes[i], self.sizes[j], self.t) & (i != j)
+        i, j = i[fit], j[fit]
+        if len(i):
+            ids, n = np.unique((np.minimum(i, j) << 32) | np.maximum(i, j), return_counts=True)
+            self.parts.append((ids, n * times))
+            self.held += len(ids)
+        if self.held > 2_000_000 and len(self.parts) > 1:
+            self.parts = [self.all()]
+            self.held = len(self.parts[0][0]) // 2
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        ids, inverse = np.unique(ids, return_inverse=True)
+        return ids, np.minimum(np.bincount(inverse, n, len(ids)), _ALWAYS).astype(np.int64)
+
+
+def _stars(within: np.ndarray, docs: np.ndarray, sizes: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect the entries of each list (in order of size): each with the first document of its span of sizes that may be
+    links, and the ends of neighbouring spans. The first document is the same one in most lists of a group, so pairs repeat."""
+    span = np.floor(np.log(np.maximum(sizes, 1)) / np.log(t[1] / t[0])).astype(np.int64)
+    head = np.ones(len(docs), bool)
+    head[1:] = (within[1:] != within[:-1]) | (span[1:] != span[:-1])
+    group = np.cumsum(head) - 1
+    pivot = np.minimum.reduceat(docs, np.flatnonzero(head))[group]
+    near = np.flatnonzero(head[1:] & (within[1:] == within[:-1]))
+    return np.concatenate([pivot, docs[near]]), np.concatenate([docs, docs[near + 1]])
 
 
 def _merge(t: tuple[int, int], small: int):
-    """Merges the short lists of one bucket. Rows with `list` null are candidate pairs; others are entries of a long list."""
+    """Merges the short lists of one bucket and counts the occurrences of pairs; longer lists are given as they are."""
 
     def run(batches):
         keys, sizes, entries, docs, base = [], [], [], [], 0
@@ -249,7 +296,7 @@ def _merge(t: tuple[int, int], small: int):
         ident = np.empty(len(order), np.int64)
         ident[order] = np.cumsum(new) - 1
         keys, sizes, docs = keys[order[new]], sizes[order[new]], ident[docs]
-        order = np.argsort(entries, kind="stable")
+        order = np.argsort(entries, kind="stable")  # the merge: all lists of the bucket, one after the other
         entries, docs = entries[order], docs[order]
         alive = np.zeros(len(entries), bool)  # lists of one entry have no pair
         same = entries[1:] == entries[:-1]
@@ -260,52 +307,38 @@ def _merge(t: tuple[int, int], small: int):
             return
         group = np.cumsum(np.append(True, entries[1:] != entries[:-1])) - 1
         order = np.lexsort((docs, sizes[docs], group))
-        group, docs, entries = group[order], docs[order], entries[order]
+        group, docs = group[order], docs[order]
         keep = np.ones(len(docs), bool)
         keep[1:] = (group[1:] != group[:-1]) | (docs[1:] != docs[:-1])
-        group, docs, entries = group[keep], docs[keep], entries[keep]
+        group, docs = group[keep], docs[keep]
         head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         many = np.diff(np.append(head, len(group)))
-        found = []
-
-        def add(i, j):
-            fit = _fits(sizes[i], sizes[j], t) & (i != j)
-            i, j = i[fit], j[fit]
-            if len(i):
-                found.append(np.unique((np.minimum(i, j) << 32) | np.maximum(i, j)))
-            if sum(map(len, found)) > 4_000_000:
-                found[:] = [np.unique(np.concatenate(found))]
-
+        seen = _Occurrences(sizes, t)
         for m in np.unique(many[(many > 1) & (many <= small)]).tolist():
             at = head[many == m]
             x, y = np.triu_indices(m, 1)
-            step = max(1, 1_000_000 // len(x))
+            step = max(1, 500_000 // len(x))
             for lo in range(0, len(at), step):
                 block = docs[at[lo : lo + step, None] + np.arange(m)]
-                add(block[:, x].ravel(), block[:, y].ravel())
-        long = np.repeat(many > small, many)
-        if long.any():
-            near = long[1:] & (group[1:] == group[:-1])
-            add(docs[:-1][near], docs[1:][near])
-        if found:
-            yield from _pairs_out(np.unique(np.concatenate(found)), keys, sizes)
-        at = np.flatnonzero(long)
-        # equal long lists say the same thing: one of each is enough
-        if len(at):
-            # (a list is named by what it holds, so equal ones of other buckets fall together too)
-            starts, counts = head[many > small], many[many > small]
+                seen.add(block[:, x].ravel(), block[:, y].ravel())
+        starts, counts = head[many > small], many[many > small]
+        if len(starts):
+            # a list is named by what it holds, so equal ones (of all buckets) fall together: one of each is enough
             with np.errstate(over="ignore"):
-                weight = (keys[docs, 0] * U(3) + keys[docs, 1])
+                weight = keys[docs, 0] * U(3) + keys[docs, 1]
                 c = np.concatenate([np.zeros(1, U), np.cumsum(weight * weight)])
-                name = c[starts + counts] - c[starts]
-            with np.errstate(over="ignore"):
-                name = mix(name * U(0x9E3779B97F4A7C15) + counts.astype(U))
-            _, one = np.unique(name, return_index=True)
+                name = mix((c[starts + counts] - c[starts]) * U(0x9E3779B97F4A7C15) + counts.astype(U))
+            _, one, times = np.unique(name, return_index=True, return_counts=True)
             at = ranges(starts[one], counts[one])
-            named = np.repeat(name[one], counts[one])
+            within = np.repeat(np.arange(len(one)), counts[one])
+            seen.add(*_stars(within, docs[at], sizes[docs[at]], t), _ALWAYS)
+            named, times = name[one][within], times[within]
             for lo in range(0, len(at), 1 << 17):
-                k = at[lo : lo + (1 << 17)]
-                yield pa.record_batch([_binary(keys[docs[k]].view(np.uint8).ravel(), 16), pa.nulls(len(k), pa.binary()), pa.array(sizes[docs[k]], pa.int32()), pa.nulls(len(k), pa.int32()), pa.array(named[lo : lo + (1 << 17)].view(np.int64))], names=["ka", "kb", "xa", "xb", "list"])
+                k = docs[at[lo : lo + (1 << 17)]]
+                yield pa.record_batch([_binary(keys[k].view(np.uint8).ravel(), 16), pa.nulls(len(k), pa.binary()), pa.array(sizes[k], pa.int32()), pa.array(times[lo : lo + (1 << 17)], pa.int32()), pa.array(named[lo : lo + (1 << 17)].view(np.int64))], names=["ka", "kb", "xa", "n", "list"])
+        ids, n = seen.all()
+        if len(ids):
+            yield from _pairs_out(ids, n, keys)
 
     return run
 
@@ -322,46 +355,61 @@ def _wanted_sets(text: str, n: int, bloom):
             rows = _firsts(keys, first)
             rows = rows[bits[bloom_bits(keys[rows])].all(1)]
             values, first = _distinct(*_picked(values, first, rows))
-            raw = (values >> U(12)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-            blobs = [raw[6 * s : 6 * e] for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            raw = values.tobytes()
+            blobs = [raw[8 * s : 8 * e] for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.record_batch([_binary(keys[rows].view(np.uint8).ravel(), 16), pa.array(blobs, pa.binary())], names=["_ng_key", "_ng_set"])
 
     return run
 
 
 def _probe(t: tuple[int, int]):
-    """Keeps the pairs whose sets overlap enough: the shorter set is probed into the longer one by binary search."""
-
-    def decode(x):
-        raw = np.zeros((len(x) // 6, 8), np.uint8)
-        raw[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-        return raw.view(">u8").ravel().astype(np.uint64)
+    """Keeps the pairs whose overlap reaches T. Inverted lists are built for the distinct documents `a` of a block of pairs; each of
+    the shingles of `b` names a list, in which `a` is looked up by binary search."""
+
+    def block(pairs):
+        number: dict[bytes, int] = {}
+        owner = np.array([number.setdefault(x[0], len(number)) for x in pairs])
+        packed = {x[0]: x[2] for x in pairs}
+        sets = [np.frombuffer(packed[k], U) for k in number]
+        size_a = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        lists, inverse = np.unique(values, return_inverse=True)
+        entries = np.sort(inverse.astype(np.int64) * len(sets) + np.repeat(np.arange(len(sets)), size_a))  # by list, then document
+        probes = [np.frombuffer(x[3], U) for x in pairs]
+        size_b = np.array([len(x) for x in probes])
+        want, pair = np.concatenate(probes), np.repeat(np.arange(len(pairs)), size_b)
+        at = np.minimum(np.searchsorted(lists, want), len(lists) - 1)
+        there = lists[at] == want
+        key, pair = at[there] * len(sets) + owner[pair[there]], pair[there]
+        place = np.minimum(np.searchsorted(entries, key), len(entries) - 1)
+        both = np.bincount(pair[entries[place] == key], minlength=len(pairs))
+        return t[1] * both >= t[0] * (size_a[owner] + size_b - both)
 
     def run(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            last_key, last = None, None
-            for r, (ka, sa, sb) in enumerate(zip(batch.column("ka"), batch.column("sa"), batch.column("sb"), strict=True)):
-                ka = ka.as_py()
-                if ka != last_key:
-                    last_key, last = ka, decode(sa.as_py())
-                a, b = last, decode(sb.as_py())
-                x, y = (a, b) if len(a) < len(b) else (b, a)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep[r] = t[1] * both >= t[0] * (len(x) + len(y) - both)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([batch.column("ka"), batch.column("kb")], ["src", "dst"]).filter(pa.array(keep))
+            held, size = [], 0
+            for x in zip(*(batch.column(c).to_pylist() for c in ("ka", "kb", "sa", "sb")), strict=True):
+                held.append(x)
+                size += len(x[2]) + len(x[3])
+                if size > CHUNK:
+                    yield from out(held)
+                    held, size = [], 0
+            if held:
+                yield from out(held)
+
+    def out(held):
+        keep = block(held)
+        if keep.any():
+            yield pa.record_batch([pa.array([x[c] for x, k in zip(held, keep.tolist(), strict=True) if k], pa.binary()) for c in (0, 1)], names=["src", "dst"])
 
     return run
 
 
 def _verified(docs: DataFrame, text: str, n: int, pairs: DataFrame, bits: DataFrame, t: tuple[int, int], have: list[DataFrame]) -> DataFrame:
-    """The pairs (ka, kb) that are links, as (src, dst). Only sets of pairs that pass the bound are dealt out; `have` holds
+    """The pairs (ka, kb, n) that are links, as (src, dst). Only sets of pairs that pass the bound are dealt out; `have` holds
     the tables of sets made so far, and gets one more if sets are missing."""
-    a, b = (bits.select(F.col("_ng_key").alias(f"k{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("_ng_bits").alias(f"b{x}")) for x in "ab")
-    left = written(pairs.join(b, "kb").join(a, "ka").select("ka", "kb", "na", "nb", "ba", "bb").mapInArrow(_may_reach(t), "ka binary, kb binary"))
+    a, b = (bits.select(F.col("_ng_key").alias(f"k{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("_ng_bits").alias(f"b{x}"), F.col("_ng_long").alias(f"h{x}")) for x in "ab")
+    left = written(pairs.join(b, "kb").join(a, "ka").select("ka", "kb", "n", "ha", "hb", "na", "nb", "ba", "bb").mapInArrow(_may_reach(t), "ka binary, kb binary"))
     wanted = left.select("ka").unionByName(left.select(F.col("kb").alias("ka")))
     for table in have:
         wanted = wanted.join(table.select(F.col("_ng_key").alias("ka")), "ka", "left_anti")
@@ -371,6 +419,7 @@ def _verified(docs: DataFrame, text: str, n: int, pairs: DataFrame, bits: DataFr
         sets = docs.select(text).mapInArrow(_wanted_sets(text, n, bloom), "_ng_key binary, _ng_set binary")
         sets = sets.join(wanted.withColumnRenamed("ka", "_ng_key"), "_ng_key", "left_semi").groupBy("_ng_key").agg(F.first("_ng_set").alias("_ng_set"))
         have.append(written(sets))
+        bloom.destroy()
     sets = have[0] if have else None
     for table in have[1:]:
         sets = sets.unionByName(table)
@@ -383,19 +432,22 @@ def _verified(docs: DataFrame, text: str, n: int, pairs: DataFrame, bits: DataFr
 
 
 def _across(t: tuple[int, int], forest: bool):
-    """From entries sorted by list: pairs of different components that may reach the threshold by size and bitmap; with
-    `forest` only as many as would join all components of a list."""
+    """From entries sorted by list and block of its grid: pairs of different components that may reach the threshold by size and
+    bitmap; with `forest` only as many as would join all components of a block. Off the grid's diagonal, pairs have one entry of each side."""
 
-    def one(keys, sizes, comp, bits):
+    def one(keys, sizes, comp, bits, side, cross):
         order = np.argsort(sizes, kind="stable")
-        keys, sizes, comp, bits = keys[order], sizes[order].astype(np.int64), comp[order], bits[order]
+        keys, sizes, comp, bits, side = keys[order], sizes[order].astype(np.int64), comp[order], bits[order], side[order]
         reach = np.searchsorted(sizes * t[0], sizes * t[1], side="right")
         parent: dict[int, int] = {}
         tried: dict[tuple[int, int], int] = {}
         label, members = np.unique(comp, return_counts=True)
         many = dict(zip(label.tolist(), members.tolist(), strict=True))
         for i in range(len(sizes)):
-            j = i + 1 + np.flatnonzero(comp[i + 1 : reach[i]] != comp[i])
+            other = comp[i + 1 : reach[i]] != comp[i]
+            if cross:
+                other &= side[i + 1 : reach[i]] != side[i]
+            j = i + 1 + np.flatnonzero(other)
             if len(j):
                 most = np.minimum(sizes[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), sizes[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
                 j = j[t[1] * most >= t[0] * (sizes[i] + sizes[j] - most)]
@@ -435,11 +487,11 @@ def _across(t: tuple[int, int], forest: bool):
         def flush():
             if not held:
                 return
-            keys, sizes, comp, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, sizes, comp, bits, side = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             if len(np.unique(comp)) < 2:
                 return
-            for i, j, k, _ in one(keys, sizes, comp, bits):
+            for i, j, k, _ in one(keys, sizes, comp, bits, side, name[1] != name[2]):
                 found.append(np.concatenate([np.broadcast_to(k[i], (len(j), 2)), k[j]], 1))
             if sum(map(len, found)) > 1 << 17:
                 yield from out()
@@ -456,16 +508,16 @@ def _across(t: tuple[int, int], forest: bool):
             yield pa.record_batch([_binary(np.ascontiguousarray(x[:, lo : lo + 2]).view(np.uint8).ravel(), 16) for lo in (0, 2)], names=["ka", "kb"])
 
         for batch in batches:
-            lists = batch.column("list").to_numpy()
-            keys, sizes = _keys_of(batch.column("ka")), batch.column("xa").to_numpy()
+            cell = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("list", "x", "y")], 1)
+            keys, sizes, side = _keys_of(batch.column("ka")), batch.column("xa").to_numpy(), batch.column("own").to_numpy()
             comp = _keys_of(batch.column("comp"))[:, 0]
             bits = np.array([folded(x) for x in batch.column("_ng_bits").to_pylist()], U).reshape(-1, BITS // 64)
-            cut = np.append(np.flatnonzero(np.append(True, lists[1:] != lists[:-1])), len(lists))
+            cut = np.append(np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1))), len(cell)) if len(cell) else np.zeros(1, np.int64)
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if lists[lo] != name:
+                if tuple(cell[lo]) != name:
                     yield from flush()
-                    name = lists[lo]
-                held.append((keys[lo:hi], sizes[lo:hi], comp[lo:hi], bits[lo:hi]))
+                    name = tuple(cell[lo])
+                held.append((keys[lo:hi], sizes[lo:hi], comp[lo:hi], bits[lo:hi], side[lo:hi]))
         yield from flush()
         yield from out()
 
@@ -475,34 +527,55 @@ def _across(t: tuple[int, int], forest: bool):
 # ---------------------------------------------------------------- the operator
 
 
+def _identified(docs: DataFrame, text: str) -> DataFrame:
+    """docs with two hashes of the text, which name a row's text without Python."""
+    return docs.withColumns({"_ng_a": F.xxhash64(F.lit(17), F.col(text)), "_ng_b": F.xxhash64(F.lit(71), F.col(text))})
+
+
+def _grid(entries: DataFrame, comp: DataFrame, bits: DataFrame, forest: bool) -> DataFrame:
+    """Entries (list, ka, xa) of lists that lie in several components, dealt out to the blocks of their lists: a list of m entries
+    has ceil(m / BLOCK) stripes by hash, and a block (x, y) holds the stripes x and y. For a forest only the blocks (x, x)."""
+    total = entries.count()
+    labelled = written(entries.join(comp.withColumnRenamed("node", "ka"), "ka", "left").select("list", "ka", "xa", F.coalesce("component", "ka").alias("comp")))
+    spread = labelled.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("list", "m")
+    known = met(labelled, spread, "list", "m", max(total, 1)).join(bits.select(F.col("_ng_key").alias("ka"), "_ng_bits"), "ka")
+    stripes = F.ceil(F.col("m") / BLOCK).cast("int")
+    striped = known.withColumn("own", F.pmod(F.xxhash64("ka"), stripes).cast("int"))
+    striped = striped.withColumn("other", F.col("own") if forest else F.explode(F.sequence(F.lit(0), stripes - 1)))
+    return striped.select("list", "ka", "xa", "comp", "_ng_bits", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+
 def _classes(docs: DataFrame, text: str, id_col: str, n: int, t: tuple[int, int], small: int):
     """(profile rows, component of each class that has links)."""
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(id_col, text)
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    cells = 1 << min(MOST_CELLS, max(LEAST_CELLS, size // CELL_BYTES)).bit_length() - 1
-    profile = written(slim.mapInArrow(_profile(text, id_col, n, cells), f"`{id_col}` {id_type}, {_PROFILE}"))
-    classes = spark.sparkContext.broadcast(_order_classes(profile, cells))
+    size = text_total(docs, text)
+    parts = shuffle_parts(spark, size)
+    cells = cells_for(size)
+    profile = written(_identified(docs.select(id_col, text), text).mapInArrow(_profile(text, id_col, n, cells), f"`{id_col}` {id_type}, {_PROFILE}"))
+    classes = spark.sparkContext.broadcast(size_classes(profile.where("_ng_slice is not null").select("_ng_slice", "_ng_counts"), cells))
     lists = docs.select(text).mapInArrow(_short_lists(text, n, t, parts, classes), "part int, n long, blob binary")
     merged = written(lists.repartition(parts, "part").mapInArrow(_merge(t, small), _PAIR))
-    pairs = written(merged.where("list is null").select("ka", "kb").distinct())
-    bits = profile.where("_ng_bits is not null").groupBy("_ng_key").agg(F.first("_ng_bits").alias("_ng_bits"), F.first("n_shingles").alias("n_shingles"))
+    classes.destroy()
+    pairs = written(merged.where("kb is not null").groupBy("ka", "kb").agg(F.sum(F.col("n").cast("long")).alias("n")))
+    entries = merged.where("kb is null")
+    unseen = entries.groupBy("ka").agg(F.sum(F.col("n").cast("long")).alias("_ng_long"))
+    entries = written(entries.dropDuplicates(["list", "ka"]).select("list", "ka", "xa"))
+    # what is known of the documents that are in a pair or a long list
+    found = pairs.select(F.col("ka").alias("_ng_key")).unionByName(pairs.select(F.col("kb").alias("_ng_key"))).unionByName(entries.select(F.col("ka").alias("_ng_key"))).distinct()
+    bits = profile.where("_ng_bits is not null").select("_ng_key", "_ng_bits", "n_shingles").join(found, "_ng_key", "left_semi")
+    bits = bits.groupBy("_ng_key").agg(F.first("_ng_bits").alias("_ng_bits"), F.first("n_shingles").alias("n_shingles"))
+    bits = written(bits.join(unseen.withColumnRenamed("ka", "_ng_key"), "_ng_key", "left").withColumn("_ng_long", F.coalesce("_ng_long", F.lit(0))))
+    dropped(merged)
     sets: list[DataFrame] = []
-    edges = _verified(docs, text, n, pairs, bits, t, sets)
-    comp = components(edges)
-    entries = merged.where("list is not null").select("list", "ka", "xa").dropDuplicates(["list", "ka"])
+    comp = components(_verified(docs, text, n, pairs, bits, t, sets))
     # long lists with several components: first pairs that would join them all, as near copies mostly are links, then what is left
     for forest in (True, False):
-        labelled = entries.join(comp.withColumnRenamed("node", "ka"), "ka", "left").select("list", "ka", "xa", F.coalesce("component", "ka").alias("comp"))
-        mixed = labelled.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-        entries = written(labelled.join(mixed, "list", "left_semi"))
         if entries.isEmpty():
             break
-        found = entries.join(bits.select(F.col("_ng_key").alias("ka"), "_ng_bits"), "ka").repartition(parts, "list").sortWithinPartitions("list").mapInArrow(_across(t, forest), "ka binary, kb binary")
-        more = written(found.distinct().join(pairs, ["ka", "kb"], "left_anti"))
-        entries = entries.select("list", "ka", "xa")
+        dealt = _grid(entries, comp, bits, forest).repartition(parts, "list", "x", "y").sortWithinPartitions("list", "x", "y")
+        more = dealt.mapInArrow(_across(t, forest), "ka binary, kb binary")
+        more = written(more.distinct().join(pairs.select("ka", "kb"), ["ka", "kb"], "left_anti").withColumn("n", F.lit(_ALWAYS).cast("long")))
         if more.isEmpty():
             continue
         late = _verified(docs, text, n, more, bits, t, sets)
@@ -510,27 +583,44 @@ def _classes(docs: DataFrame, text: str, id_col: str, n: int, t: tuple[int, int]
             # the components so far stand for their links
             comp = components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(late))
         pairs = pairs.unionByName(more)
-    return profile.where("_ng_slice is null").select(id_col, "n_shingles", "_ng_key"), comp
+    for table in (bits, entries, *sets):
+        dropped(table)
+    return profile.where("_ng_slice is null").drop("_ng_bits", "_ng_slice", "_ng_counts"), comp
 
 
-def _named(members: DataFrame, comp: DataFrame, id_col: str) -> DataFrame:
-    """_ng_key -> component id (smallest id of its classes)."""
-    ids = members.where("_ng_key is not null").groupBy("_ng_key").agg(F.min(id_col).alias("_ng_low"))
-    roots = ids.join(comp.withColumnRenamed("node", "_ng_key"), "_ng_key", "left").select("_ng_key", "_ng_low", F.coalesce("component", "_ng_key").alias("_ng_root"))
-    low = roots.groupBy("_ng_root").agg(F.min("_ng_low").alias("_ng_component"))
-    return roots.join(low, "_ng_root").select("_ng_key", "_ng_component")
+def _named(members: DataFrame, comp: DataFrame, low) -> DataFrame:
+    """members (rows of the profile) with _ng_low: the least `low` of all rows in the component; null without words."""
+    rows = members.where("_ng_key is not null")
+    total = rows.count()
+    ids = rows.groupBy("_ng_key").agg(F.min(low).alias("_ng_own"), F.count("*").alias("_ng_n"))
+    roots = written(ids.join(comp.withColumnRenamed("node", "_ng_key"), "_ng_key", "left").withColumn("_ng_root", F.coalesce("component", "_ng_key")).drop("component"))
+    least = roots.groupBy("_ng_root").agg(F.min("_ng_own").alias("_ng_low"), F.count("*").alias("_ng_m"))
+    names = written(met(roots, least, "_ng_root", "_ng_m", max(total, 1)).select("_ng_key", "_ng_n", "_ng_low"))
+    dropped(roots)
+    return met(members, names, "_ng_key", "_ng_n", max(total, 1), "left").drop("_ng_n")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 5, threshold: tuple[int, int] = (75, 100), small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable over links of similarity threshold or more) of every row."""
     members, comp = _classes(docs, text, id_col, n, threshold, small)
-    names = _named(members, comp, id_col)
-    return members.join(names, "_ng_key", "left").select(id_col, "n_shingles", F.coalesce("_ng_component", id_col).alias("component_id"))
+    named = _named(members, comp, F.col(id_col))
+    return named.select(id_col, "n_shingles", F.coalesce("_ng_low", id_col).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 5, threshold: tuple[int, int] = (75, 100), small: int = SMALL) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest id stays, as do rows without words or id."""
-    near = near_duplicates(docs, text, id_col, n, threshold, small)
-    gone = near.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    stay = docs.join(gone, id_col, "left_anti")
-    return stay
+    """docs without near copies: one row of each component stays, that of the smallest id (rows without id come last; of one id, by
+    a hash of the text), as do rows without words. Of equal ids only the row meant goes; of equal rows one stays."""
+    members, comp = _classes(docs, text, id_col, n, threshold, small)
+    row = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("_ng_a").alias("a"), F.col("_ng_b").alias("b"))
+    named = _named(members, comp, row).where("_ng_key is not null")
+    judged = named.groupBy(id_col, "_ng_a", "_ng_b").agg(F.count("*").alias("_ng_rows"), F.min(row == F.col("_ng_low")).alias("_ng_stays"))
+    # rows to look at again: those that go, and those that stay but once
+    again = written(judged.where("NOT _ng_stays OR _ng_rows > 1").select(F.col(id_col).alias("_ng_id"), "_ng_a", "_ng_b", "_ng_stays"))
+    keyed = _identified(docs, text)
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(again.select("_ng_a", "_ng_b"), lambda x: np.stack([x.column(0).to_numpy(), x.column(1).to_numpy()], 1).view(U)))
+    marked = keyed.withColumn("_ng_maybe", maybe_in(bloom, "_ng_a", "_ng_b"))
+    same = marked["_ng_a"] == again["_ng_a"]
+    known = marked.where("_ng_maybe").join(again, same & (marked["_ng_b"] == again["_ng_b"]) & marked[id_col].eqNullSafe(again["_ng_id"]), "left").drop(again["_ng_a"]).drop(again["_ng_b"])
+    once = known.where("_ng_stays").dropDuplicates([id_col, "_ng_a", "_ng_b"])
+    stay = known.where("_ng_stays IS NULL").unionByName(once).unionByName(marked.where("NOT _ng_maybe").withColumns({"_ng_id": F.lit(None).cast(docs.schema[id_col].dataType), "_ng_stays": F.lit(None).cast("boolean")}))
+    return stay.select(*docs.columns)
