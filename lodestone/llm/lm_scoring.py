@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, chunks, ranges, shuffle_parts, text_bytes, trimmed, written
+from .common import U, Words, bounded_batches, chunks, dropped, ranges, shuffle_parts, text_bytes, text_total, trimmed, written
 from .substring_dedup import _pack, _unpack
 
 CHUNK = 4_000_000
+#: Distinct words or (context, byte) pairs that a task holds before it hands their counts on.
+FLUSH = 1_500_000
 _END, _SPACE = 0x0A, 0x20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -86,6 +88,10 @@ class _Sums:
             self.parts = [self.all()]
             self.size = 2 * len(self.parts[0][0]) - 3_000_000 if len(self.parts[0][0]) > 3_000_000 else len(self.parts[0][0])
 
+    def held(self) -> int:
+        """Distinct keys of the tables summed so far, the first of which holds all but the latest."""
+        return len(self.parts[0][0]) if self.parts else 0
+
     def all(self):
         if not self.parts:
             return np.zeros(0, U), np.zeros(0, np.int64)
@@ -111,17 +117,25 @@ _COUNTS = "part int, kind int, blob binary"
 
 
 def _count(text: str, depth: int, parts: int):
+    def out(kind: int, sums: _Sums):
+        keys, counts = sums.all()
+        for p, at in _deal(kind, keys, parts, depth):
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([kind], pa.int32()), pa.array([_pack([keys[at], counts[at].astype(np.int64)])], pa.binary())], names=["part", "kind", "blob"])
+
     def run(batches):
-        words_sum, gram_sum = _Sums(), _Sums()
+        sums = [_Sums(), _Sums()]
         for table in chunks(batches, text, CHUNK):
             data, off = text_bytes(table[text])
             words = Words(data, off, lower=True)
-            words_sum.add(*_summed(words.hashes))
+            sums[0].add(*_summed(words.hashes))
             raw, first = stream(data, words, depth)
-            gram_sum.add(*_summed(gram_keys(raw, first, depth)))
-        for kind, (keys, counts) in ((0, words_sum.all()), (1, gram_sum.all())):
-            for p, at in _deal(kind, keys, parts, depth):
-                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([kind], pa.int32()), pa.array([_pack([keys[at], counts[at].astype(np.int64)])], pa.binary())], names=["part", "kind", "blob"])
+            sums[1].add(*_summed(gram_keys(raw, first, depth)))
+            for kind in (0, 1):
+                if sums[kind].held() > FLUSH:
+                    yield from out(kind, sums[kind])
+                    sums[kind] = _Sums()
+        for kind in (0, 1):
+            yield from out(kind, sums[kind])
 
     return run
 
@@ -413,13 +427,13 @@ def _score(text: str, id_col: str, depth: int, parts: int, model, tokens: int, v
 
     def run(batches):
         known = id_type = None
-        task, n_before, asked = secrets.randbits(63), 0, np.zeros(0, U)
+        task, n_before, parts_asked, limit = secrets.randbits(63), 0, [], group_pairs
 
         def packed(kind: int, blobs: list[tuple[int, bytes]]):
             k = len(blobs)
             return pa.record_batch([pa.nulls(k, id_type), pa.nulls(k, pa.bool_()), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64())], pa.array([task] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([p for p, _ in blobs], pa.int32()), pa.array([kind] * k, pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=names)
 
-        def requests():
+        def requests(asked):
             return packed(_ASK_GRAMS, [(p, _pack([asked[at]])) for p, at in _deal(1, asked, parts, depth)])
 
         for table in chunks(batches, text, CHUNK):
@@ -430,7 +444,7 @@ def _score(text: str, id_col: str, depth: int, parts: int, model, tokens: int, v
             data, off = text_bytes(table[text])
             words = Words(data, off, lower=True)
             raw, first = stream(data, words, depth)
-            asked = np.union1d(asked, _summed(gram_keys(raw, first, depth))[0])
+            parts_asked.append(_summed(gram_keys(raw, first, depth))[0])
             row = np.repeat(np.arange(rows), words.counts)
             count, seen = known.get(words.hashes, 0)
             # the end's own count is the number of training rows, kept under key 0
@@ -446,11 +460,14 @@ def _score(text: str, id_col: str, depth: int, parts: int, model, tokens: int, v
                 h, r = words.hashes[rare], row[rare]
                 yield packed(_ASK_WORDS, [(p, _pack([h[at], r[at].astype(np.int32), np.array([task, n_before], np.int64)])) for p, at in _deal(0, h, parts, depth)])
             n_before += rows
-            if len(asked) > group_pairs:
-                yield requests()
-                task, n_before, asked = secrets.randbits(63), 0, np.zeros(0, U)
-        if len(asked):
-            yield requests()
+            if sum(map(len, parts_asked)) > limit:  # the distinct ones are found now and then, not for every chunk
+                parts_asked = [np.unique(np.concatenate(parts_asked))]
+                limit = 2 * len(parts_asked[0])
+                if len(parts_asked[0]) > group_pairs:
+                    yield requests(parts_asked[0])
+                    task, n_before, parts_asked, limit = secrets.randbits(63), 0, [], group_pairs
+        if parts_asked:
+            yield requests(np.unique(np.concatenate(parts_asked)))
 
     return run
 
@@ -538,19 +555,21 @@ def _by_row(depth: int):
                     n = len(first) - 1
                     total = np.add.reduceat(value, np.concatenate([[0], np.cumsum(np.diff(first) - depth)])[:-1])
                     known, base = (np.pad(x, (0, n - len(x))) for x in rare.pop(int(at[0]), [np.zeros(0, np.int64), np.zeros(0)]))
-                    yield pa.record_batch([pa.array(np.full(n, a)), pa.array(np.arange(n) + at[0]), pa.array(known), pa.array(base), pa.array(total)], names=["_lm_a", "_lm_b", "more_known", "more_base", "score"])
+                    yield pa.record_batch([pa.array(np.full(n, a)), pa.array(np.arange(n) + at[0]), pa.array(known), pa.array(base), pa.array(total), pa.array(-total * math.log2(10) / (np.diff(first) - depth))], names=["_lm_a", "_lm_b", "more_known", "more_base", "score", "bits_per_byte"])
                     trimmed()
 
     return run
 
 
 def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", depth: int = 5, fold: tuple[int, int] = (5, 1), max_contexts: int = 1 << 20, frequent_words: int = 1 << 17) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and bits_per_byte of every row of docs.
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and bits_per_byte (code length over the bytes coded: words, a space
+    behind each, and the end) of every row of docs.
 
     Rows whose crc32(id as text) mod fold[0] is fold[1] are held out of training.
     """
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
+    bounded_batches(spark)
+    parts = shuffle_parts(spark, text_total(docs, text))
     id_type = docs.schema[id_col].dataType.simpleString()
     held = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % fold[0]) == fold[1]
     slim = docs.select(id_col, text, held.alias("held_out"))
@@ -576,12 +595,13 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", depth: in
     asked = scored.where(F.col("kind") == _ASK_GRAMS).select("part", "kind", "_lm_a", "blob").unionByName(sums.where("kind = 1").select("part", "kind", F.lit(None).cast("long").alias("_lm_a"), "blob"))
     more = more.unionByName(asked.repartition(parts, "part").mapInArrow(_answer(depth, tree), "_lm_a long, kind int, blob binary"))
     more = more.unionByName(scored.where(F.col("kind") == _TEXT).select("_lm_a", "kind", "blob"))
-    more = more.repartition(parts, "_lm_a").sortWithinPartitions("_lm_a", "kind").mapInArrow(_by_row(depth), "_lm_a long, _lm_b long, more_known long, more_base double, score double")
+    # few large groups: with more partitions than groups, a task has one or two of them
+    more = more.repartition(4 * parts, "_lm_a").sortWithinPartitions("_lm_a", "kind").mapInArrow(_by_row(depth), "_lm_a long, _lm_b long, more_known long, more_base double, score double, bits_per_byte double")
     out = scored.where("kind is null").join(more, ["_lm_a", "_lm_b"], "left")
     return out.select(
         id_col, "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        "score", "bits_per_byte",
     )
