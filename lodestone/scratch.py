@@ -28,9 +28,9 @@ BATCH_BYTES = 2_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """From now on this session hands Python workers batches of at most BATCH_BYTES, however long single texts are; a setting that isn't Spark's default stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+    """From now on this session hands Python workers batches of about BATCH_BYTES, however long single texts are; a setting that isn't Spark's default stays."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864"
+    if spark.conf.get(key, default) in (default, default + "b"):
         spark.conf.set(key, str(BATCH_BYTES))
 
 

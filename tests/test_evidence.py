@@ -283,6 +283,28 @@ def test_store(spark, tmp_path):
         store.cache_new(held, rows.withColumn("vector", F.array(F.lit(5.0)))).collect()
 
 
+def test_scratch_folder(spark):
+    from types import SimpleNamespace as Stub
+
+    from lodestone import scratch
+
+    def session(master, **conf):
+        return Stub(conf=Stub(get=lambda k, d="": conf.get(k, d), set=conf.__setitem__), sparkContext=Stub(master=master, getConf=lambda: Stub(get=lambda k, d="": d)))
+
+    assert scratch.scratch_root(session("yarn", **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch.scratch_root(session(master))
+    assert scratch.scratch_root(session("local[4]")).startswith("file:///")
+    rows = scratch.written(spark.range(5))
+    assert rows.count() == 5
+    scratch.dropped(rows)
+    hot = spark.range(4000).select((F.col("id") % 3).alias("k")).unionByName(spark.range(100, 140).select(F.col("id").alias("k"))).unionByName(spark.range(1).select(F.lit(None).cast("long").alias("k")))
+    facts = hot.where("k IS NOT NULL AND k <> 139").groupBy("k").agg(F.count("*").alias("n"))
+    plan = scratch.met(hot, facts, "k", "n", hot.count(), "left")
+    assert sorted((str(r.k), r.n) for r in plan.collect()) == sorted((str(r.k), r.n) for r in hot.join(facts, "k", "left").collect())
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.text(alphabet="ab c", max_size=12), min_size=1, max_size=8))
 def test_rank_properties(spark, texts):
