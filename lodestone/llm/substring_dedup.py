@@ -1,7 +1,8 @@
 """Substring dedup by super-k-mer partitioning.
 
 A window is `window` consecutive words of one document. Each window belongs to its minimiser: the smallest hash among
-its runs of `gram` words. Consecutive windows of a document that share the minimiser are one super-k-mer, which travels
+its runs of `gram` words, where runs that are frequent in the corpus (by counts of all texts in a hashed table of fixed size) come
+behind all others. So a phrase that is common in many contexts is the minimiser of few windows, and no bucket is hot. Consecutive windows of a document that share the minimiser are one super-k-mer, which travels
 once, as a packed string, to the bucket of that minimiser. Equal windows have equal minimisers, so every bucket counts
 its windows alone, by sorting them. A word is removed if any window that covers it starts more than once.
 
@@ -18,17 +19,19 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, U, Words, bloom_bits, bloom_of, chunks, gram_hashes, mix, powers, ranges, shuffle_parts, text_bytes, trimmed, written
+from .common import (
+    _BASE, _INVERSE, U, Words, bloom_of, bounded_batches, cell_slices, cells_for, chunks, gram_hashes, maybe_in, mix, powers, ranges, ranked_by_class, shuffle_parts, size_classes,
+    text_bytes, text_total, trimmed, written,
+)
 
 CHUNK = 4_000_000
 #: A bucket is counted in so many parts, one after the other.
-SUB = 8
+SUB = 4
 _SPANS = pa.schema([("_sk_a", pa.int64()), ("_sk_b", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 _PACKS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("n", pa.int64()), ("blob", pa.binary())])
 
@@ -42,13 +45,29 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def _super_kmers(words: Words, window: int, gram: int):
+def _gram_counts(text: str, gram: int, cells: int):
+    def run(batches):
+        total = np.zeros(cells, np.uint32)
+        some = False
+        for table in chunks(batches, text, CHUNK):
+            words = Words(*text_bytes(table[text]))
+            if len(words.hashes) >= gram:
+                total += np.bincount((gram_hashes(words.hashes, gram, 5) & U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
+                some = True
+        if some:
+            parts = cell_slices(total)
+            yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["k", "b"])
+
+    return run
+
+
+def _super_kmers(words: Words, window: int, gram: int, classes: np.ndarray):
     """First word, number of windows, document row and minimiser of each super-k-mer."""
     n = len(words.hashes)
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none, np.zeros(0, U)
-    low = _sliding_min(gram_hashes(words.hashes, gram, 5), window - gram + 1)
+    low = _sliding_min(ranked_by_class(gram_hashes(words.hashes, gram, 5), classes), window - gram + 1)
     count = np.maximum(words.counts - window + 1, 0)
     at = ranges(words.first[:-1], count)
     if not len(at):
@@ -76,12 +95,12 @@ def _unpack(blob: bytes, types) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-def _map(window: int, gram: int, parts: int, text: str):
+def _map(window: int, gram: int, parts: int, text: str, classes):
     def run(batches):
         for table in chunks(batches, text, CHUNK):
             data, off = text_bytes(table[text])
             words = Words(data, off)
-            first, count, row, low = _super_kmers(words, window, gram)
+            first, count, row, low = _super_kmers(words, window, gram, classes.value)
             if not len(first):
                 continue
             a, b = (table[c].to_numpy().astype(np.int64) for c in ("_sk_a", "_sk_b"))
@@ -220,19 +239,18 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     Only rows that may have spans (by a filter of fixed size over their keys) are dealt out again to meet them.
     """
     spark = docs.sparkSession
-    parts = shuffle_parts(spark, 2)
+    size = text_total(docs, text)
+    parts, cells = shuffle_parts(spark, size), cells_for(size)
+    bounded_batches(spark)
+    classes = spark.sparkContext.broadcast(size_classes(docs.select(text).mapInArrow(_gram_counts(text, gram, cells), "k int, b binary"), cells))
     keyed = docs.withColumns({n: F.xxhash64(F.lit(k), F.col(id_col), F.col(text)) for k, n in ((17, "_sk_a"), (71, "_sk_b"))})
-    packs = keyed.select("_sk_a", "_sk_b", text).mapInArrow(_map(window, gram, parts, text), "part int, kind byte, n long, blob binary")
+    packs = keyed.select("_sk_a", "_sk_b", text).mapInArrow(_map(window, gram, parts, text, classes), "part int, kind byte, n long, blob binary")
     spans = written(packs.repartition(parts, "part").mapInArrow(_reduce(window), "_sk_a long, _sk_b long, s int, e int"))
+    classes.destroy()
     bloom = spark.sparkContext.broadcast(bloom_of(spans.select("_sk_a", "_sk_b"), lambda x: np.stack([x.column(0).to_numpy(), x.column(1).to_numpy()], 1).view(U)))
 
-    @F.pandas_udf("boolean")
-    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
-        at = bloom_bits(np.stack([a.to_numpy(np.int64), b.to_numpy(np.int64)], 1).view(U))
-        return pd.Series(((bloom.value[at >> 3] >> (7 - (at & 7))) & 1).all(1))
-
     grouped = spans.groupBy("_sk_a", "_sk_b").agg(F.collect_list(F.struct("s", "e")).alias("_sk_spans"))
-    marked = keyed.withColumn("_sk_maybe", maybe("_sk_a", "_sk_b"))
+    marked = keyed.withColumn("_sk_maybe", maybe_in(bloom, "_sk_a", "_sk_b"))
     kind = grouped.schema["_sk_spans"].dataType
     met = marked.where("_sk_maybe").join(grouped, ["_sk_a", "_sk_b"], "left")
     rest = marked.where("not _sk_maybe").withColumn("_sk_spans", F.lit(None).cast(kind))
