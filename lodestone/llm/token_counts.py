@@ -2,8 +2,9 @@
 
 The piece model never merges across the start of a run of spaces or around a line feed, so a text's tokens are the sum over
 its pre-tokens (a run of spaces with the characters after it, or one line feed). The lengths of frequent pre-tokens
-are broadcast as a compact table (at most `frequent` entries, from a bounded sample of rows; it changes speed, never a
-count). Others are encoded once and kept in a cache of each worker, of bounded size. No pre-token is shuffled on that path.
+are broadcast as a compact table of at most `most` entries. They are those counted most often in all texts, by summaries of bounded
+size that each task makes and sends once; what a summary leaves out changes speed, never a count. Other pre-tokens are encoded once and
+kept in a cache of each worker, of bounded size. No pre-token is shuffled on that path.
 
 Whether the rule holds for a model is checked from its pieces when the counter is made; else whole texts are encoded.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches
+from .common import bounded_batches, dropped, written
 
 _BAR = "▁"
 _PRE = re.compile(f"{_BAR}*[^{_BAR}\n]+|{_BAR}+|\n")
@@ -74,32 +76,38 @@ class Counter32:
 
 
 def _frequent(text: str, most: int):
+    """The pre-tokens of a task that occur most often, with their counts; rare ones are forgotten whenever there are too many."""
+
     def run(batches):
         seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(text).to_pylist():
-                seen.update(x for x in pre_tokens(t or "") if len(x) < 100 and "\0" not in x)
+                if t:
+                    seen.update(pre_tokens(t))
             if len(seen) > 8 * most:
                 seen = Counter(dict(seen.most_common(2 * most)))
-        top = seen.most_common(most)
+        top = [x for x in seen.most_common(most) if len(x[0]) < 100 and "\0" not in x[0]]
         yield pa.record_batch([pa.array([x[0] for x in top], pa.string()), pa.array([x[1] for x in top], pa.int64())], names=["pre", "n"])
 
     return run
 
 
-def frequent_table(docs: DataFrame, model: bytes, text: str = "text", most: int = 1 << 15, sample_rows: int = 8192) -> tuple[bytes, bytes]:
-    """Frequent pre-tokens (joined by NUL) and their lengths, from about sample_rows rows chosen by hash."""
-    rows = docs.count()
-    step = max(1, rows // sample_rows)
-    picked = docs.select(text).where(F.pmod(F.xxhash64(text, F.lit(3)), F.lit(step)) == 0)
-    top = picked.mapInArrow(_frequent(text, most), "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre").limit(most).collect()
+def frequent_table(docs: DataFrame, model: bytes, text: str = "text", most: int = 1 << 15) -> tuple[bytes, bytes]:
+    """Frequent pre-tokens (joined by NUL) and their lengths. Only those over the count that `most` of them reach come to the driver."""
     counter = Counter32(model)
-    if not counter.splits or not top:
+    if not counter.splits:
         return b"", b""
+    sums = written(docs.select(text).mapInArrow(_frequent(text, most), "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n")))
+    size = F.floor(F.log2("n") * 16)
+    bins = sorted(sums.groupBy(size.alias("b")).count().collect(), key=lambda r: -r.b)
+    fits = [r.b for r, held in zip(bins, accumulate(r["count"] for r in bins), strict=True) if held <= most]
+    top = sums.where(size >= fits[-1]).collect() if fits else []
+    dropped(sums)
+    top.sort(key=lambda r: (-r.n, r.pre))
     return "\0".join(r.pre for r in top).encode(), np.array([counter._encode(r.pre) for r in top], np.uint16).tobytes()
 
 
-def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: int = 4096, most: int = 1 << 15, sample_rows: int = 8192) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: int = 4096, most: int = 1 << 15) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit)."""
     from pathlib import Path
 
@@ -107,7 +115,7 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: in
     proto = Path(model_path).read_bytes()
     spark = docs.sparkSession
     bounded_batches(spark)
-    model = spark.sparkContext.broadcast((proto, frequent_table(docs, proto, text, most, sample_rows)))
+    model = spark.sparkContext.broadcast((proto, frequent_table(docs, proto, text, most)))
 
     def run(batches):
         counter = None
