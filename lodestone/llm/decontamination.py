@@ -6,10 +6,12 @@ The shard's index is the Burrows-Wheeler transform of the symbols in a wavelet m
 together, a word a step; occurrences walk to the next sampled position; spans of hits are merged per document.
 
 A phrase is `window` consecutive words of an item, or all words of a shorter item. Texts stay whole within a shard, so the
-map side gives final rows and nothing is shuffled. Items come in blocks of bounded size, each broadcast by itself.
+map side gives final rows and nothing is shuffled. Items come in blocks of bounded size, each broadcast by itself, and a pass over
+the documents takes so many blocks; a benchmark beyond that takes more passes, with the rows written between them.
 
-Defined cases: null text or item has no words and no hits; repeated items count one by one; repeated rows are judged each;
-extra columns are kept by `contamination` (its outputs replace columns of their names); empty tables give empty results.
+Defined cases: null text or item has no words and no hits; repeated rows are judged each. Item ids are of any type with an order;
+rows of items with the same id are one item. The words of an item without id are hit like others, but it has no place in the list of
+items. Extra columns are kept by `contamination` (its outputs replace columns of their names); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,19 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType
 
-from .common import NOT_ALNUM, U, Words, bounded_batches, chunks, ranges, text_bytes
+from .common import NOT_ALNUM, U, Words, bounded_batches, chunks, dropped, ranges, text_bytes, written
 
-CHUNK = 6_000_000
-OUT = "n_words long, hits array<struct<s:int,e:int>>, items array<bigint>"
+CHUNK = 4_000_000
 
 
 # ---------------------------------------------------------------- phrases
 
 
 def phrases(item_ids: list, texts: list, window: int):
-    """Sorted vocabulary (word hashes), distinct phrases as rows of symbols from 1 (0: none), and (phrase, item) pairs."""
+    """Sorted vocabulary (word hashes), distinct phrases as rows of symbols from 1 (0: none), the phrase of each owner, and owners' ids."""
     data, off = text_bytes(pa.chunked_array([pa.array(texts, pa.string())]))
     words = Words(data, off, NOT_ALNUM, lower=True)
     vocabulary = np.unique(words.hashes)
@@ -46,9 +48,9 @@ def phrases(item_ids: list, texts: list, window: int):
             rows.append(row)
             owner.append(i)
     if not rows:
-        return vocabulary, np.zeros((0, window), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return vocabulary, np.zeros((0, window), np.int32), np.zeros(0, np.int64), []
     table, inverse = np.unique(np.array(rows), axis=0, return_inverse=True)
-    return vocabulary, table, inverse.ravel(), np.array(item_ids, np.int64)[owner]
+    return vocabulary, table, inverse.ravel(), [item_ids[i] for i in owner]
 
 
 # ---------------------------------------------------------------- the index
@@ -173,27 +175,32 @@ def shard_hits(words: Words, block, window: int):
     return row[word], word - words.first[row[word]], phrase
 
 
-def _judge(text: str, blocks: list, window: int):
+def _judge(text: str, blocks: list, window: int, id_type: pa.DataType):
+    """Adds the hits of the blocks to n_words, hits and items."""
+
     def run(batches):
+        opened = None
         for table in chunks(batches, text, CHUNK):
+            if opened is None:
+                opened = []
+                for block in (b.value for b in blocks):
+                    owners: list[set] = [set() for _ in range(len(block[1]))]
+                    for p, i in zip(block[2].tolist(), block[3], strict=True):
+                        if i is not None:
+                            owners[p].add(i)
+                    opened.append((block, (block[1] > 0).sum(1), owners))
             data, off = text_bytes(table[text])
             words = Words(data, off, NOT_ALNUM, lower=True)
-            n = table.num_rows
-            spans: list[list] = [[] for _ in range(n)]
-            items: list[set] = [set() for _ in range(n)]
-            for broadcast in blocks:
-                block = broadcast.value
-                size = (block[1] > 0).sum(1)
-                owners: dict[int, list] = {}
+            spans = [[(x["s"], x["e"]) for x in h or ()] for h in table["hits"].to_pylist()]
+            items = [set(x or ()) for x in table["items"].to_pylist()]
+            for block, size, owners in opened:
                 row, at, phrase = shard_hits(words, block, window)
-                for p in np.unique(phrase).tolist():
-                    owners[p] = np.unique(block[3][block[2] == p]).tolist()
                 for r, s, p in zip(row.tolist(), at.tolist(), phrase.tolist(), strict=True):
                     spans[r].append((s, s + int(size[p])))
-                    items[r].update(owners[p])
+                    items[r] |= owners[p]
             merged = [[{"s": s, "e": e} for s, e in merge(x)] for x in spans]
-            t = table.combine_chunks().to_batches()[0]
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(words.counts, pa.int64()), pa.array(merged, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], [*t.schema.names, "n_words", "hits", "items"])
+            t = table.drop_columns(["n_words", "hits", "items"]).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(words.counts, pa.int64()), pa.array(merged, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(id_type))], [*t.schema.names, "n_words", "hits", "items"])
 
     return run
 
@@ -208,25 +215,40 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4_000_000, pass_bytes: int = 64_000_000) -> DataFrame:
     """docs with n_words, hits (merged word spans) and items (ids of items with an occurring phrase).
 
-    `items` is read through in order of id, `block_bytes` of text to a block; each block is a pass of its own over the
-    chunk, so the broadcast data don't grow with the number of items.
+    `items` is read through row by row, `block_bytes` of text to a block and `pass_bytes` to a pass over docs, so neither the
+    driver nor a broadcast grows with the number of items.
     """
-    bounded_batches(docs.sparkSession)
-    docs = docs.drop("n_words", "hits", "items")
-    sc = docs.sparkSession.sparkContext
-    blocks, ids, texts, held = [], [], [], 0
-    for r in items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null").toLocalIterator():
-        ids.append(r.i), texts.append(r.t or "")
-        held += len(r.t or "")
-        if held >= block_bytes:
-            blocks.append(sc.broadcast(phrases(ids, texts, window)))
-            ids, texts, held = [], [], 0
-    if ids:
-        blocks.append(sc.broadcast(phrases(ids, texts, window)))
-    return docs.mapInArrow(_judge(text, blocks, window), StructType([*docs.schema.fields, *StructType.fromDDL(OUT).fields]))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    kind = items.schema[item_id].dataType
+    found = docs.drop("n_words", "hits", "items")
+    found = found.withColumns({"n_words": F.lit(None).cast("long"), "hits": F.lit(None).cast("array<struct<s:int,e:int>>"), "items": F.lit(None).cast(ArrayType(kind))})
+    blocks, done, last = [], False, None
+    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").toLocalIterator()
+    while not done:
+        ids, texts, held = [], [], 0
+        for r in rows:
+            ids.append(r.i), texts.append(r.t)
+            held += len(r.t.encode())
+            if held >= block_bytes:
+                break
+        else:
+            done = True
+        blocks.append(spark.sparkContext.broadcast(phrases(ids, texts, window)))
+        if done or len(blocks) * block_bytes >= pass_bytes:
+            found = found.mapInArrow(_judge(text, blocks, window, to_arrow_type(kind)), found.schema)
+            if not done:
+                found, before = written(found), last
+                last = found
+                for b in blocks:
+                    b.destroy()
+                blocks = []
+                if before is not None:
+                    dropped(before)
+    return found
 
 
 def contamination_digests(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
