@@ -17,7 +17,7 @@ from lodestone.llm.quality import quality_scores
 from lodestone.llm.sharding import interleaved
 
 SHARDS = 24
-#: Shares of words. The first is kept whole, so these say how much of the others may stand beside it.
+#: Shares of words: how much of the other domains may stand beside the first.
 TARGETS = {"good": 0.94, "low": 0.02, "toxic": 0.04}
 
 
@@ -33,8 +33,8 @@ def _apart(docs: DataFrame, work) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return _apart(docs, lambda d: quality_scores(d, _table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Documents that the classifier rejects go; without any label nothing is known, and all stay."""
+    return _apart(docs, lambda d: quality_scores(d, _table(spark, sf_dir, "labels")).where("predicted = 1 OR NOT trained"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned out to the target mixture: a rate under 1 keeps a share of such documents, and none is repeated,
-    for repeats would undo the second stage. A rate within 0.25 of 1 keeps the document."""
-    return _apart(docs, lambda d: mixed(d, _table(spark, sf_dir, "labels"), TARGETS, snap=0.25).where("copies > 0"))
+    """Documents of domains over their target share are thinned out; none is repeated, for repeats would undo the second stage."""
+    return _apart(docs, lambda d: mixed(d, _table(spark, sf_dir, "labels"), TARGETS, thin=True).where("copies > 0"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
