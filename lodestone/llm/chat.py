@@ -10,8 +10,10 @@ a line feed in a role `\\e`), so no control string can occur in them, and readin
 of (start, length) in characters over the texts of the roles trained on.
 
 Defined cases: null texts and roles are empty; a null conversation is one conversation. Turns that tie are ordered by
-role and text, and repeated rows are turns of their own. An unknown parent makes a root. Extra columns are dropped. An empty
-table gives an empty result.
+role and text, and repeated rows of turns are turns of their own. In a tree, rows that repeat a node are one node: of its parents,
+roles, texts and scores the first in that order counts (a null parent comes first). A row without a node is left out. An unknown
+parent makes a root. A cycle of parents is cut above its smallest node, which becomes a root. Extra columns are dropped,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,22 +41,48 @@ def chains(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataF
     return at.withColumns({"parent": F.when(F.col("node") > 1, F.col("node") - 1), "score": F.lit(0.0)})
 
 
+def _key():
+    """Null conversations get a key of their own, so that joins see them."""
+    return F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n"))
+
+
+def _cut(base: DataFrame, active: DataFrame, rounds: int) -> DataFrame:
+    """base (c, node, up) with the cycles cut that the nodes of `active` lie on or lead into."""
+    steps = written(base.join(active.select("c", "node"), ["c", "node"], "left_semi").select("c", "node", "up", F.col("node").alias("low")))
+    for _ in range(rounds):  # `low`: the smallest of the nodes from here to 2^k - 1 steps above
+        above = steps.select("c", F.col("node").alias("up"), F.col("up").alias("next"), F.col("low").alias("lower"))
+        further = written(steps.join(above, ["c", "up"]).select("c", "node", F.col("next").alias("up"), F.least("low", "lower").alias("low")))
+        dropped(steps)
+        steps = further
+    on = steps.select("c", F.col("up").alias("node")).distinct()  # so many steps above lies a node of the cycle, and all of those do
+    heads = steps.join(on, ["c", "node"]).where("node = low").select("c", "node", F.lit(True).alias("head"))
+    return written(base.join(heads, ["c", "node"], "left").select("c", "node", F.when(F.col("head"), F.lit(None)).otherwise(F.col("up")).alias("up")))
+
+
 def paths(nodes: DataFrame) -> DataFrame:
-    """(conv_id, leaf, node, at): the nodes of each root-to-leaf path, `at` counting from 1 at the root.
+    """(c, leaf, node, at): the nodes of each root-to-leaf path, `at` counting from 1 at the root; c names the conversation.
 
-    nodes: conv_id, node, parent (null for a root). A parent that isn't there makes a root.
+    nodes: conv_id, node, parent (null for a root), each node once. A parent that isn't there makes a root, a cycle is cut.
     """
-    # null conversations get a key of their own, so that joins see them
-    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n"))
-    base = nodes.select(key.alias("c"), "node", "parent")
+    base = nodes.select(_key().alias("c"), "node", "parent")
     known = base.select("c", F.col("node").alias("parent"), F.lit(True).alias("there"))
     base = written(base.join(known, ["c", "parent"], "left").select("c", "node", F.when(F.col("there"), F.col("parent")).alias("up")))
+    most = base.groupBy("c").count().agg(F.max("count")).first()[0] or 1
+    rounds = most.bit_length()
+    out, active = _paths(base, rounds)
+    return out if active is None else _paths(_cut(base, active, rounds), rounds)[0]
+
+
+def _paths(base: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(the paths, None), or (None, nodes that reach no root in so many rounds: those on a cycle or below one)."""
     # levels[k]: `up` is the ancestor 2^k steps above, `depth` the nodes from it down to here. A node whose root is reached
     # has no `up`, a final depth, and takes no part in later joins.
     levels = [base.select("c", "node", "up", F.when(F.col("up").isNull(), 1).otherwise(2).cast("long").alias("depth"))]
     final = levels[0].where("up is null")
     active = levels[0].where("up is not null")
     while not active.isEmpty():
+        if len(levels) > rounds:
+            return None, active
         above = active.unionByName(final).select("c", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         far = written(active.join(above, ["c", "up"]).select("c", "node", F.col("next").alias("up"), (F.col("depth") - 1 + F.col("more")).alias("depth")))
         levels.append(far)
@@ -72,16 +100,23 @@ def paths(nodes: DataFrame) -> DataFrame:
         part = written(part.where(F.col("n") <= half).unionByName(lower).unionByName(upper))
     for level in levels[1:]:
         dropped(level)
-    return part.select("c", "leaf", "node", "at")
+    return part.select("c", "leaf", "node", "at"), None
+
+
+def _unique(nodes: DataFrame) -> DataFrame:
+    """Each node of a conversation once."""
+    first = F.min(F.struct("parent", "role", "text", "score")).alias("x")
+    return nodes.where("node IS NOT NULL").groupBy("conv_id", "node").agg(first).select("conv_id", "node", "x.*")
 
 
-def formatted(nodes: DataFrame, best: int | None = 1, train_on: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def formatted(nodes: DataFrame, best: int | None = 1, train_on: tuple[str, ...] = ("assistant",), unique: bool = False) -> DataFrame:
     """conv_id, leaf, place (1 is the best), score, n_turns, text and loss_mask of the chosen paths.
 
-    nodes: conv_id, node, parent, role, text, score. `best`: paths kept for each conversation; None keeps all.
+    nodes: conv_id, node, parent, role, text, score. `best`: paths kept for each conversation; None keeps all. `unique`: says
+    that no node is repeated.
     """
-    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n"))
-    rows = nodes.select(key.alias("c"), "conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    nodes = nodes if unique else written(_unique(nodes))
+    rows = nodes.select(_key().alias("c"), "conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     steps = paths(nodes)
     scored = steps.join(rows.select("c", "node", "score"), ["c", "node"])
     ranks = scored.groupBy("c", "leaf").agg(F.sum("score").alias("score")).withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("score"), "leaf")))
@@ -114,7 +149,7 @@ def chat_digests(turns: DataFrame) -> DataFrame:
     spark = turns.sparkSession
     kind = dict(turns.dtypes)
     odd = spark.range(2).select(F.lit(-1).cast(kind["conv_id"]).alias("conv_id"), F.col("id").cast(kind["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    out = formatted(chains(turns.select("conv_id", "turn", "role", "text").unionByName(odd)))
+    out = formatted(chains(turns.select("conv_id", "turn", "role", "text").unionByName(odd)), unique=True)
     back = out.select("conv_id", "text", "loss_mask", read_back(F.col("text")).alias("turns"))
     said = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
     loss = F.concat_ws("", F.transform("loss_mask", lambda x: unescaped(F.substring(F.col("text"), x["start"] + 1, x["length"]))))

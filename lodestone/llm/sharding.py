@@ -8,8 +8,9 @@ Both ranks are counted in buckets of hash values or of fractional ranks, so the
 row's rank is the rows of earlier buckets plus its place in its own. Bucket numbers are bounded (`most_buckets`).
 
 Defined cases: a null source is a source of its own; null and empty texts are rows like others; repeated rows have places of
-their own, and which of equal rows gets which is left open; ids may be null. Extra columns are kept; input columns named
-like an output are replaced. An empty table gives an empty result.
+their own, and which of equal rows gets which is left open; ids may be null or repeat (order and bucket follow a hash of id and
+all other columns). Extra columns are kept, whatever their names (they are renamed inside); input columns named like an
+output are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,24 +22,26 @@ from pyspark.sql import functions as F
 def interleaved(docs: DataFrame, shards: int, source: str = "source", id_col: str = "doc_id", seed: int = 7, most_buckets: int = 1 << 14) -> DataFrame:
     """docs with shard (0 .. shards-1) and slot (0, 1, .. within the shard, by fractional rank)."""
     docs = docs.drop("shard", "slot")
-    keep = docs.columns
-    others = [c for c in keep if c not in (source, id_col)]
+    names = docs.columns
+    keep = [f"_c{i}" for i in range(len(names))]
+    id_at, source_at = keep[names.index(id_col)], keep[names.index(source)]
     rows = docs.count()
     if not rows:
         return docs.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     buckets = 1 << max(4, min(most_buckets, rows // 64).bit_length())
+    docs = docs.toDF(*keep)
+    others = [F.col(c) for c in keep if c not in (source_at, id_at)]
     low = lambda c: F.shiftrightunsigned(c, 1)  # noqa: E731  hashes as nonnegative numbers
     keyed = docs.withColumns(
         {
-            "_sh_key": F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))),
-            "_sh_hash": low(F.xxhash64(F.col(id_col), F.lit(seed))),
+            "_sh_key": F.when(F.col(source_at).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_at).cast("string"))),
+            "_sh_hash": low(F.xxhash64(F.col(id_at), *others, F.lit(seed))),
         }
     ).withColumn("_sh_bucket", F.shiftright("_sh_hash", 63 - (buckets.bit_length() - 1)))
     counts = keyed.groupBy("_sh_key", "_sh_bucket").agg(F.count("*").alias("_sh_n"))
     by_source = Window.partitionBy("_sh_key").orderBy("_sh_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_sh_key", "_sh_bucket", F.coalesce(F.sum("_sh_n").over(by_source), F.lit(0)).alias("_sh_before"), F.sum("_sh_n").over(Window.partitionBy("_sh_key")).alias("_sh_total"))
-    ties = [F.xxhash64(*[F.col(c) for c in others])] if others else []
-    place = F.row_number().over(Window.partitionBy("_sh_key", "_sh_bucket").orderBy("_sh_hash", id_col, *ties))
+    place = F.row_number().over(Window.partitionBy("_sh_key", "_sh_bucket").orderBy("_sh_hash", id_at))
     ranked = keyed.withColumn("_sh_place", place).join(before, ["_sh_key", "_sh_bucket"])
     # (2 rank + 1) / (2 total) as a bucket of equal width, in whole numbers
     rank = F.col("_sh_before") + F.col("_sh_place") - 1
@@ -52,7 +55,7 @@ def interleaved(docs: DataFrame, shards: int, source: str = "source", id_col: st
     shard = F.expr(f"((_sh_at + 1) * {shards}L - 1) div {rows}L")
     placed = placed.withColumn("shard", shard.cast("int"))
     slot = F.col("_sh_at") - F.expr(f"(CAST(shard AS BIGINT) * {rows}L) div {shards}L")
-    return placed.select(*keep, "shard", slot.alias("slot"))
+    return placed.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], "shard", slot.alias("slot"))
 
 
 def shard_digests(docs: DataFrame, shards: int = 24) -> DataFrame:
