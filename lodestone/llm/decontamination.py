@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType
 
 from .common import NOT_ALNUM, U, Words, bounded_batches, chunks, dropped, ranges, text_bytes, written
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 # ---------------------------------------------------------------- phrases
@@ -175,8 +175,8 @@ def shard_hits(words: Words, block, window: int):
     return row[word], word - words.first[row[word]], phrase
 
 
-def _judge(text: str, blocks: list, window: int, id_type: pa.DataType):
-    """Adds the hits of the blocks to n_words, hits and items."""
+def _judge(text: str, blocks: list, window: int, id_type: pa.DataType, finish=None):
+    """Adds the hits of the blocks to n_words, hits and items; `finish` goes on with the batches in the same worker."""
 
     def run(batches):
         opened = None
@@ -202,7 +202,7 @@ def _judge(text: str, blocks: list, window: int, id_type: pa.DataType):
             t = table.drop_columns(["n_words", "hits", "items"]).combine_chunks().to_batches()[0]
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(words.counts, pa.int64()), pa.array(merged, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(id_type))], [*t.schema.names, "n_words", "hits", "items"])
 
-    return run
+    return run if finish is None else lambda batches: finish(run(batches))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -215,8 +215,13 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4_000_000, pass_bytes: int = 64_000_000) -> DataFrame:
-    """docs with n_words, hits (merged word spans) and items (ids of items with an occurring phrase).
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs with n_words, hits (merged word spans) and items (ids of items with an occurring phrase); options as in `_passes`."""
+    return _passes(docs, items, text, **options)
+
+
+def _passes(docs: DataFrame, items: DataFrame, text: str, item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4_000_000, pass_bytes: int = 64_000_000, finish=None, shape=None) -> DataFrame:
+    """docs with their hits, or what `finish` makes of such batches, of schema `shape`.
 
     `items` is read through row by row, `block_bytes` of text to a block and `pass_bytes` to a pass over docs, so neither the
     driver nor a broadcast grows with the number of items.
@@ -239,7 +244,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
             done = True
         blocks.append(spark.sparkContext.broadcast(phrases(ids, texts, window)))
         if done or len(blocks) * block_bytes >= pass_bytes:
-            found = found.mapInArrow(_judge(text, blocks, window, to_arrow_type(kind)), found.schema)
+            last_pass = done and finish is not None
+            found = found.mapInArrow(_judge(text, blocks, window, to_arrow_type(kind), finish if last_pass else None), shape if last_pass else found.schema)
             if not done:
                 found, before = written(found), last
                 last = found
@@ -264,7 +270,6 @@ def without_hits(docs: DataFrame, items: DataFrame, text: str = "text", **option
     columns, place = docs.columns, docs.columns.index(text)
     names = [f"_dc{i}" for i in range(len(columns))]
     shape = docs.toDF(*names).schema
-    found = contamination(docs.toDF(*names), items, names[place], **options)
     text = names[place]
 
     def run(batches):
@@ -289,4 +294,4 @@ def without_hits(docs: DataFrame, items: DataFrame, text: str = "text", **option
             kept = pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(pa.array(keep, pa.bool_()))
             yield kept.select(names)
 
-    return found.mapInArrow(run, shape).toDF(*columns)
+    return _passes(docs.toDF(*names), items, text, finish=run, shape=shape, **options).toDF(*columns)
