@@ -286,23 +286,25 @@ def cell_slices(counts: np.ndarray) -> list[bytes]:
 
 
 def _add_slices(batches):
+    """Sum of each slice, as one byte a cell: 8 log2(1 + count)."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             part = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint32)
             total[k] = total.get(k, 0) + part.astype(np.int64)
     for k, part in total.items():
-        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "b"])
+        logs = np.minimum(np.round(8 * np.log2(1 + part)), 255).astype(np.uint8)
+        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([int(part.sum())], pa.int64()), pa.array([logs.tobytes()], pa.binary())], names=["k", "n", "b"])
 
 
 def size_classes(slices: DataFrame, cells: int) -> np.ndarray:
     """From (slice number, packed counts) of all tasks: a class from 0 (usual) to 15 (most frequent) of each cell, at most MOST_CELLS bytes."""
-    total = np.zeros((cells // SLICE, SLICE), np.float32)
-    for r in slices.toDF("k", "b").repartition(len(total), "k").mapInArrow(_add_slices, "k int, b binary").collect():
-        total[r.k] = np.frombuffer(r.b, np.int64)
-    total = total.ravel()
-    usual = float(total.mean()) + 2 * float(total.mean()) ** 0.5 + 2
-    return np.clip(np.ceil(2 * np.log2(np.maximum(total, 1) / usual)), 0, 15).astype(np.uint8)
+    logs, n = np.zeros((cells // SLICE, SLICE), np.uint8), 0
+    for r in slices.toDF("k", "b").repartition(len(logs), "k").mapInArrow(_add_slices, "k int, n long, b binary").toLocalIterator():
+        logs[r.k] = np.frombuffer(r.b, np.uint8)
+        n += r.n
+    usual = n / cells + 2 * (n / cells) ** 0.5 + 2
+    return np.clip(np.ceil(2 * (np.arange(256) / 8 - np.log2(usual))), 0, 15).astype(np.uint8)[logs].ravel()
 
 
 def ranked_by_class(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
