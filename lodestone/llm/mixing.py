@@ -17,7 +17,8 @@ A rate within `snap` of a whole number counts as that number; other rates are ro
 copies equal the rate to `snap`.
 
 Defined cases: null and empty texts have no words; they have the rate of their posterior and change no total. Repeated rows
-are rows of their own and round alike. No labels: all posteriors are equal. An empty table gives an empty result. Extra
+are rows of their own and round alike. No labels: all posteriors are equal, nothing is known, and all
+rates are one. An empty table gives an empty result. Extra
 columns are kept (internal names start with `_mx_`); input columns named like an output are replaced.
 """
 
@@ -175,13 +176,17 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     bounded_batches(docs.sparkSession)
     weights = np.array([targets[d] for d in DOMAINS])
     weights = weights / weights.sum()
-    model = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, domain_labels(labels, id_col), sample_rows, id_col, text, classes=len(DOMAINS)), len(DOMAINS), rate=3.0, seed=2))
+    texts, marks = labelled_sample(docs, domain_labels(labels, id_col), sample_rows, id_col, text, classes=len(DOMAINS))
+    model = docs.sparkSession.sparkContext.broadcast(train(texts, marks, len(DOMAINS), rate=6.0, epochs=12, seed=2))
     keyed = docs.withColumn("_mx_u", (F.pmod(F.xxhash64(id_col, text, F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))))
     fields = [f for f in keyed.schema.fields if keep_text or f.name != text]
     judged = written(keyed.mapInArrow(_judged(model, text, keep_text), StructType([*fields, *StructType.fromDDL("_mx_n long, _mx_p array<double>").fields])))
     model.destroy()
     table = judged.select(F.col("_mx_n").alias("n"), F.col("_mx_p").alias("p"))
-    u = thinned(table, weights)[0] if thin else fit_rates(table, weights)[0]
+    if not len(marks):
+        u = np.zeros(len(weights))
+    else:
+        u = thinned(table, weights)[0] if thin else fit_rates(table, weights)[0]
     point = sum((F.col("_mx_p")[k] * F.lit(float(x)) for k, x in enumerate(u)), F.lit(1.0))
     rate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), point) if thin else point)
     whole = F.round("rate").cast("long")
