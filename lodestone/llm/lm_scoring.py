@@ -11,7 +11,7 @@ Every context counts, however rare: the tree is never gathered in one place. It
 a bucket holds whole subtrees. Buckets send up the sums that the nodes above them need (at most 256 * 255 of them, whatever
 the corpus), the driver weights those nodes and hands down each one's share. To score, texts are packed in groups; each
 group asks the buckets once for its distinct (context, byte) pairs, and texts and answers meet again by group. A group closes
-when it has more than `max_contexts` distinct pairs: that bounds a task's memory and changes no score.
+when it has more than `max_contexts` distinct pairs or GROUP_BYTES of text: that bounds a task's memory and changes no score.
 
 `base_score` is the add-half unigram score. Counts of the most frequent words (bounded) go to the map side; all other
 words travel, packed, to the bucket that holds their count.
@@ -37,6 +37,8 @@ from .substring_dedup import _pack, _unpack
 CHUNK = 4_000_000
 #: Distinct words or (context, byte) pairs that a task holds before it hands their counts on.
 FLUSH = 1_500_000
+#: Bytes of text in one group.
+GROUP_BYTES = 32_000_000
 _END, _SPACE = 0x0A, 0x20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -427,7 +429,7 @@ def _score(text: str, id_col: str, depth: int, parts: int, model, tokens: int, v
 
     def run(batches):
         known = id_type = None
-        task, n_before, parts_asked, limit = secrets.randbits(63), 0, [], group_pairs
+        task, n_before, parts_asked, limit, held = secrets.randbits(63), 0, [], group_pairs, 0
 
         def packed(kind: int, blobs: list[tuple[int, bytes]]):
             k = len(blobs)
@@ -460,12 +462,13 @@ def _score(text: str, id_col: str, depth: int, parts: int, model, tokens: int, v
                 h, r = words.hashes[rare], row[rare]
                 yield packed(_ASK_WORDS, [(p, _pack([h[at], r[at].astype(np.int32), np.array([task, n_before], np.int64)])) for p, at in _deal(0, h, parts, depth)])
             n_before += rows
-            if sum(map(len, parts_asked)) > limit:  # the distinct ones are found now and then, not for every chunk
+            held += len(raw)
+            if sum(map(len, parts_asked)) > limit or held > GROUP_BYTES:  # the distinct ones are found now and then, not for every chunk
                 parts_asked = [np.unique(np.concatenate(parts_asked))]
                 limit = 2 * len(parts_asked[0])
-                if len(parts_asked[0]) > group_pairs:
+                if len(parts_asked[0]) > group_pairs or held > GROUP_BYTES:
                     yield requests(parts_asked[0])
-                    task, n_before, parts_asked, limit = secrets.randbits(63), 0, [], group_pairs
+                    task, n_before, parts_asked, limit, held = secrets.randbits(63), 0, [], group_pairs, 0
         if parts_asked:
             yield requests(np.unique(np.concatenate(parts_asked)))
 
