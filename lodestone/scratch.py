@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("lodestone.scratch.dir", root)
     return root.rstrip("/")
 
