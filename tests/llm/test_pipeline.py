@@ -23,6 +23,12 @@ def test_stages(spark, tmp_path):
     assert set(range(120)) - {3} <= {*ids} and not {200, 201} & {*ids}
     assert len([i for i in ids if i == 202]) == 1 and not any(passage in (r.text or "") for r in out)
     assert {r.shard for r in out} == set(range(24))
+    # without labels nothing is known of quality or domains, and no document goes for them
+    bare = tmp_path / "bare"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{bare}/labels.parquet")
+    whole = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k in (0, 3):
+        assert corpus_pipeline.STAGES[k][1](spark, whole, str(bare)).count() == whole.count()
     docs = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).collect() == []
