@@ -14,10 +14,12 @@ long ones are only probed for documents that are left, and those that reach the
 * Long lists are built for the documents of a block of pairs, and each partner is searched in them by binary probes; pairs
   that reach T in all are links (`_probe`).
 * A list of over `small` entries isn't turned into all its pairs: it gives no counts, so what a pair needs is lowered by the
-  number of such lists that both lie in. A first round tries to link each entry to one document of its sizes; a second one takes some pairs of
-  different components from each stripe of such a list, as near copies mostly are links; a third one all pairs of it that still lie in
-  different components. Links inside a component can't change it, so nothing is lost, and a group of n near copies costs about n
-  probes. Stripes, and for the third round a grid of blocks of two stripes, spread a hot list over many tasks.
+  number of such lists that both lie in. A first round tries to link each entry to one document of its sizes, as near copies mostly
+  are links. A second one looks at all pairs of such a list that still lie in different components; links inside a component can't
+  change it, so nothing is lost. Pairs are never rows there: a block of a list tells which of its entries may have a link by sizes
+  and bitmaps (`_may_link`); their sets travel to it, once a block and not once a pair, are searched there, and the links that join components
+  come out (`_linked`). A pair that shares many lists is looked at in the first one: each entry names its smallest lists, and a pair
+  that both name an earlier list is left to that one. Stripes, and a grid of blocks of two stripes, spread a hot list over many tasks.
 
 Equal word sequences are one class from the start, named by 128 bits of hash. Shingles are told apart by 64 bits.
 
@@ -47,10 +49,10 @@ BITS = 2048
 TAU = 3
 #: Lists up to this length are turned into their pairs.
 SMALL = 24
-#: Entries of a long list in one block of its grid.
-BLOCK = 512
-#: Pairs of a long list that are tried to join two components before the rest is looked at.
-TRIES = 8
+#: Entries of a long list in one stripe of its grid, and their shingles.
+BLOCK, STRIPE = 512, 1 << 19
+#: Lists that an entry names, the smallest first.
+NAMED = 32
 
 
 # ---------------------------------------------------------------- sets of a chunk
@@ -130,6 +132,17 @@ def _bitmap(values: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _bound(t: tuple[int, int], x: int, y: int, a: bytes, b: bytes) -> bool:
+    """Whether sets of x and y shingles with bitmaps a and b may reach the threshold."""
+    while len(a) > len(b):
+        a = (int.from_bytes(a[: len(a) // 2], "little") | int.from_bytes(a[len(a) // 2 :], "little")).to_bytes(len(a) // 2, "little")
+    while len(b) > len(a):
+        b = (int.from_bytes(b[: len(b) // 2], "little") | int.from_bytes(b[len(b) // 2 :], "little")).to_bytes(len(b) // 2, "little")
+    u, v = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    most = min(x - (u & ~v).bit_count(), y - (v & ~u).bit_count())
+    return t[1] * most >= t[0] * (x + y - most)
+
+
 def _least(size: int, t: tuple[int, int]) -> int:
     """Occurrences that a document of `size` shingles needs in short lists."""
     return min(TAU, -(-t[0] * size // t[1]))
@@ -146,13 +159,7 @@ def _may_reach(t: tuple[int, int]):
                 if n + min(ha, hb) < min(_least(x, t), _least(y, t)):
                     keep.append(False)
                     continue
-                while len(a) > len(b):
-                    a = (int.from_bytes(a[: len(a) // 2], "little") | int.from_bytes(a[len(a) // 2 :], "little")).to_bytes(len(a) // 2, "little")
-                while len(b) > len(a):
-                    b = (int.from_bytes(b[: len(b) // 2], "little") | int.from_bytes(b[len(b) // 2 :], "little")).to_bytes(len(b) // 2, "little")
-                a, b = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-                most = min(x - (a & ~b).bit_count(), y - (b & ~a).bit_count())
-                keep.append(t[1] * most >= t[0] * (x + y - most))
+                keep.append(_bound(t, x, y, a, b))
             yield pa.RecordBatch.from_arrays([batch.column("ka"), batch.column("kb")], ["ka", "kb"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -218,7 +225,7 @@ def _short_lists(text: str, n: int, t: tuple[int, int], parts: int, classes):
                 docs, local = np.unique(doc[lo:hi], return_inverse=True)
                 out_part.append(int(part[lo]))
                 out_n.append(hi - lo)
-                out_blob.append(_pack([keys[rows[docs]], size[docs].astype(np.int32), entry[lo:hi], local.astype(np.int32)]))
+                out_blob.append(_pack([keys[rows[docs]], size[docs].astype(np.int32), entry[lo:hi], np.diff(local, prepend=0).astype(np.uint8)]))  # documents come in order
             yield pa.record_batch([pa.array(out_part, pa.int32()), pa.array(out_n, pa.int64()), pa.array(out_blob, pa.binary())], names=["part", "n", "blob"])
 
     return run
@@ -284,8 +291,8 @@ def _merge(t: tuple[int, int], small: int):
         keys, sizes, entries, docs, base = [], [], [], [], 0
         for batch in batches:
             for blob in batch.column("blob"):
-                (k, size, entry, doc), _ = _unpack(blob.as_py(), (U, np.int32, U, np.int32))
-                keys.append(k.reshape(-1, 2)), sizes.append(size), entries.append(entry), docs.append(doc.astype(np.int64) + base)
+                (k, size, entry, doc), _ = _unpack(blob.as_py(), (U, np.int32, U, np.uint8))
+                keys.append(k.reshape(-1, 2)), sizes.append(size), entries.append(entry), docs.append(np.cumsum(doc, dtype=np.int64) + base)
                 base += len(size)
         if not base:
             return
@@ -405,121 +412,156 @@ def _probe(t: tuple[int, int]):
     return run
 
 
-def _verified(docs: DataFrame, text: str, n: int, pairs: DataFrame, bits: DataFrame, t: tuple[int, int], have: list[DataFrame]) -> DataFrame:
-    """The pairs (ka, kb, n) that are links, as (src, dst). Only sets of pairs that pass the bound are dealt out; `have` holds
-    the tables of sets made so far, and gets one more if sets are missing."""
-    a, b = (bits.select(F.col("_ng_key").alias(f"k{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("_ng_bits").alias(f"b{x}"), F.col("_ng_long").alias(f"h{x}")) for x in "ab")
-    left = written(pairs.join(b, "kb").join(a, "ka").select("ka", "kb", "n", "ha", "hb", "na", "nb", "ba", "bb").mapInArrow(_may_reach(t), "ka binary, kb binary"))
-    wanted = left.select("ka").unionByName(left.select(F.col("kb").alias("ka")))
+def _with_sets(docs: DataFrame, text: str, n: int, wanted: DataFrame, have: list[DataFrame]) -> DataFrame | None:
+    """(_ng_key, _ng_set) of the classes in `wanted` (ka); `have` holds the tables of sets made so far, and gets one more if sets are missing."""
+    wanted = written(wanted.distinct().withColumnRenamed("ka", "_ng_key"))
+    if wanted.isEmpty():
+        return None
+    missing, first = wanted, not have
     for table in have:
-        wanted = wanted.join(table.select(F.col("_ng_key").alias("ka")), "ka", "left_anti")
-    wanted = written(wanted.distinct())
-    if not wanted.isEmpty():
-        bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted, lambda batch: _keys_of(batch.column(0))))
+        missing = missing.join(table.select("_ng_key"), "_ng_key", "left_anti")
+    missing = wanted if first else written(missing)
+    if not missing.isEmpty():
+        bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(missing, lambda batch: _keys_of(batch.column(0))))
         sets = docs.select(text).mapInArrow(_wanted_sets(text, n, bloom), "_ng_key binary, _ng_set binary")
-        sets = sets.join(wanted.withColumnRenamed("ka", "_ng_key"), "_ng_key", "left_semi").groupBy("_ng_key").agg(F.first("_ng_set").alias("_ng_set"))
-        have.append(written(sets))
+        have.append(written(sets.join(missing, "_ng_key", "left_semi").groupBy("_ng_key").agg(F.first("_ng_set").alias("_ng_set"))))
         bloom.destroy()
-    sets = have[0] if have else None
+    if first:
+        return have[0]
+    sets = have[0]
     for table in have[1:]:
         sets = sets.unionByName(table)
+    return sets.join(wanted, "_ng_key", "left_semi")
+
+
+def _verified(docs: DataFrame, text: str, n: int, pairs: DataFrame, bits: DataFrame, t: tuple[int, int], have: list[DataFrame]) -> DataFrame:
+    """The pairs (ka, kb, n) that are links, as (src, dst). Only sets of pairs that pass the bound are dealt out."""
+    a, b = (bits.select(F.col("_ng_key").alias(f"k{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("_ng_bits").alias(f"b{x}"), F.col("_ng_long").alias(f"h{x}")) for x in "ab")
+    left = written(pairs.join(b, "kb").join(a, "ka").select("ka", "kb", "n", "ha", "hb", "na", "nb", "ba", "bb").mapInArrow(_may_reach(t), "ka binary, kb binary"))
+    sets = _with_sets(docs, text, n, left.select("ka").unionByName(left.select(F.col("kb").alias("ka"))), have)
     if sets is None:
         return left.select(F.col("ka").alias("src"), F.col("kb").alias("dst"))
     a, b = (sets.select(F.col("_ng_key").alias(f"k{x}"), F.col("_ng_set").alias(f"s{x}")) for x in "ab")
     links = written(left.join(b, "kb").join(a, "ka").select("ka", "kb", "sa", "sb").mapInArrow(_probe(t), "src binary, dst binary"))
-    dropped(left), dropped(wanted)
+    dropped(left)
     return links
 
 
-def _across(t: tuple[int, int], forest: bool):
-    """From entries sorted by list and block of its grid: pairs of different components that may reach the threshold by size and
-    bitmap; with `forest` only as many as would join all components of a block. Off the grid's diagonal, pairs have one entry of each side."""
+# ---------------------------------------------------------------- blocks of long lists
+
+
+def _folded(blobs: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of BITS bits."""
+    return np.array([np.bitwise_or.reduce(np.frombuffer(x, U).reshape(-1, BITS // 64), 0) for x in blobs], U).reshape(-1, BITS // 64)
+
+
+def _earlier(named: list[np.ndarray], name: int) -> np.ndarray:
+    """For each entry, bits of the lists before `name` that it names."""
+    count = np.array([int(np.searchsorted(x, name)) for x in named])
+    lists, at = np.unique(np.concatenate([x[:c] for x, c in zip(named, count.tolist(), strict=True)]), return_inverse=True)
+    if not len(lists):
+        return np.zeros((len(named), 0), U)
+    out = np.zeros((len(named), -(-len(lists) // 64) * 64), bool)
+    out[np.repeat(np.arange(len(named)), count), at.ravel()] = True
+    return np.packbits(out, axis=1).view(U).reshape(len(named), -1)
+
+
+def _candidates(t: tuple[int, int], sizes: np.ndarray, comp: np.ndarray, bits: np.ndarray, side: np.ndarray | None, earlier: np.ndarray):
+    """For each entry i of a block, in order of size, the ones behind it that may be links by size and bitmap, lie in another component
+    (comp may change meanwhile), on the other side (off the diagonal of the grid) and in no earlier list that both name."""
+    reach = np.searchsorted(sizes * t[0], sizes * t[1], side="right")
+    for i in range(len(sizes)):
+        other = comp[i + 1 : reach[i]] != comp[i]
+        if side is not None:
+            other &= side[i + 1 : reach[i]] != side[i]
+        j = i + 1 + np.flatnonzero(other)
+        if len(j) and earlier.shape[1]:
+            j = j[~(earlier[j] & earlier[i]).any(1)]
+        if len(j):
+            most = np.minimum(sizes[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), sizes[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
+            j = j[t[1] * most >= t[0] * (sizes[i] + sizes[j] - most)]
+        if len(j):
+            yield i, j
 
-    def one(keys, sizes, comp, bits, side, cross):
+
+def _blocks(batches, last: str):
+    """(name of the cell, columns) of each block of entries sorted by list and block, in order of size; `last` is the column of bitmaps or sets."""
+    columns = ("ka", "xa", "comp", "own", "named", last)
+
+    def whole(cell, held):
+        keys, sizes, comp, side, named, blobs = (sum(x, []) if k > 3 else np.concatenate(x) for k, x in enumerate(zip(*held, strict=True)))
         order = np.argsort(sizes, kind="stable")
-        keys, sizes, comp, bits, side = keys[order], sizes[order].astype(np.int64), comp[order], bits[order], side[order]
-        reach = np.searchsorted(sizes * t[0], sizes * t[1], side="right")
-        parent: dict[int, int] = {}
-        tried: dict[tuple[int, int], int] = {}
-        label, members = np.unique(comp, return_counts=True)
-        many = dict(zip(label.tolist(), members.tolist(), strict=True))
-        for i in range(len(sizes)):
-            other = comp[i + 1 : reach[i]] != comp[i]
-            if cross:
-                other &= side[i + 1 : reach[i]] != side[i]
-            j = i + 1 + np.flatnonzero(other)
-            if len(j):
-                most = np.minimum(sizes[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), sizes[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
-                j = j[t[1] * most >= t[0] * (sizes[i] + sizes[j] - most)]
-            if len(j) and forest:
-                j = joins(parent, tried, many, comp, i, j)
-            if len(j):
-                yield i, j, keys, sizes
-
-    def joins(parent, tried, many, comp, i, j):
-        """Of the candidates j of i, one for each component that isn't joined to i's yet; TRIES pairs join two components."""
-
-        def find(x):
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        kept, mine = [], int(comp[i])
-        _, first = np.unique(comp[j], return_index=True)
-        for at in j[np.sort(first)].tolist():
-            other = int(comp[at])
-            a, b = find(mine), find(other)
-            if a != b:
-                kept.append(at)
-                pair = (min(mine, other), max(mine, other))
-                tried[pair] = tried.get(pair, 0) + 1
-                if tried[pair] >= min(TRIES, many[mine] * many[other]):
-                    parent[b] = a
-        return np.array(kept, np.int64)
-
-    def folded(blob):
-        x = np.frombuffer(blob, U)
-        return np.bitwise_or.reduce(x.reshape(-1, BITS // 64), 0)
+        _, comp = np.unique(comp, axis=0, return_inverse=True)
+        return cell, keys[order], sizes[order].astype(np.int64), comp.ravel()[order], side[order] if cell[1] != cell[2] else None, [named[k] for k in order], [blobs[k] for k in order]
+
+    held, name = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("list", "x", "y")], 1)
+        cut = np.append(np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1))), len(cell))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if tuple(cell[lo].tolist()) != name:
+                if held:
+                    yield whole(name, held)
+                held, name = [], tuple(cell[lo].tolist())
+            ka, xa, comp, own, named, blob = (batch.column(c).slice(lo, hi - lo) for c in columns)
+            lists, at = named.values.to_numpy(), named.offsets.to_pylist()
+            held.append((_keys_of(ka), xa.to_numpy(), _keys_of(comp), own.to_numpy(), [lists[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], blob.to_pylist()))
+    if held:
+        yield whole(name, held)
+
+
+def _may_link(t: tuple[int, int]):
+    """The entries (list, x, y, ka) of each block that have a candidate in it."""
 
     def run(batches):
-        held, name, found = [], None, []
-
-        def flush():
-            if not held:
-                return
-            keys, sizes, comp, bits, side = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            if len(np.unique(comp)) < 2:
-                return
-            for i, j, k, _ in one(keys, sizes, comp, bits, side, name[1] != name[2]):
-                found.append(np.concatenate([np.broadcast_to(k[i], (len(j), 2)), k[j]], 1))
-            if sum(map(len, found)) > 1 << 17:
-                yield from out()
-
-        def out():
-            """The pairs found, smaller key first, each once."""
-            if not found:
-                return
-            x = np.concatenate(found)
-            found.clear()
-            swap = (x[:, 0] > x[:, 2]) | ((x[:, 0] == x[:, 2]) & (x[:, 1] > x[:, 3]))
-            x[swap] = x[swap][:, [2, 3, 0, 1]]
-            x = np.unique(x, axis=0)
-            yield pa.record_batch([_binary(np.ascontiguousarray(x[:, lo : lo + 2]).view(np.uint8).ravel(), 16) for lo in (0, 2)], names=["ka", "kb"])
+        for (name, x, y), keys, sizes, comp, side, named, blobs in _blocks(batches, "_ng_bits"):
+            hit = np.zeros(len(keys), bool)
+            if comp.any():
+                for i, j in _candidates(t, sizes, comp, _folded(blobs), side, _earlier(named, name)):
+                    if len(blobs[i]) > BITS // 8 or len(blobs[j[-1]]) > BITS // 8:  # folded bitmaps of long texts are full
+                        j = j[[_bound(t, int(sizes[i]), int(sizes[k]), blobs[i], blobs[k]) for k in j.tolist()]]
+                    if len(j):
+                        hit[i] = hit[j] = True
+            n = int(hit.sum())
+            if n:
+                yield pa.record_batch([pa.array([name] * n, pa.int64()), pa.array([x] * n, pa.int32()), pa.array([y] * n, pa.int32()), _binary(keys[hit].view(np.uint8).ravel(), 16)], names=["list", "x", "y", "ka"])
 
-        for batch in batches:
-            cell = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("list", "x", "y")], 1)
-            keys, sizes, side = _keys_of(batch.column("ka")), batch.column("xa").to_numpy(), batch.column("own").to_numpy()
-            comp = _keys_of(batch.column("comp"))[:, 0]
-            bits = np.array([folded(x) for x in batch.column("_ng_bits").to_pylist()], U).reshape(-1, BITS // 64)
-            cut = np.append(np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1))), len(cell)) if len(cell) else np.zeros(1, np.int64)
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if tuple(cell[lo]) != name:
-                    yield from flush()
-                    name = tuple(cell[lo])
-                held.append((keys[lo:hi], sizes[lo:hi], comp[lo:hi], bits[lo:hi], side[lo:hi]))
-        yield from flush()
-        yield from out()
+    return run
+
+
+def _linked(t: tuple[int, int]):
+    """Links (src, dst) between the entries of each block, as many as join its components. Shingles of a block are numbered; those of
+    an entry are marked and looked up for its candidates, a few at first, as a link to a component settles all others in it."""
+
+    def links(sizes, comp, bits, side, earlier, values, first):
+        mark = np.zeros(int(values.max()) + 1, bool)
+        for i, j in _candidates(t, sizes, comp, bits, side, earlier):
+            mine, step = values[first[i] : first[i + 1]], 8
+            mark[mine] = True
+            while len(j):
+                some, j = j[:step], j[step:]
+                both = np.add.reduceat(mark[values[ranges(first[some], sizes[some])]], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+                for k in some[t[1] * both >= t[0] * (sizes[i] + sizes[some] - both)].tolist():
+                    if comp[k] != comp[i]:
+                        yield i, k
+                        comp[comp == comp[k]] = comp[i]
+                j, step = j[comp[j] != comp[i]], min(2 * step, max(8, CHUNK // int(sizes[i])))
+            mark[mine] = False
+
+    def run(batches):
+        for (name, _, _), keys, _, comp, side, named, blobs in _blocks(batches, "_ng_set"):
+            sets = [np.frombuffer(b, U) for b in blobs]
+            sizes = np.array([len(x) for x in sets])
+            first, all_values = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(sets)
+            bits = np.zeros((len(sets), BITS), bool)
+            bits[np.repeat(np.arange(len(sets)), sizes), (all_values >> U(8)).astype(np.int64) & (BITS - 1)] = True
+            bits = np.packbits(bits, axis=1, bitorder="little").view(U)
+            values = np.unique(all_values, return_inverse=True)[1].ravel()
+            found = np.array(list(links(sizes, comp, bits, side, _earlier(named, name), values, first)), np.int64).reshape(-1, 2)
+            if len(found):
+                yield pa.record_batch([_binary(keys[found[:, c]].view(np.uint8).ravel(), 16) for c in (0, 1)], names=["src", "dst"])
 
     return run
 
@@ -532,17 +574,36 @@ def _identified(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"_ng_a": F.xxhash64(F.lit(17), F.col(text)), "_ng_b": F.xxhash64(F.lit(71), F.col(text))})
 
 
-def _grid(entries: DataFrame, comp: DataFrame, bits: DataFrame, forest: bool) -> DataFrame:
-    """Entries (list, ka, xa) of lists that lie in several components, dealt out to the blocks of their lists: a list of m entries
-    has ceil(m / BLOCK) stripes by hash, and a block (x, y) holds the stripes x and y. For a forest only the blocks (x, x)."""
+def _grid(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """Entries (list, ka, xa) of lists that lie in several components, dealt out to the blocks of their lists: a list is cut by hash
+    into stripes of about BLOCK entries and STRIPE shingles, and a block (x, y) holds the stripes x and y. `named`: the entry's NAMED smallest of these lists, in order."""
     total = entries.count()
     labelled = written(entries.join(comp.withColumnRenamed("node", "ka"), "ka", "left").select("list", "ka", "xa", F.coalesce("component", "ka").alias("comp")))
-    spread = labelled.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("list", "m")
-    known = met(labelled, spread, "list", "m", max(total, 1)).join(bits.select(F.col("_ng_key").alias("ka"), "_ng_bits"), "ka")
-    stripes = F.ceil(F.col("m") / BLOCK).cast("int")
-    striped = known.withColumn("own", F.pmod(F.xxhash64("ka"), stripes).cast("int"))
-    striped = striped.withColumn("other", F.col("own") if forest else F.explode(F.sequence(F.lit(0), stripes - 1)))
-    return striped.select("list", "ka", "xa", "comp", "_ng_bits", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    spread = labelled.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.col("xa").cast("long")).alias("w")).where("lo <> hi").select("list", "m", "w")
+    known = written(met(labelled, spread, "list", "m", max(total, 1)))
+    dropped(labelled)
+    named = known.groupBy("ka").agg(F.slice(F.array_sort(F.collect_set("list")), 1, NAMED).alias("named"))
+    stripes = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / STRIPE)).cast("int")
+    striped = known.join(named, "ka").withColumn("own", F.pmod(F.xxhash64("ka"), stripes).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), stripes - 1)))
+    return striped.select("list", "ka", "xa", "comp", "named", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+
+def _across(docs: DataFrame, text: str, n: int, entries: DataFrame, comp: DataFrame, bits: DataFrame, t: tuple[int, int], parts: int, have: list[DataFrame]) -> DataFrame | None:
+    """Links (src, dst) that join components which meet in long lists."""
+    grid = written(_grid(entries, comp))
+
+    def dealt(rows):
+        return rows.repartition(parts, "list", "x", "y").sortWithinPartitions("list", "x", "y")
+
+    maps = bits.select(F.col("_ng_key").alias("ka"), "_ng_bits")
+    near = written(dealt(grid.join(maps, "ka")).mapInArrow(_may_link(t), "list long, x int, y int, ka binary"))
+    sets = None if near.isEmpty() else _with_sets(docs, text, n, near.select("ka"), have)
+    if sets is None:
+        return None
+    rows = grid.join(near, ["list", "x", "y", "ka"], "left_semi").join(sets.withColumnRenamed("_ng_key", "ka"), "ka")
+    out = written(dealt(rows).mapInArrow(_linked(t), "src binary, dst binary"))
+    dropped(grid), dropped(near)
+    return out
 
 
 def _classes(docs: DataFrame, text: str, id_col: str, n: int, t: tuple[int, int], small: int):
@@ -569,20 +630,10 @@ def _classes(docs: DataFrame, text: str, id_col: str, n: int, t: tuple[int, int]
     dropped(merged)
     sets: list[DataFrame] = []
     comp = components(_verified(docs, text, n, pairs, bits, t, sets))
-    # long lists with several components: first pairs that would join them all, as near copies mostly are links, then what is left
-    for forest in (True, False):
-        if entries.isEmpty():
-            break
-        dealt = _grid(entries, comp, bits, forest).repartition(parts, "list", "x", "y").sortWithinPartitions("list", "x", "y")
-        more = dealt.mapInArrow(_across(t, forest), "ka binary, kb binary")
-        more = written(more.distinct().join(pairs.select("ka", "kb"), ["ka", "kb"], "left_anti").withColumn("n", F.lit(_ALWAYS).cast("long")))
-        if more.isEmpty():
-            continue
-        late = _verified(docs, text, n, more, bits, t, sets)
-        if not late.isEmpty():
-            # the components so far stand for their links
-            comp = components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(late))
-        pairs = pairs.unionByName(more)
+    late = None if entries.isEmpty() else _across(docs, text, n, entries, comp, bits, t, parts, sets)
+    if late is not None and not late.isEmpty():
+        # the components so far stand for their links
+        comp = components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(late))
     for table in (bits, entries, *sets):
         dropped(table)
     return profile.where("_ng_slice is null").drop("_ng_bits", "_ng_slice", "_ng_counts"), comp

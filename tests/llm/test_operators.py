@@ -132,6 +132,47 @@ def test_components(spark):
         assert common.components(table.limit(0), alone=alone).collect() == []
 
 
+def test_ngram_join_gives_no_pairs_of_long_lists(spark, monkeypatch):
+    """Texts that share much, but too little to link, and a few that do link: every table has about as many rows as the lists have entries, not pairs."""
+    rng = random.Random(8)
+    common, rows = words(rng, 330, 10**6), []
+    for i in range(160):
+        at = rng.randrange(300)
+        rows.append(common[:at] + ["odd", str(i)] + common[at + 2 :] + words(rng, 50, 10**6))
+    rows += [[*rows[k][:-2], "near", str(k)] for k in range(0, 160, 9)]
+    sets = [{tuple(r[k : k + 5]) for k in range(len(r) - 4)} for r in rows]
+    roots = _components(rows, sets)
+    assert 100 < len(set(roots)) < len(rows)
+    made, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df: made.append(write(df)) or made[-1])
+    monkeypatch.setattr(ngram_join, "dropped", lambda df: None)
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(roots))
+    entries = next(t.count() for t in made if t.columns == ["list", "ka", "xa"])
+    assert entries > 2000
+    assert max(t.count() for t in made if "kb" in t.columns and "list" not in t.columns) < 20 * len(rows)
+    blocks = [t.count() for t in made if t.columns == ["list", "x", "y", "ka"]]
+    assert blocks and 0 < blocks[0] < entries
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_ngram_join_grid(spark, monkeypatch, block):
+    """Links that only blocks of long lists find, in grids of any fineness."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng, rows = random.Random(9), []
+    for _ in range(4):
+        base = words(rng, 120, 10**6)
+        for _ in range(12):
+            k = rng.randrange(120)
+            base = [*base[:k], "x" + str(rng.randrange(10**6)), *base[k + 1 :]]
+            rows.append(base)
+    sets = [{tuple(r[k : k + 5]) for k in range(len(r) - 4)} for r in rows]
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs, small=1).collect()}
+    assert got == dict(enumerate(_components(rows, sets)))
+
+
 def test_keep_one_judges_rows(spark):
     rng = random.Random(8)
     text = lambda n: " ".join(words(rng, n, 5000))
