@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import U, WHITE, Words, mix, ranges, text_bytes
+from .common import U, WHITE, Words, mix, ranges, text_bytes, trimmed
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 17
+#: Bytes of text, distinct words, and words of rows that are looked at together; temporary arrays follow these, not the sample.
+BLOCK, WORDS, TOKENS = 1 << 19, 1 << 13, 1 << 16
 
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,13 +52,45 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
     return out, total
 
 
+def _cuts(offsets: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Ranges of rows of about `limit` units (at least one row each)."""
+    out, at = [], 0
+    while at < len(offsets) - 1:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        out.append((at, stop))
+        at = stop
+    return out
+
+
 def vocabulary(column) -> tuple:
-    """Words of a chunk: (features, features a word, word number of each token, row of each token, rows)."""
+    """Words of a chunk: (features, features a word, word number of each token, row of each token, rows). Words are numbered in order of their hash."""
     data, off = text_bytes(column)
-    words = Words(data, off, WHITE)
-    _, at, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-    features, count = word_features(data, words.starts[at], words.ends[at], words.hashes[at])
-    return features, count, inverse.ravel(), np.repeat(np.arange(len(words.counts)), words.counts), len(words.counts)
+    rows = len(off) - 1
+    hashes, starts, ends, tokens, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+    for lo, hi in _cuts(off, BLOCK):
+        words = Words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], WHITE)
+        own, at, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        hashes.append(own), starts.append(words.starts[at] + off[lo]), ends.append(words.ends[at] + off[lo])
+        tokens.append(inverse.ravel().astype(np.int32)), counts.append(words.counts)
+    own, at, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    starts, ends = np.concatenate(starts)[at], np.concatenate(ends)[at]
+    first = np.cumsum([len(x) for x in hashes])
+    inverse = inverse.ravel().astype(np.int32)
+    word = np.concatenate([np.zeros(0, np.int32), *(inverse[first[k] : first[k + 1]][x] for k, x in enumerate(tokens))])
+    parts = [word_features(data, starts[lo : lo + WORDS], ends[lo : lo + WORDS], own[lo : lo + WORDS]) for lo in range(0, max(1, len(own)), WORDS)]
+    features, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return features, count, word, np.repeat(np.arange(rows, dtype=np.int32), np.concatenate(counts)), rows
+
+
+def _tallied(row: np.ndarray, word: np.ndarray, rows: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens as (row, word, times), in order; `row` ascends."""
+    out = [(np.zeros(0, np.int32),) * 3]
+    edge = np.searchsorted(row, np.arange(rows + 1))
+    for lo, hi in _cuts(edge, TOKENS):
+        pair, times = np.unique(row[edge[lo] : edge[hi]].astype(np.int64) * (words + 1) + word[edge[lo] : edge[hi]], return_counts=True)
+        out.append(((pair // (words + 1)).astype(np.int32), (pair % (words + 1)).astype(np.int32), times.astype(np.int32)))
+    row, word, times = (np.concatenate(x) for x in zip(*out, strict=True))
+    return row, word, times
 
 
 def _by_word(values: np.ndarray, features: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -88,9 +122,7 @@ def train(texts, labels: np.ndarray, classes: int, dims: int = 8, epochs: int =
         return Model(np.zeros((BUCKETS, classes), np.float32), np.zeros(classes))
     features, count, word, row, rows = vocabulary(texts)
     first = np.concatenate([[0], np.cumsum(count)])
-    # tokens as (row, word, times)
-    pair, times = np.unique(row.astype(np.int64) * (len(count) + 1) + word, return_counts=True)
-    row, word = pair // (len(count) + 1), pair % (len(count) + 1)
+    row, word, times = _tallied(row, word, rows, len(count))
     edge = np.searchsorted(row, np.arange(rows + 1))
     total = np.maximum(np.bincount(row, times * count[word], rows), 1)
     table = rng.uniform(-1 / dims, 1 / dims, (BUCKETS, dims)).astype(np.float32)
@@ -123,6 +155,8 @@ def train(texts, labels: np.ndarray, classes: int, dims: int = 8, epochs: int =
             grad = np.stack([np.bincount(f, d_word[owner, k], BUCKETS) for k in range(dims)], 1).astype(np.float32) / len(docs)
             g_table += (grad**2).mean(1)
             table -= step * grad / np.sqrt(g_table)[:, None]
+    del features, count, first, word, row, times, edge
+    trimmed()  # the driver goes on for long
     return Model((table @ weight).astype(np.float32), bias)
 
 

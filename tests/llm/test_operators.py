@@ -624,6 +624,25 @@ def test_subword_features():
     assert p[0, 1] > 0.6 > 0.4 > p[1, 1] and p[2, 1] == p[3, 1]
 
 
+def test_training_holds_little_beside_its_texts(monkeypatch):
+    """Temporary arrays follow blocks, not the sample; the model doesn't depend on them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = pa.chunked_array([pa.array([" ".join(words(rng, 400, 5_000)) for _ in range(3_000)])])
+    labels = np.array([rng.randrange(2) for _ in range(3_000)])
+    tracemalloc.start()
+    model = subword.train(texts, labels, 2, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * texts.nbytes
+    monkeypatch.setattr(subword, "BLOCK", 5_000), monkeypatch.setattr(subword, "WORDS", 77), monkeypatch.setattr(subword, "TOKENS", 300)
+    other = subword.train(texts, labels, 2, epochs=1)
+    assert np.array_equal(model.table, other.table) and np.array_equal(model.bias, other.bias)
+
+
 def test_training_matches_a_plain_trainer():
     """Loops over documents, dictionaries of features and whole numbers give the same model."""
     import pyarrow as pa
