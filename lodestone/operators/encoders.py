@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import importlib.metadata
-import re
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.text import normalize
+from ..scratch import written
 
 
 class EncoderUnavailable(RuntimeError):
@@ -66,32 +69,114 @@ class HashingEncoder:
         @F.pandas_udf("array<double>")
         def encode(batch: pd.Series) -> pd.Series:
             texts = [t or "" for t in batch]
-            return pd.Series([v for lo in range(0, len(texts), 256) for v in encoder._encoded(texts[lo : lo + 256])])
+            return pd.Series([v for lo, hi in _chunks(texts) for v in encoder._encoded(texts[lo:hi])], dtype=object)
 
         return encode(text)
 
     def _encoded(self, texts: list[str]) -> np.ndarray:
-        """One row a text. Each distinct n-gram of the texts is hashed once."""
-        compact = [re.sub(r"\s+", " ", t.lower()).strip() for t in texts]
-        points = np.frombuffer("".join(compact).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        row = np.repeat(np.arange(len(texts)), [len(t) for t in compact])
-        sums = np.zeros(len(texts) * self.dimensions)
-        for width in self.widths:
-            if len(points) < width:
-                continue
-            at = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
-            gram = points[at]  # a number for each distinct n-gram, one character more at a time
-            for j in range(1, width):
-                _, gram = np.unique(gram << np.uint64(32) | points[at + j], return_inverse=True)
-                gram = gram.astype(np.uint64)
-            _, first, gram = np.unique(gram, return_index=True, return_inverse=True)
-            names = [points[i : i + width].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass") for i in at[first].tolist()]
-            bucket, sign = (np.array(x) for x in zip(*(_place(n, self.dimensions, self.digest) for n in names), strict=True)) if names else (np.zeros(0, int), np.zeros(0))
-            sums += np.bincount(row[at] * self.dimensions + bucket[gram], sign[gram], len(sums)) if len(at) else 0
-        out = sums.reshape(len(texts), self.dimensions)
+        """One row a text."""
+        out = self.sums([_compact(t) for t in texts]).astype(float)
         norm = np.sqrt((out**2).sum(1, keepdims=True))
         return out / np.where(norm > 0, norm, 1)
 
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """Signed numbers of n-grams in each bucket, one row a text. Works through CHUNK characters at a time, however long a text is."""
+        joined, ends, size = "".join(texts), np.cumsum([len(t) for t in texts], dtype=np.int64), 2 * self.dimensions
+        counts = np.zeros(len(texts) * size + 1, np.int64)  # the last one takes what isn't counted here
+        for lo in range(0, len(joined), CHUNK):
+            part = joined[lo : lo + CHUNK + max(self.widths) - 1]
+            points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            row = np.repeat(np.arange(0, len(counts) - 1, size), np.diff(np.clip(ends, lo, lo + len(part)), prepend=lo))
+            inner = ends[(ends > lo) & (ends < lo + len(part))] - lo
+            high = np.flatnonzero(points > 0xFFFF)
+            key, found = points, []
+            for width in range(1, max(self.widths) + 1):
+                if 1 < width <= _Places.MOST:
+                    key = key[:-1] | points[width - 1 :] << np.uint64(16 * width - 16)
+                n = min(CHUNK, len(points) - width + 1)  # n-grams that begin in this part
+                if width not in self.widths or n < 1:
+                    continue
+                places = _places(width, self.dimensions, self.digest)
+                across = _before(inner, width, n)
+                if width > _Places.MOST or len(high):  # n-grams that don't fit a key
+                    long = np.arange(n) if width > _Places.MOST else np.unique(_before(high + 1, width + 1, n))
+                    for i in np.setdiff1d(long, across).tolist():
+                        counts[row[i] + places.place(part[i : i + width])] += 1
+                    across = np.concatenate([across, long])
+                if width <= _Places.MOST:
+                    at = row[:n] + places.found(key[:n])
+                    at[across] = len(counts) - 1
+                    found.append(at)
+            if found:
+                counts += np.bincount(np.concatenate(found), minlength=len(counts))
+        counts = counts[:-1].reshape(len(texts), self.dimensions, 2)
+        return counts[:, :, 1] - counts[:, :, 0]
+
+
+def _before(places: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The width - 1 positions before each place, as far as they lie in 0..n-1."""
+    at = (places[:, None] - np.arange(1, width)).ravel()
+    return at[(at >= 0) & (at < n)]
+
+
+#: Characters and texts that are worked on at a time.
+CHUNK, TEXTS = 1 << 14, 256
+
+
+def _chunks(texts: list[str]):
+    """Ranges of at most TEXTS texts of together at most CHUNK characters, or of one longer text."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and (size + len(t) > CHUNK or i - lo == TEXTS):
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if texts:
+        yield lo, len(texts)
+
+
+def _compact(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
+class _Places:
+    """2 * bucket + sign (0 for minus) of n-grams of one width. Known ones lie in a table of fixed size with one slot for each; of two
+    that want the same slot the later one has it, and the other is hashed again."""
+
+    #: Characters of a key, and the bits of a slot's number.
+    MOST, BITS = 4, 20
+
+    def __init__(self, width: int, dimensions: int, digest: str):
+        self.width, self.dimensions, self.digest = width, dimensions, digest
+        self.table = np.zeros(2 << self.BITS, np.uint64)  # key and value by turns
+        self.table[0] = 1  # key 0 belongs there and 1 elsewhere, so that no free slot has its key
+
+    def place(self, gram: str) -> int:
+        bucket, sign = _place(gram, self.dimensions, self.digest)
+        return 2 * bucket + (sign > 0)
+
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        """keys: n-grams as 16 bits a character, the first one lowest."""
+        slot = ((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)) << np.uint64(1)).view(np.int64)
+        miss = np.flatnonzero(self.table.take(slot, mode="wrap") != keys)
+        out = self.table.take(slot + 1, mode="wrap").view(np.int64)
+        if len(miss):
+            new, inverse = np.unique(keys[miss], return_inverse=True)
+            letters = (new[:, None] >> np.arange(0, 16 * self.width, 16, dtype=np.uint64)) & np.uint64(0xFFFF)
+            names = letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            values = np.array([self.place(names[i : i + self.width]) for i in range(0, len(names), self.width)], np.int64)
+            out[miss] = values[inverse]
+            _, first = np.unique(slot[miss], return_index=True)  # one key to a slot
+            kept = miss[first]
+            self.table[slot[kept]], self.table[slot[kept] + 1] = keys[kept], out[kept]
+        return out
+
+
+@functools.lru_cache(16)
+def _places(width: int, dimensions: int, digest: str) -> _Places:
+    """One for each worker."""
+    return _Places(width, dimensions, digest)
+
 
 def _place(gram: str, dimensions: int, digest: str = "blake2b") -> tuple[int, float]:
     if digest == "md5":
@@ -196,15 +281,58 @@ def encoder(name: str, **options) -> Encoder:
     return made(**options)
 
 
+def _apart(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose key no other row has, the others); None if there are no others."""
+    again = written(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key")))
+    if again.isEmpty():
+        return rows, None
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+
+
+def _summed(rows: DataFrame, key: str, text: str, encoder: HashingEncoder, columns: str, make) -> DataFrame:
+    """key and `columns` for each row; make(sums) gives the positions of texts and the columns, for a chunk of texts."""
+
+    def run(batches):
+        for batch in batches:
+            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in _chunks(texts):
+                at, *found = make(encoder.sums(texts[lo:hi]))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at + lo)), *[pa.array(x) for x in found]], names)
+
+    kept = rows.select(key, normalize(text).alias("_text"))
+    schema = T.StructType([kept.schema[0], *T.StructType.fromDDL(columns)])
+    names = schema.names
+    return kept.mapInArrow(run, schema)
+
+
+def _nonzero(sums: np.ndarray):
+    at, bucket = np.nonzero(sums)
+    return at, bucket, sums[at, bucket]
+
+
+def _squares(sums: np.ndarray):
+    total = (sums.astype(float) ** 2).sum(1)
+    at = np.flatnonzero(total)
+    return at, total[at]
+
+
 def md5_buckets(rows: DataFrame, key: str, text: str = "text", widths: tuple[int, ...] = K.NGRAM_WIDTHS, dimensions: int = K.VECTOR_DIMENSIONS) -> DataFrame:
-    """key, bucket and the signed sum of n-grams in it: the encoder's sum with a hash that SQL has, without Python."""
-    points = rows.select(key, F.posexplode(F.regexp_extract_all(normalize(text), F.lit("(?s)."), F.lit(0))).alias("i", "c"))
-    after = Window.partitionBy(key).orderBy("i")
-    lines = points.select(key, *[F.lead("c", j).over(after).alias(f"c{j}") for j in range(max(widths))])
-    # a width whose last character lies beyond the end gives null
-    each = F.explode(F.array(*[F.concat(*[F.col(f"c{j}") for j in range(w)]) for w in widths])).alias("gram")
-    counted = lines.select(key, each).where("gram IS NOT NULL").groupBy(key, "gram").agg(F.count("*").alias("n"))
-    hashed = counted.withColumn("h", F.md5(F.col("gram").cast("binary")))
-    bucket = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dimensions
-    sign = F.when(F.conv(F.substring("h", 2, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    return hashed.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign * F.col("n")).alias("value")).where("value <> 0")
+    """key, bucket and the signed sum of n-grams in it: the encoder's sums with a hash that SQL has, over SQL's normalised text. A map, but
+    for rows that share their key."""
+    encoder = HashingEncoder(dimensions, widths, "md5")
+    alone, others = _apart(rows, key)
+    found = lambda part: _summed(part, key, text, encoder, "bucket bigint, value bigint", _nonzero)
+    out = found(alone)
+    return out if others is None else out.unionByName(found(others).groupBy(key, "bucket").agg(F.sum("value").alias("value")).where("value <> 0"))
+
+
+def md5_norms(rows: DataFrame, key: str, text: str = "text", widths: tuple[int, ...] = K.NGRAM_WIDTHS, dimensions: int = K.VECTOR_DIMENSIONS) -> DataFrame:
+    """key and the length of the vector that md5_buckets gives; keys without buckets have no row."""
+    encoder = HashingEncoder(dimensions, widths, "md5")
+    alone, others = _apart(rows, key)
+    out = _summed(alone, key, text, encoder, "squares double", _squares)
+    if others is not None:
+        buckets = _summed(others, key, text, encoder, "bucket bigint, value bigint", _nonzero).groupBy(key, "bucket").agg(F.sum("value").alias("value")).where("value <> 0")
+        out = out.unionByName(buckets.groupBy(key).agg(F.sum((F.col("value") * F.col("value")).cast("double")).alias("squares")))
+    return out.select(key, F.sqrt("squares").alias("norm"))

@@ -312,3 +312,51 @@ def test_rank_properties(spark, texts):
     rows = retrieve.ranked(retrieve.scored(blocks(spark, [(i + 1, "x", "text", t) for i, t in enumerate(texts)]), spec, ["f"])).collect()
     assert sorted(r["rank"] for r in rows) == list(range(1, len(texts) + 1))
     assert all(0 <= r[c] <= 1 for r in rows for c in ("bm25", "term_coverage", "section_prior", "score"))
+
+
+def plain_buckets(rows):
+    """key -> bucket -> value of the md5 encoder, one n-gram at a time; buckets of rows with one key add up."""
+    out = {}
+    for key, text in rows:
+        low = " ".join((text or "").lower().split())
+        for w in (2, 3, 4):
+            for i in range(len(low) - w + 1):
+                bucket, sign = encoders._place(low[i : i + w], 384, "md5")
+                found = out.setdefault(key, {})
+                found[bucket] = found.get(bucket, 0) + int(sign)
+    return {k: {b: v for b, v in found.items() if v} for k, found in out.items() if any(found.values())}
+
+
+ODD_TEXTS = [(1, "Stem  Respiration"), (2, ""), (3, None), (4, "a"), (5, "树干\U0001f642呼吸 x\U0001f642"), (6, "ab " * 9000), (7, "one text"), (7, "another text"), (None, "no key"), (None, "nor here")]
+
+
+def test_md5_buckets(spark):
+    rows = spark.createDataFrame(ODD_TEXTS, "k long, text string")
+    found = {}
+    for r in encoders.md5_buckets(rows, "k").collect():
+        assert r.bucket not in found.setdefault(r.k, {})
+        found[r.k][r.bucket] = r.value
+    assert found == plain_buckets(ODD_TEXTS)
+    # without repeated keys it is a map: nothing is dealt out character by character
+    plan = encoders.md5_buckets(rows.where("k < 7"), "k")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("== Physical Plan ==")[1] and "Window" not in plan
+
+
+def test_sums_in_parts(monkeypatch):
+    """However small the parts and the table of known n-grams, the sums are those of plain code."""
+    texts = ["", "ab", "\0\0\0", "\U0001f642x\U0001f642", "\ud800b", "the stem of the tree", "b", "树干呼吸" * 5]
+    for chunk, bits in ((1, 1), (3, 2), (7, 20), (1 << 14, 20)):
+        monkeypatch.setattr(encoders, "CHUNK", chunk)
+        monkeypatch.setattr(encoders._Places, "BITS", bits)
+        encoders._places.cache_clear()
+        for widths in ((2, 3, 4), (1,), (2, 6)):
+            coder = encoders.HashingEncoder(16, widths)
+            for text, row in zip(texts, coder.sums(texts), strict=True):
+                plain = [0] * 16
+                for w in widths:
+                    for i in range(len(text) - w + 1):
+                        bucket, sign = encoders._place(text[i : i + w], 16)
+                        plain[bucket] += int(sign)
+                assert row.tolist() == plain
+        assert [hi - lo for lo, hi in encoders._chunks(["x" * chunk, "", "yy", "z"])][0] >= 1
+    encoders._places.cache_clear()
