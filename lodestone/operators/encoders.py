@@ -73,6 +73,23 @@ class HashingEncoder:
 
         return encode(text)
 
+    def cosines(self, text: Column, queries: list[str]) -> Column:
+        """array<double>: the cosine with each query, 0 where there is nothing to compare; the vectors stay in the worker."""
+        encoder = self
+
+        @F.pandas_udf("array<double>")
+        def encode(batch: pd.Series) -> pd.Series:
+            asked = encoder.sums([_compact(q) for q in queries]).astype(float)
+            size = np.sqrt((asked**2).sum(1))
+            texts, out = [t or "" for t in batch], []
+            for lo, hi in _chunks(texts):
+                found = encoder.sums([_compact(t) for t in texts[lo:hi]]).astype(float)
+                norm = np.sqrt((found**2).sum(1, keepdims=True))
+                out += list(found @ asked.T / np.where(norm > 0, norm, 1) / np.where(size > 0, size, 1))
+            return pd.Series(out, dtype=object)
+
+        return encode(text)
+
     def _encoded(self, texts: list[str]) -> np.ndarray:
         """One row a text."""
         out = self.sums([_compact(t) for t in texts]).astype(float)

@@ -77,17 +77,19 @@ def coverage(terms: list[str], text: Column) -> Column:
     return found / total if any(t.strip() for t in terms) else F.lit(0.0)
 
 
-def scored(blocks: DataFrame, spec: Spec, names: list[str], weights: Weights | None = None, vectors: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def scored(blocks: DataFrame, spec: Spec, names: list[str], weights: Weights | None = None, vectors: DataFrame | None = None, keep: tuple[str, ...] = (), cosines: Column | None = None) -> DataFrame:
     """One row for each block and field, unranked: components, matched terms and the weighted score.
 
     blocks: document_id, block_id, ordinal, section, kind, text. vectors: block_id, field_name, semantic (a cosine), joined only
-    if the weights use it. `keep`: further columns of blocks to carry.
+    if the weights use it. cosines: instead of vectors, an array over blocks with a cosine for each of `names`, made in the pass over
+    the texts and not joined. `keep`: further columns of blocks to carry.
     """
     weights = weights or Weights()
     spark = blocks.sparkSession
     tokens = query_tokens(spark, {f: spec.query_for(f) for f in names})
     terms = sorted({t for q in tokens.values() for t in q})
-    base = blocks.select("document_id", "block_id", "ordinal", "section", "kind", *keep, normalize("text").alias("_low"), tokenize("text").alias("_tok"))
+    own = [cosines.alias("_sem")] if weights.vector_similarity and cosines is not None else []
+    base = blocks.select("document_id", "block_id", "ordinal", "section", "kind", *keep, normalize("text").alias("_low"), tokenize("text").alias("_tok"), *own)
     tf = {t: f"_tf{i}" for i, t in enumerate(terms)}
     base = base.withColumns({"_len": F.size("_tok").cast("double"), **{c: F.size(F.filter("_tok", _equals(t))).cast("double") for t, c in tf.items()}})
     parts = {}
@@ -113,19 +115,27 @@ def scored(blocks: DataFrame, spec: Spec, names: list[str], weights: Weights | N
             F.lit(f).alias("field_name"), F.col(f"_raw{i}").alias("bm25_raw"), minmax(F.col(f"_raw{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")).alias("bm25"),
             (F.col(f"_cov{i}") if weights.term_coverage else F.lit(0.0)).alias("term_coverage"),
             section_prior(f).alias("section_prior"), F.col(f"_hit{i}").alias("matched_terms"),
+            *([F.greatest(F.lit(0.0), F.coalesce(F.col("_sem")[i], F.lit(0.0))).alias("semantic")] if own else []),
         )
         for i, f in enumerate(names)
     ]
     out = stats.select("document_id", "block_id", "ordinal", *keep, F.array(*per_field).alias("_f")).select("document_id", "block_id", "ordinal", *keep, F.inline("_f"))
-    if weights.vector_similarity and vectors is not None:
+    if own:
+        pass
+    elif weights.vector_similarity and vectors is not None:
         out = out.join(vectors.select("block_id", "field_name", F.greatest(F.lit(0.0), "semantic").alias("semantic")), ["block_id", "field_name"], "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
     else:
         out = out.withColumn("semantic", F.lit(0.0))
+    return rescored(out, weights)
+
+
+def rescored(rows: DataFrame, weights: Weights) -> DataFrame:
+    """Rows of scored() with the score at these weights; components that weren't made there stay zero."""
     score = F.lit(0.0)
     for w, c in ((weights.bm25, "bm25"), (weights.vector_similarity, "semantic"), (weights.term_coverage, "term_coverage"), (weights.section_prior, "section_prior")):
         if w:
             score = score + w * F.col(c)
-    return out.withColumn("score", F.round(score, 6))
+    return rows.withColumn("score", F.round(score, 6))
 
 
 def semantic(vectors: DataFrame, queries: dict[str, list[float]]) -> DataFrame:

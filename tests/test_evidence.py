@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -380,3 +381,31 @@ def test_md5_norms(spark):
     assert {r.k: r.norm for r in out.collect()} == pytest.approx(expected) and out.count() == len(expected)
     # the length is taken where the text is read: there is no row for each bucket
     assert "bucket" not in encoders.md5_norms(spark.createDataFrame(ODD_TEXTS[:6], "k long, text string"), "k")._jdf.queryExecution().toString()
+
+
+def test_encoding_in_little_memory():
+    texts = ["stem respiration " * 50_000] * 8
+    coder = encoders.HashingEncoder(digest="md5")
+    coder.query("stem")  # makes the tables, whose size is fixed
+    tracemalloc.start()
+    vectors = coder._encoded(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(vectors) == 8 and peak < 4 * sum(len(t) for t in texts)
+
+
+def test_cosines_in_one_pass(spark, tmp_path, monkeypatch):
+    e, asked = encoders.HashingEncoder(digest="md5"), ["stem respiration", "", "rate"]
+    texts = ["Stem  respiration", "", None, "a", "rates of the stem"]
+    out = [r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(e.cosines(F.col("t"), asked).alias("c")).collect()]
+    for text, found in zip(texts, out, strict=True):
+        assert found == pytest.approx([sum(x * y for x, y in zip(e.query(text or ""), e.query(q), strict=True)) for q in asked])
+    rows = [(i, f"the {'stem ' * i}with that der und", "s", "en") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    passes, kept = [], retrieve.written
+    monkeypatch.setattr(retrieve, "written", lambda df: passes.append(df) or kept(df))
+    for name, python in (("hybrid_topk", 1), ("strategy_compare", 1), ("rank_delta", 1), ("run_records", 1)):
+        passes.clear()
+        plan = getattr(queries, name)(spark, str(tmp_path))._jdf.queryExecution().toString()
+        # texts are read and encoded once, where they are tokenised, and not joined to their cosines
+        assert len(passes) == python and "Python" not in plan and "documents.parquet" not in plan
